@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.operators.pinning import Pinned
-from agora.schema import LIKE_TYPE, POST, REPOST_TYPE, Tables
+from agora.schema import COMMENT, LIKE_TYPE, POST, REPOST_TYPE, Tables
 
 COUNTS = ("like_count", "repost_count", "comment_count")
 FLAGS = ("user_liked", "user_reposted")
+MESSAGE_KEY = ["kind", "id"]
 
 
 def viewer_id(viewer: int | None) -> int:
@@ -19,57 +20,60 @@ def viewer_id(viewer: int | None) -> int:
     return 0 if viewer is None else viewer
 
 
-def below(tables: Tables, kind: str) -> DataFrame:
-    """(id) once per comment that counts for a message of this kind.
+def kind_of(tag: str = "type") -> Column:
+    """'Post' or 'Comment' from a like or repost type."""
+    return F.when(F.col(tag).startswith(POST), F.lit(POST)).otherwise(F.lit(COMMENT))
 
-    A post counts its top-level comments, a comment its direct replies.
-    """
-    comments = tables.comments
-    if kind == POST:
-        return comments.filter(F.col("parent_id").isNull()).select(F.col("post_id").alias("id"))
-    return comments.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"))
 
+def _marks(tables: Tables, kinds: tuple[str, ...], viewer: int) -> list[DataFrame]:
+    """Narrow rows (kind, id, one counter set, whose mark) of the three sources."""
 
-def engagement(tables: Tables, kind: str, viewer: int | None = None, only: Pinned | None = None) -> DataFrame:
-    """One row per message that has a like, a repost or a comment.
+    def narrow(rows: DataFrame, counter: str, mine: dict[str, Column]) -> DataFrame:
+        counters = [F.lit(1 if c == counter else 0).alias(c) for c in COUNTS]
+        flags = [mine.get(f, F.lit(False)).alias(f) for f in FLAGS]
+        return rows.select("kind", "id", *counters, *flags)
 
-    The three sources are stacked as narrow rows and aggregated together: one
-    map-side pre-aggregation and one shuffle by message id, however many edges
-    a message has.  The viewer's own marks fall out of the same aggregation.
-    With ``only``, a computed frame holding the ids of interest, all else is
-    filtered out before aggregating.
-    """
-    me = viewer_id(viewer)
-
-    def narrow(ids: DataFrame, like: int, repost: int, comment: int, user: Column | None) -> DataFrame:
-        mine = F.lit(False) if user is None else user == F.lit(me)
-        return ids.select(
-            "id",
-            F.lit(like).alias("like_count"),
-            F.lit(repost).alias("repost_count"),
-            F.lit(comment).alias("comment_count"),
-            (mine if like else F.lit(False)).alias("user_liked"),
-            (mine if repost else F.lit(False)).alias("user_reposted"),
+    def edges(frame: DataFrame, tags: dict[str, str]) -> DataFrame:
+        tags = [tags[kind] for kind in kinds]
+        one = F.col("type") == tags[0] if len(tags) == 1 else F.col("type").isin(tags)
+        kind = F.lit(kinds[0]) if len(kinds) == 1 else kind_of()
+        return frame.filter(one).select(kind.alias("kind"), F.col("message_id").alias("id"), "user_id")
+
+    mine = F.col("user_id") == F.lit(viewer)
+    marks = [
+        narrow(edges(tables.likes, LIKE_TYPE), "like_count", {"user_liked": mine}),
+        narrow(edges(tables.reposts, REPOST_TYPE), "repost_count", {"user_reposted": mine}),
+    ]
+    # A post counts its top-level comments, a comment its direct replies.
+    top_level = F.col("parent_id").isNull()
+    comments = {POST: (top_level, "post_id"), COMMENT: (~top_level, "parent_id")}
+    if len(kinds) == 1:
+        where, key = comments[kinds[0]]
+        below = tables.comments.filter(where).select(F.lit(kinds[0]).alias("kind"), F.col(key).alias("id"))
+    else:
+        below = tables.comments.select(
+            F.when(top_level, POST).otherwise(COMMENT).alias("kind"),
+            F.coalesce("parent_id", "post_id").alias("id"),
         )
+    return [*marks, narrow(below, "comment_count", {})]
 
-    def edges(frame: DataFrame, tag: str) -> DataFrame:
-        return frame.filter(F.col("type") == tag).select(F.col("message_id").alias("id"), "user_id")
 
-    stacked = [
-        narrow(edges(tables.likes, LIKE_TYPE[kind]), 1, 0, 0, F.col("user_id")),
-        narrow(edges(tables.reposts, REPOST_TYPE[kind]), 0, 1, 0, F.col("user_id")),
-        narrow(below(tables, kind), 0, 0, 1, None),
-    ]
+def engagement(tables: Tables, *kinds: str, viewer: int | None = None, only: Pinned | None = None) -> DataFrame:
+    """One row (kind, id) per message that has a like, a repost or a comment.
+
+    The three sources are stacked as narrow rows and aggregated together: one
+    map-side pre-aggregation and one shuffle by message, however many edges a
+    message has.  The viewer's own marks fall out of the same aggregation.
+    With ``only``, computed (kind, id) keys, all else is filtered out first.
+    """
+    stacked = reduce(DataFrame.unionByName, _marks(tables, kinds, viewer_id(viewer)))
     if only is not None and only.small:
-        wanted = F.broadcast(only.frame.select("id"))
-        stacked = [rows.join(wanted, "id", "left_semi") for rows in stacked]
-    return (
-        reduce(DataFrame.unionByName, stacked)
-        .groupBy("id")
-        .agg(*[F.sum(c).alias(c) for c in COUNTS], *[F.bool_or(c).alias(c) for c in FLAGS])
+        stacked = stacked.join(only.hinted(*MESSAGE_KEY), MESSAGE_KEY, "left_semi")
+    return stacked.groupBy(*MESSAGE_KEY).agg(
+        *[F.sum(c).alias(c) for c in COUNTS], *[F.bool_or(c).alias(c) for c in FLAGS]
     )
 
 
 def with_engagement(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Message rows with their counts and marks; nothing found counts as 0."""
-    return rows.join(counts, "id", "left").fillna(0, list(COUNTS)).fillna(False, list(FLAGS))
+    return rows.join(counts, MESSAGE_KEY, "left").fillna(0, list(COUNTS)).fillna(False, list(FLAGS))

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions.ratings import message_rating
-from agora.operators.engagement import engagement, viewer_id, with_engagement
+from agora.operators.engagement import MESSAGE_KEY, engagement, viewer_id, with_engagement
 from agora.operators.joins import many_to_one, resolve
-from agora.operators.pinning import Pinned
 from agora.schema import COMMENT, POST, Tables
 
 # The columns of a card, shared by every feed, search and thread.
@@ -28,23 +27,37 @@ CARD = (
     "author_display_name",
 )
 
-
-def names(tables: Tables) -> DataFrame:
-    return tables.users.select("id", "username", "display_name")
+_NO_ID = "CAST(NULL AS BIGINT)"
 
 
-def _authors(tables: Tables, viewer: int | None) -> DataFrame:
-    """Every user as an author: names, and whether the viewer follows them."""
-    authors = names(tables).select(
-        F.col("id").alias("author_id"),
-        F.col("username").alias("author_username"),
-        F.col("display_name").alias("author_display_name"),
+def posts_as_messages(posts: DataFrame) -> DataFrame:
+    """Posts in the shape of comments; a post is its own thread."""
+    return posts.select(
+        F.lit(POST).alias("kind"),
+        "id",
+        "text",
+        F.col("id").alias("post_id"),
+        "author_id",
+        F.expr(_NO_ID).alias("parent_id"),
+        "created_at",
     )
-    return with_followed(tables, authors, viewer)
 
 
-def _username_by_author(tables: Tables, alias: str) -> DataFrame:
-    return tables.users.select(F.col("id").alias("author_id"), F.col("username").alias(alias))
+def comments_as_messages(comments: DataFrame) -> DataFrame:
+    return comments.select(F.lit(COMMENT).alias("kind"), "id", "text", "post_id", "author_id", "parent_id", "created_at")
+
+
+def messages(tables: Tables) -> DataFrame:
+    """Posts and comments as one kind of row."""
+    return posts_as_messages(tables.posts).unionByName(comments_as_messages(tables.comments))
+
+
+def messages_of(tables: Tables, kind: str) -> DataFrame:
+    return posts_as_messages(tables.posts) if kind == POST else comments_as_messages(tables.comments)
+
+
+def names(tables: Tables) -> DataFrame:
+    return tables.users.select("id", "username", "display_name")
 
 
 def with_followed(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
@@ -58,120 +71,120 @@ def with_followed(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFr
     return rows.join(followed, "author_id", "left").fillna(False, ["user_followed"])
 
 
-def replying_to() -> Column:
-    """Who a comment answers: the parent's author, then the post's, each once."""
-    return F.array_distinct(F.array_compact(F.array("parent_author_username", "post_author_username")))
+def with_replying_to(rows: DataFrame) -> DataFrame:
+    """Whom a comment answers: the parent's author, then the post's, each once."""
+    answered = F.array_distinct(F.array_compact(F.array("parent_author_username", "post_author_username")))
+    return rows.withColumn("replying_to", F.when(F.col("kind") == COMMENT, answered)).drop(
+        "parent_author_username", "post_author_username"
+    )
+
 
+AUTHOR = {"author_username": "username", "author_display_name": "display_name"}
+REPOSTER = {"reposted_by_username": "username", "reposter_display_name": "display_name"}
 
-AUTHOR_NAMES = {"author_username": "username", "author_display_name": "display_name"}
 
+def few_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
+    """A *bounded* frame of messages with everyone named on them.
 
-def with_post_people(tables: Tables, rows: DataFrame, viewer: int | None, bounded: bool = False) -> DataFrame:
-    """Post rows with their author; posts answer nobody."""
-    if bounded:
-        named = resolve(rows, names(tables), "id", {"author": ("author_id", AUTHOR_NAMES)})
-        named = with_followed(tables, named, viewer)
-    else:
-        named = many_to_one(
-            rows, _authors(tables, viewer), ["author_id"], hot_from=tables.posts, sized_by=tables.users
-        )
-    return named.withColumn("replying_to", F.lit(None).cast("array<string>"))
+    The frame itself is broadcast, once over posts and comments to find whose
+    post and whose comment is answered, once over users for all names, and
+    nothing big is shuffled.  A ``reposter_id`` column is named as well.
+    """
+    authors = {
+        # The row's own key is asked for too, so that a missing parent drops no row.
+        "own": ([F.col("kind"), F.col("id")], {}),
+        "post": ([F.lit(POST), F.col("post_id")], {"post_author_id": "author_id"}),
+        "parent": ([F.lit(COMMENT), F.col("parent_id")], {"parent_author_id": "author_id"}),
+    }
+    answered = resolve(rows, messages(tables).select(*MESSAGE_KEY, "author_id"), MESSAGE_KEY, authors)
+    people = {
+        "author": ([F.col("author_id")], AUTHOR),
+        "post_author": ([F.col("post_author_id")], {"post_author_username": "username"}),
+        "parent_author": ([F.col("parent_author_id")], {"parent_author_username": "username"}),
+    }
+    if "reposter_id" in rows.columns:
+        people["reposter"] = ([F.col("reposter_id")], REPOSTER)
+    named = resolve(answered, names(tables), ["id"], people).filter(
+        F.col("author_username").isNotNull() & F.col("post_author_username").isNotNull()
+    )
+    return with_followed(tables, with_replying_to(named), viewer)
 
 
-def with_comment_people(tables: Tables, rows: DataFrame, viewer: int | None, bounded: bool = False) -> DataFrame:
-    """Comment rows with their author and the people they answer.
+def few_posts_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
+    """``few_with_people`` when there are only posts, which answer nobody."""
+    named = resolve(rows, names(tables), ["id"], {"author": ([F.col("author_id")], AUTHOR)})
+    return with_followed(tables, named.withColumn("replying_to", F.lit(None).cast("array<string>")), viewer)
 
-    For a bounded frame the frame itself is broadcast three times, over posts,
-    comments and users, and nothing big is shuffled.  For a whole table the
-    narrow (id, username) sides are joined to it instead.
-    """
-    if bounded:
-        with_post = resolve(rows, tables.posts, "id", {"post": ("post_id", {"post_author_id": "author_id"})})
-        # The row's own id is asked for as well, so that rows without a parent stay.
-        with_parent = resolve(
-            with_post,
-            tables.comments,
-            "id",
-            {"own": ("id", {}), "parent": ("parent_id", {"parent_author_id": "author_id"})},
-        )
-        named = resolve(
-            with_parent,
-            names(tables),
-            "id",
-            {
-                "author": ("author_id", AUTHOR_NAMES),
-                "post_author": ("post_author_id", {"post_author_username": "username"}),
-                "parent_author": ("parent_author_id", {"parent_author_username": "username"}),
-            },
-        ).filter(F.col("author_username").isNotNull() & F.col("post_author_username").isNotNull())
-        named = with_followed(tables, named, viewer)
-    else:
-        posts = tables.posts.select(F.col("id").alias("post_id"), "author_id")
-        post_author = many_to_one(posts, _username_by_author(tables, "post_author_username"), ["author_id"])
-        parents = tables.comments.select(F.col("id").alias("parent_id"), "author_id")
-        parent_author = many_to_one(parents, _username_by_author(tables, "parent_author_username"), ["author_id"])
-        comments = tables.comments
-        named = many_to_one(
-            rows, _authors(tables, viewer), ["author_id"], hot_from=comments, sized_by=tables.users
-        )
-        named = many_to_one(
-            named, post_author.drop("author_id"), ["post_id"], hot_from=comments, sized_by=posts
-        )
-        named = many_to_one(
-            named, parent_author.drop("author_id"), ["parent_id"], "left", hot_from=comments, sized_by=parents
-        )
-    return named.withColumn("replying_to", replying_to()).drop(
-        "parent_author_username", "post_author_username", "parent_author_id", "post_author_id"
+
+def _authors(tables: Tables, viewer: int | None) -> DataFrame:
+    """Every user as an author: names, and whether the viewer follows them."""
+    authors = names(tables).select(
+        F.col("id").alias("author_id"),
+        F.col("username").alias("author_username"),
+        F.col("display_name").alias("author_display_name"),
     )
+    return with_followed(tables, authors, viewer)
 
 
-def rated(tables: Tables, kind: str, rows: DataFrame, viewer: int | None, only: Pinned | None = None) -> DataFrame:
-    """Message rows with counts, the viewer's marks and the rating."""
-    counts = engagement(tables, kind, viewer, only)
-    return with_engagement(rows, counts).withColumn("rating", message_rating())
+def _username_by_author(tables: Tables, alias: str) -> DataFrame:
+    return tables.users.select(F.col("id").alias("author_id"), F.col("username").alias(alias))
+
+
+def posts_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
+    """Any number of posts with their authors; posts answer nobody."""
+    named = many_to_one(rows, _authors(tables, viewer), ["author_id"], hot_from=tables.posts, sized_by=tables.users)
+    return named.withColumn("replying_to", F.lit(None).cast("array<string>"))
+
 
+def comments_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
+    """Any number of comments with their authors and the people they answer.
+
+    The usernames behind post and parent are found on narrow (id, author) rows,
+    so that the texts move only for the joins of the comments themselves.
+    """
+    comments = tables.comments
+    posts = tables.posts.select(F.col("id").alias("post_id"), "author_id")
+    post_author = many_to_one(posts, _username_by_author(tables, "post_author_username"), ["author_id"])
+    parents = comments.select(F.col("id").alias("parent_id"), "author_id")
+    parent_author = many_to_one(parents, _username_by_author(tables, "parent_author_username"), ["author_id"])
+    named = many_to_one(rows, _authors(tables, viewer), ["author_id"], hot_from=comments, sized_by=tables.users)
+    named = many_to_one(named, post_author.drop("author_id"), ["post_id"], hot_from=comments, sized_by=posts)
+    named = many_to_one(
+        named, parent_author.drop("author_id"), ["parent_id"], "left", hot_from=comments, sized_by=parents
+    )
+    return with_replying_to(named)
 
-def carded(tables: Tables, kind: str, rows: DataFrame, viewer: int | None, bounded: bool = False) -> DataFrame:
-    """Rated message rows with people and the follow mark, ready to show."""
-    people = with_post_people if kind == POST else with_comment_people
-    return people(tables, rows, viewer, bounded)
 
+def rated(tables: Tables, kind: str, rows: DataFrame, viewer: int | None = None) -> DataFrame:
+    """Message rows of one kind with counts, the viewer's marks and the rating."""
+    return with_engagement(rows, engagement(tables, kind, viewer=viewer)).withColumn("rating", message_rating())
 
-def post_cards(
-    tables: Tables, viewer: int | None = None, rows: DataFrame | None = None, only: Pinned | None = None
-) -> DataFrame:
-    """Cards of all posts, or of ``rows``; ``only`` bounds them by computed ids."""
-    rows = tables.posts if rows is None else rows
-    small = only is not None and only.small
-    return carded(tables, POST, rated(tables, POST, rows, viewer, only), viewer, small).select(*CARD, "rating")
+
+def with_people(tables: Tables, kind: str, rows: DataFrame, viewer: int | None, bounded: bool) -> DataFrame:
+    """Message rows of one kind with names, whether few or all of them."""
+    if bounded:
+        return (few_posts_with_people if kind == POST else few_with_people)(tables, rows, viewer)
+    return (posts_with_people if kind == POST else comments_with_people)(tables, rows, viewer)
 
 
-def comment_cards(
-    tables: Tables, viewer: int | None = None, rows: DataFrame | None = None, only: Pinned | None = None
-) -> DataFrame:
-    """Cards of all comments and replies, or of ``rows``; as ``post_cards``."""
-    rows = tables.comments if rows is None else rows
-    small = only is not None and only.small
-    cards = carded(tables, COMMENT, rated(tables, COMMENT, rows, viewer, only), viewer, small)
-    return cards.select(*CARD, "rating", "post_id", "parent_id")
+def cards(tables: Tables, kind: str, viewer: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Cards of all messages of one kind, or of ``rows``."""
+    rows = messages_of(tables, kind) if rows is None else rows
+    return with_people(tables, kind, rated(tables, kind, rows, viewer), viewer, bounded=False).select(
+        "kind", *CARD, "rating", "post_id", "parent_id"
+    )
 
 
 def message_cards(tables: Tables, viewer: int | None = None) -> DataFrame:
     """Cards of every post and comment, with their kind."""
-    posts = post_cards(tables, viewer).withColumn("kind", F.lit(POST))
-    comments = comment_cards(tables, viewer).drop("post_id", "parent_id").withColumn("kind", F.lit(COMMENT))
-    return posts.unionByName(comments)
+    return cards(tables, POST, viewer).unionByName(cards(tables, COMMENT, viewer))
 
 
 def message_counts(tables: Tables) -> DataFrame:
     """Counts and rating of every message."""
-    parts = [
-        rated(tables, kind, rows.select("id"), None).select(
-            F.lit(kind).alias("kind"), "id", "like_count", "repost_count", "comment_count", "rating"
-        )
-        for kind, rows in ((POST, tables.posts), (COMMENT, tables.comments))
-    ]
-    return parts[0].unionByName(parts[1])
+    rows = messages(tables).select(*MESSAGE_KEY)
+    counted = with_engagement(rows, engagement(tables, POST, COMMENT)).withColumn("rating", message_rating())
+    return counted.select(*MESSAGE_KEY, "like_count", "repost_count", "comment_count", "rating")
 
 
 def author_record() -> Column:
@@ -182,7 +195,7 @@ def author_record() -> Column:
     )
 
 
-def as_records(cards: DataFrame) -> DataFrame:
+def as_records(flat: DataFrame) -> DataFrame:
     """Flat cards with the author nested into one record."""
-    flat = [c for c in cards.columns if not c.startswith("author_")]
-    return cards.select(*flat, author_record().alias("author"))
+    kept = [c for c in flat.columns if not c.startswith("author_")]
+    return flat.select(*kept, author_record().alias("author"))

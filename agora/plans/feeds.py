@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.ratings import POPULAR_COMMENT_REPOSTS, message_rating, reposter_label
-from agora.operators.engagement import engagement, viewer_id, with_engagement
+from agora.functions.ratings import POPULAR_COMMENT_REPOSTS, message_rating
+from agora.operators.engagement import MESSAGE_KEY, engagement, kind_of
+from agora.operators.entries import (
+    all_entry_cards,
+    entry_cards,
+    labelled,
+    newest_per_message,
+    own_entries,
+    repost_entries,
+)
 from agora.operators.joins import many_to_one
-from agora.operators.messages import CARD, carded, comment_cards, message_cards, names, post_cards, rated
-from agora.operators.pinning import BROADCAST_ROWS, Pinned, pin
-from agora.schema import COMMENT, COMMENT_REPOST, LIKE_TYPE, POST, POST_REPOST, REPOST_TYPE, Tables
+from agora.operators.messages import CARD, messages_of, rated, with_people
+from agora.operators.pinning import BROADCAST_ROWS, pin
+from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
 
 
 def newest_day_first() -> list[Column]:
@@ -30,9 +38,9 @@ def popular_feed(tables: Tables, viewer: int | None = None, limit: int | None =
     Comments are cut down by their repost count before anything is joined to
     them.  With ``limit`` the best are picked before names are looked up.
     """
-    posts = rated(tables, POST, tables.posts, viewer)
-    popular = engagement(tables, COMMENT, viewer).filter(F.col("repost_count") > POPULAR_COMMENT_REPOSTS)
-    comments = tables.comments.join(popular, "id").withColumn("rating", message_rating())
+    posts = rated(tables, POST, messages_of(tables, POST), viewer)
+    popular = engagement(tables, COMMENT, viewer=viewer).filter(F.col("repost_count") > POPULAR_COMMENT_REPOSTS)
+    comments = messages_of(tables, COMMENT).join(popular, MESSAGE_KEY).withColumn("rating", message_rating())
     tagged = {POST: (posts, POST), COMMENT: (comments, COMMENT_REPOST)}
     tagged = {
         kind: rows.withColumn("post_type", F.lit(tag)).withColumn("post_date", F.col("created_at"))
@@ -44,8 +52,119 @@ def popular_feed(tables: Tables, viewer: int | None = None, limit: int | None =
         # rows contain the best rows overall.
         tagged = {kind: rows.orderBy(*newest_day_first()).limit(limit) for kind, rows in tagged.items()}
     cards = [
-        carded(tables, kind, rows, viewer, bounded).select(*CARD, "post_type", "post_date", "rating")
+        with_people(tables, kind, rows, viewer, bounded).select(*CARD, "post_type", "post_date", "rating")
         for kind, rows in tagged.items()
     ]
     feed = cards[0].unionByName(cards[1]).orderBy(*newest_day_first())
     return feed if limit is None else feed.limit(limit)
+
+
+HOME = (*CARD, "post_type", "post_date", "reposted_by", "reposted_by_username", "rating")
+
+
+def home_feed(tables: Tables, viewer: int) -> DataFrame:
+    """What the people a viewer follows, and the viewer, posted or reposted.
+
+    Own rows are read in the same scans as the followees': the viewer is just
+    one more source.  Each message appears once per tag, with its newest repost.
+    """
+    if viewer is None:
+        raise ValueError("a home feed needs a viewer")
+    followees = tables.follows.filter(F.col("follower_id") == viewer).select(F.col("followee_id").alias("user_id"))
+    me = tables.users.filter(F.col("id") == viewer).select(F.col("id").alias("user_id"))
+    sources = pin(followees.unionByName(me).distinct())
+
+    posted = own_entries(tables.posts, POST).join(sources.hinted(), "user_id")
+    reposted = repost_entries(tables.reposts).join(sources.hinted(), "user_id")
+    entries = posted.withColumn("reposter_id", F.lit(None).cast("long")).unionByName(
+        reposted.withColumn("reposter_id", F.col("user_id"))
+    )
+    kept = newest_per_message(entries).withColumn(
+        "own_post", F.col("reposter_id").isNull() & (F.col("user_id") == viewer)
+    )
+    shown = entry_cards(tables, pin(kept.drop("user_id")), viewer)
+    for mark in ("user_reposted", "user_followed"):
+        shown = shown.withColumn(mark, F.col(mark) & ~F.col("own_post"))
+    return shown.select(*HOME).orderBy(*newest_day_first())
+
+
+def _rated_sources(tables: Tables) -> DataFrame:
+    """Every post and every repost as a rated entry of the user it comes from."""
+    posts = own_entries(tables.posts, POST).withColumn("is_repost", F.lit(False))
+    reposts = repost_entries(tables.reposts).withColumn("is_repost", F.lit(True))
+    ratings = engagement(tables, POST, COMMENT).select(*MESSAGE_KEY, message_rating().alias("rating"))
+    return many_to_one(
+        posts.unionByName(reposts), ratings, MESSAGE_KEY, "left", hot_from=reposts, sized_by=tables.comments
+    ).fillna(0, ["rating"])
+
+
+def home_feed_all(tables: Tables, top: int = 20, viewers: DataFrame | None = None) -> DataFrame:
+    """The first ``top`` rows of everybody's home feed.
+
+    A feed is ordered by keys that do not depend on who reads it, so nothing
+    outside the best ``top`` rows of one source can reach the best ``top`` of a
+    reader: each of those rows, or a newer repost of the same message, is also in
+    the reader's feed and ranks above it.  Cutting every source to its best rows
+    first bounds the fan-out to the followers and loses no row of the result.
+    ``viewers`` has one column, ``viewer_id``; by default every user reads.
+    """
+    best = Window.partitionBy("user_id").orderBy(*newest_day_first())
+    sources = (
+        _rated_sources(tables)
+        .withColumn("__rank", F.row_number().over(best))
+        .filter(F.col("__rank") <= top)
+        .drop("__rank")
+    )
+    following = tables.follows.select(F.col("follower_id").alias("viewer_id"), F.col("followee_id").alias("user_id"))
+    themselves = tables.users.select(F.col("id").alias("viewer_id"), F.col("id").alias("user_id"))
+    readers = following.unionByName(themselves)
+    if viewers is not None:
+        readers = readers.join(viewers, "viewer_id", "left_semi")
+    offered = many_to_one(readers, sources, ["user_id"], hot_from=tables.follows.select(
+        F.col("followee_id").alias("user_id"))).withColumn("reposter_id", F.when(F.col("is_repost"), F.col("user_id")))
+
+    ranked = Window.partitionBy("viewer_id").orderBy(*newest_day_first())
+    kept = (
+        newest_per_message(offered, "viewer_id")
+        .withColumn("position", F.row_number().over(ranked))
+        .filter(F.col("position") <= top)
+    )
+    # Narrow, ranked and final: from here on only looks things up.
+    feed = pin(
+        kept.select("viewer_id", "position", *MESSAGE_KEY, "post_type", "post_date", "reposter_id", "rating")
+    ).frame
+    return _decorated(tables, feed)
+
+
+def _decorated(tables: Tables, feed: DataFrame) -> DataFrame:
+    """Cards, marks and labels for ranked (viewer_id, kind, id, ...) rows."""
+    cards = all_entry_cards(tables, feed.drop("rating"), None, hot_from=feed)
+    cards = cards.drop("user_liked", "user_reposted", "user_followed")
+
+    def marks(edges: DataFrame, like: bool) -> DataFrame:
+        return edges.select(
+            F.col("user_id").alias("viewer_id"),
+            kind_of().alias("kind"),
+            F.col("message_id").alias("id"),
+            F.lit(like).alias("user_liked"),
+            F.lit(not like).alias("user_reposted"),
+        )
+
+    key = ["viewer_id", *MESSAGE_KEY]
+    viewer_marks = (
+        marks(tables.likes, True)
+        .unionByName(marks(tables.reposts, False))
+        .groupBy(*key)
+        .agg(F.bool_or("user_liked").alias("user_liked"), F.bool_or("user_reposted").alias("user_reposted"))
+    )
+    followed = tables.follows.select(
+        F.col("follower_id").alias("viewer_id"),
+        F.col("followee_id").alias("author_id"),
+        F.lit(True).alias("user_followed"),
+    )
+    shown = (
+        cards.join(viewer_marks, key, "left")
+        .join(followed, ["viewer_id", "author_id"], "left")
+        .fillna(False, ["user_liked", "user_reposted", "user_followed"])
+    )
+    return labelled(shown, F.col("viewer_id")).select("viewer_id", "position", *HOME)
