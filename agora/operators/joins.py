@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.operators.pinning import Pinned
+
 # At most this many keys are treated as hot.  Any other key then holds less
 # than 1/HOT_KEYS of the rows, and the broadcast list of hot keys stays tiny.
 HOT_KEYS = 1000
@@ -115,3 +117,22 @@ def resolve(rows: DataFrame, dim: DataFrame, on: list[str], roles: dict[str, tup
         for new, column in columns.items()
     ]
     return found.groupBy(*own).agg(*picks)
+
+
+def _found(facts: DataFrame, keys: DataFrame, on: list[str], hot_from: DataFrame | None) -> DataFrame:
+    marked = keys.select(*on, F.lit(True).alias("__found"))
+    return many_to_one(facts, marked, on, "left", hot_from=hot_from)
+
+
+def keep_found(facts: DataFrame, keys: Pinned, on: list[str], hot_from: DataFrame | None = None) -> DataFrame:
+    """Fact rows whose key is among the computed, distinct ``keys``."""
+    if keys.small:
+        return facts.join(keys.hinted(*on), on, "left_semi")
+    return _found(facts, keys.frame, on, hot_from).filter(F.col("__found")).drop("__found")
+
+
+def drop_found(facts: DataFrame, keys: Pinned, on: list[str], hot_from: DataFrame | None = None) -> DataFrame:
+    """Fact rows whose key is not among the computed, distinct ``keys``."""
+    if keys.small:
+        return facts.join(keys.hinted(*on), on, "left_anti")
+    return _found(facts, keys.frame, on, hot_from).filter(F.col("__found").isNull()).drop("__found")
