@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions.text import text_problems, user_problems
+from agora.functions.text import TEXT_BLANK, TEXT_NOT_QUESTION, TEXT_TOO_LONG, text_problems, user_problems
 from agora.operators.engagement import MESSAGE_KEY, kind_of
 from agora.operators.joins import many_to_one
 from agora.operators.messages import messages
@@ -34,6 +34,9 @@ def audit_messages(rows: DataFrame, *key: str, text: str = "text") -> DataFrame:
     return rows.select(*key, text_problems(F.col(text)).alias("problems")).filter(F.size("problems") > 0)
 
 
+TEXT_RULES = (TEXT_BLANK, TEXT_TOO_LONG, TEXT_NOT_QUESTION)
+
+
 def audit_users(users: DataFrame) -> DataFrame:
     """(id, problems) of the users that break a format rule."""
     problems = user_problems(F.col("username"), F.col("email"), F.col("display_name"))

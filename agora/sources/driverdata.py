@@ -92,12 +92,12 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
-    """(event_id, ts, user_id, event_type, k) with k the number inside props."""
+    """(event_id, ts, user_id, event_type, value, k) with k the number inside props."""
     rows = source(spark, sf_dir, "events")
     if kinds is not None:
         rows = rows.filter(F.col("event_type").isin(kinds))
     k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
-    return rows.select("event_id", "ts", "user_id", "event_type", k.alias("k"))
+    return rows.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
 
 
 def first_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
