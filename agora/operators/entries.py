@@ -46,6 +46,9 @@ def with_reposter(tables: Tables, rows: DataFrame, hot_from: DataFrame) -> DataF
 
 
 def labelled(rows: DataFrame, viewer: Column) -> DataFrame:
+    """Rows with ``reposted_by``, if they know of reposters at all."""
+    if "reposter_id" not in rows.columns:
+        return rows
     label = reposter_label(F.col("reposter_id"), viewer, F.col("reposter_display_name"))
     return rows.withColumn("reposted_by", label)
 
@@ -63,8 +66,7 @@ def entry_cards(tables: Tables, entries: Pinned, viewer: int | None) -> DataFram
     rows = messages(tables).join(entries.hinted(), MESSAGE_KEY)
     counts = engagement(tables, POST, COMMENT, viewer=viewer, only=entries)
     rated = with_engagement(rows, counts).withColumn("rating", message_rating())
-    shown = few_with_people(tables, rated, viewer)
-    return labelled(shown, me) if "reposter_id" in shown.columns else shown
+    return labelled(few_with_people(tables, rated, viewer), me)
 
 
 def all_entry_cards(tables: Tables, entries: DataFrame, viewer: int | None, hot_from: DataFrame) -> DataFrame:

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agora.operators.pinning import Pinned
 from agora.schema import Tables
 
 
-def _count_by(tables: Tables, side: str, name: str) -> DataFrame:
-    return tables.follows.groupBy(F.col(side).alias("id")).agg(F.count(F.lit(1)).alias(name))
-
-
-def follow_counts(tables: Tables, users: DataFrame) -> DataFrame:
+def follow_counts(tables: Tables, users: DataFrame, only: Pinned | None = None) -> DataFrame:
     """User rows with follower_count and followed_user_count.
 
     Each follow edge is counted once for either end in one aggregation by user.
@@ -25,6 +22,8 @@ def follow_counts(tables: Tables, users: DataFrame) -> DataFrame:
             )
         ).alias("end")
     ).select("end.*")
+    if only is not None and only.small:
+        ends = ends.join(only.hinted("id"), "id", "left_semi")
     counts = ends.groupBy("id").agg(
         F.sum("follower").alias("follower_count"), F.sum("followed").alias("followed_user_count")
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from agora.functions.ratings import message_rating
 from agora.operators.engagement import MESSAGE_KEY, engagement, viewer_id, with_engagement
-from agora.operators.joins import many_to_one, resolve
+from agora.operators.joins import fits_broadcast, many_to_one, resolve
+from agora.operators.pinning import Pinned
 from agora.schema import COMMENT, POST, Tables
 
 # The columns of a card, shared by every feed, search and thread.
@@ -155,24 +156,38 @@ def comments_with_people(tables: Tables, rows: DataFrame, viewer: int | None) ->
     return with_replying_to(named)
 
 
-def rated(tables: Tables, kind: str, rows: DataFrame, viewer: int | None = None) -> DataFrame:
+def rated(
+    tables: Tables, kind: str, rows: DataFrame, viewer: int | None = None, only: Pinned | None = None
+) -> DataFrame:
     """Message rows of one kind with counts, the viewer's marks and the rating."""
-    return with_engagement(rows, engagement(tables, kind, viewer=viewer)).withColumn("rating", message_rating())
+    counts = engagement(tables, kind, viewer=viewer, only=only)
+    return with_engagement(rows, counts).withColumn("rating", message_rating())
 
 
-def with_people(tables: Tables, kind: str, rows: DataFrame, viewer: int | None, bounded: bool) -> DataFrame:
-    """Message rows of one kind with names, whether few or all of them."""
-    if bounded:
-        return (few_posts_with_people if kind == POST else few_with_people)(tables, rows, viewer)
+def few_of_kind(tables: Tables, kind: str, rows: DataFrame, viewer: int | None) -> DataFrame:
+    """``few_with_people`` for one kind; posts need no look at other messages."""
+    return (few_posts_with_people if kind == POST else few_with_people)(tables, rows, viewer)
+
+
+def all_of_kind(tables: Tables, kind: str, rows: DataFrame, viewer: int | None) -> DataFrame:
+    """Any number of rows of one kind with people."""
     return (posts_with_people if kind == POST else comments_with_people)(tables, rows, viewer)
 
 
 def cards(tables: Tables, kind: str, viewer: int | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """Cards of all messages of one kind, or of ``rows``."""
+    """Cards of all messages of one kind, or of ``rows``, which hold no counts yet.
+
+    When a side is too big to broadcast, people and counts are gathered on rows
+    of ids alone, and the texts move once, for the last join.
+    """
     rows = messages_of(tables, kind) if rows is None else rows
-    return with_people(tables, kind, rated(tables, kind, rows, viewer), viewer, bounded=False).select(
-        "kind", *CARD, "rating", "post_id", "parent_id"
-    )
+    sides = [tables.users] if kind == POST else [tables.users, tables.posts, tables.comments]
+    light = all(fits_broadcast(side) for side in sides)
+    moved = rows if light else rows.drop("text", "created_at")
+    known = rated(tables, kind, all_of_kind(tables, kind, moved, viewer), viewer)
+    if not light:
+        known = known.join(rows.select(*MESSAGE_KEY, "text", "created_at"), MESSAGE_KEY)
+    return known.select("kind", *CARD, "rating", "post_id", "parent_id")
 
 
 def message_cards(tables: Tables, viewer: int | None = None) -> DataFrame:

@@ -41,3 +41,15 @@ def pin(frame: DataFrame) -> Pinned:
     seen = Observation()
     kept = frame.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
     return Pinned(kept, int(seen.get["rows"]))
+
+
+def few_or_all(rows: DataFrame) -> tuple[DataFrame, Pinned | None]:
+    """``rows`` computed and counted if they are few, else untouched.
+
+    One pass over the source keeps at most ``BROADCAST_ROWS`` + 1 rows.  If that
+    was all of them, everything after can work on the kept rows, which are few
+    enough to broadcast.  If not, the kept rows are left aside and the caller
+    works on ``rows`` itself, all of them.
+    """
+    kept = pin(rows.limit(BROADCAST_ROWS + 1))
+    return (kept.frame, kept) if kept.small else (rows, None)

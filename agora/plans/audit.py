@@ -61,13 +61,10 @@ def repeated_keys(tables: Tables) -> DataFrame:
     """(rule, key, rows) for every key that must be unique and is not."""
 
     def repeated(rows: DataFrame, rule: str, *key) -> DataFrame:
-        return (
-            rows.select(F.concat_ws("/", *[k.cast("string") for k in key]).alias("key"))
-            .groupBy("key")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .filter(F.col("rows") > 1)
-            .select(F.lit(rule).alias("rule"), "key", "rows")
-        )
+        columns = [k.alias(f"k{i}") for i, k in enumerate(key)]
+        counted = rows.select(*columns).groupBy(*[f"k{i}" for i in range(len(key))]).agg(F.count(F.lit(1)).alias("rows"))
+        shown = F.concat_ws("/", *[F.col(f"k{i}").cast("string") for i in range(len(key))])
+        return counted.filter(F.col("rows") > 1).select(F.lit(rule).alias("rule"), shown.alias("key"), "rows")
 
     edge = [F.col("type"), F.col("user_id"), F.col("message_id")]
     checks = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ from agora.operators.entries import (
     own_entries,
     repost_entries,
 )
-from agora.operators.joins import many_to_one
-from agora.operators.messages import CARD, messages_of, rated, with_people
-from agora.operators.pinning import BROADCAST_ROWS, pin
+from agora.operators.joins import keep_found, many_to_one
+from agora.operators.messages import CARD, all_of_kind, cards, few_of_kind, messages_of, rated
+from agora.operators.pinning import BROADCAST_ROWS, few_or_all, pin
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
 
 
@@ -32,30 +34,61 @@ def newest_day_first() -> list[Column]:
     ]
 
 
+POPULAR = (*CARD, "post_type", "post_date", "rating")
+
+
+def _popular_comments(tables: Tables, viewer: int | None, since: date | None) -> DataFrame:
+    """Cards of the comments with more than four reposts.
+
+    They are found in the reposts alone, and all else is only looked at for
+    them.
+    """
+    reposted = tables.reposts.filter(F.col("type") == COMMENT_REPOST).groupBy(F.col("message_id").alias("id"))
+    popular = reposted.agg(F.count(F.lit(1)).alias("reposts")).filter(F.col("reposts") > POPULAR_COMMENT_REPOSTS)
+    ids = pin(popular.select(F.lit(COMMENT).alias("kind"), "id"))
+    rows = _since(keep_found(messages_of(tables, COMMENT), ids, MESSAGE_KEY), since)
+    if not ids.small:
+        return cards(tables, COMMENT, viewer, rows)
+    return few_of_kind(tables, COMMENT, rated(tables, COMMENT, rows, viewer, ids), viewer)
+
+
+def _since(rows: DataFrame, day: date | None) -> DataFrame:
+    return rows if day is None else rows.filter(F.col("created_at") >= F.lit(day).cast("timestamp_ntz"))
+
+
+def _first_day_needed(tables: Tables, limit: int) -> date | None:
+    """The newest day such that it and the days after hold ``limit`` posts.
+
+    Every post is in the feed and newer days come first, so the first ``limit``
+    rows are all from then on.  There is one row per calendar day here.
+    """
+    per_day = tables.posts.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("posts"))
+    so_far = F.sum("posts").over(Window.orderBy(F.desc("day")))
+    enough = per_day.withColumn("so_far", so_far).filter(F.col("so_far") >= limit)
+    return enough.agg(F.max("day")).first()[0]
+
+
 def popular_feed(tables: Tables, viewer: int | None = None, limit: int | None = None) -> DataFrame:
     """All posts and the comments with more than four reposts, newest day first.
 
-    Comments are cut down by their repost count before anything is joined to
-    them.  With ``limit`` the best are picked before names are looked up.
+    With ``limit``, only days that can reach into the result are read, and names
+    are looked up after the best rows are picked.
     """
-    posts = rated(tables, POST, messages_of(tables, POST), viewer)
-    popular = engagement(tables, COMMENT, viewer=viewer).filter(F.col("repost_count") > POPULAR_COMMENT_REPOSTS)
-    comments = messages_of(tables, COMMENT).join(popular, MESSAGE_KEY).withColumn("rating", message_rating())
-    tagged = {POST: (posts, POST), COMMENT: (comments, COMMENT_REPOST)}
-    tagged = {
-        kind: rows.withColumn("post_type", F.lit(tag)).withColumn("post_date", F.col("created_at"))
-        for kind, (rows, tag) in tagged.items()
-    }
-    bounded = limit is not None and limit <= BROADCAST_ROWS
-    if limit is not None:
-        # A post and a comment are never the same row, so each kind's own best
-        # rows contain the best rows overall.
-        tagged = {kind: rows.orderBy(*newest_day_first()).limit(limit) for kind, rows in tagged.items()}
-    cards = [
-        with_people(tables, kind, rows, viewer, bounded).select(*CARD, "post_type", "post_date", "rating")
-        for kind, rows in tagged.items()
+    since = None if limit is None else _first_day_needed(tables, limit)
+    comments = _popular_comments(tables, viewer, since)
+    if limit is None:
+        posts = cards(tables, POST, viewer)
+    else:
+        rows, few = few_or_all(_since(messages_of(tables, POST), since))
+        order = [F.to_date("created_at").desc(), F.desc("rating"), F.desc("id")]
+        best = rated(tables, POST, rows, viewer, few).orderBy(*order).limit(limit)
+        posts = (few_of_kind if limit <= BROADCAST_ROWS else all_of_kind)(tables, POST, best, viewer)
+    tags = ((posts, POST), (comments, COMMENT_REPOST))
+    shown = [
+        rows.withColumn("post_type", F.lit(tag)).withColumn("post_date", F.col("created_at")).select(*POPULAR)
+        for rows, tag in tags
     ]
-    feed = cards[0].unionByName(cards[1]).orderBy(*newest_day_first())
+    feed = shown[0].unionByName(shown[1]).orderBy(*newest_day_first())
     return feed if limit is None else feed.limit(limit)
 
 
@@ -138,8 +171,8 @@ def home_feed_all(tables: Tables, top: int = 20, viewers: DataFrame | None = Non
 
 def _decorated(tables: Tables, feed: DataFrame) -> DataFrame:
     """Cards, marks and labels for ranked (viewer_id, kind, id, ...) rows."""
-    cards = all_entry_cards(tables, feed.drop("rating"), None, hot_from=feed)
-    cards = cards.drop("user_liked", "user_reposted", "user_followed")
+    shown = all_entry_cards(tables, feed.drop("rating"), None, hot_from=feed)
+    shown = shown.drop("user_liked", "user_reposted", "user_followed")
 
     def marks(edges: DataFrame, like: bool) -> DataFrame:
         return edges.select(
@@ -163,7 +196,7 @@ def _decorated(tables: Tables, feed: DataFrame) -> DataFrame:
         F.lit(True).alias("user_followed"),
     )
     shown = (
-        cards.join(viewer_marks, key, "left")
+        shown.join(viewer_marks, key, "left")
         .join(followed, ["viewer_id", "author_id"], "left")
         .fillna(False, ["user_liked", "user_reposted", "user_followed"])
     )

@@ -183,11 +183,11 @@ def edit_messages(tables: Tables, kind: str, batch: DataFrame) -> Merged:
         .otherwise(_text_reason())
     )
     judged = pin(found.withColumn("reason", reason)).frame
-    last = (
+    last = pin(
         judged.filter(F.col("reason").isNull()).groupBy("id").agg(F.max_by("text", "seq").alias("new_text"))
     )
     edited = (
-        table.join(last, "id", "left")
+        table.join(last.hinted(), "id", "left")
         .withColumn("text", F.coalesce("new_text", "text"))
         .select(*table.columns)
     )
@@ -287,14 +287,16 @@ def edit_users(tables: Tables, batch: DataFrame) -> Merged:
     settled = pin(contested.withColumn("reason", F.when(late, F.lit(EMAIL_TAKEN)).otherwise(F.col("reason")))).frame
 
     done = settled.filter(F.col("reason").isNull())
-    newest = done.groupBy("id").agg(
-        *[
-            F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(f"new_{column}")
-            for column in ("display_name", "email")
-        ]
+    newest = pin(
+        done.groupBy("id").agg(
+            *[
+                F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(f"new_{column}")
+                for column in ("display_name", "email")
+            ]
+        )
     )
     users = (
-        tables.users.join(newest, "id", "left")
+        tables.users.join(newest.hinted(), "id", "left")
         .withColumn("display_name", F.coalesce("new_display_name", "display_name"))
         .withColumn("email", F.coalesce(F.lower("new_email"), "email"))
         .select(*tables.users.columns)
@@ -304,9 +306,9 @@ def edit_users(tables: Tables, batch: DataFrame) -> Merged:
 
 def confirm_users(tables: Tables, batch: DataFrame) -> DataFrame:
     """Set confirmed_at of users that have none.  ``batch``: id, confirmed_at."""
-    first = batch.groupBy("id").agg(F.min("confirmed_at").alias("now"))
+    first = pin(batch.groupBy("id").agg(F.min("confirmed_at").alias("now")))
     return (
-        tables.users.join(first, "id", "left")
+        tables.users.join(first.hinted(), "id", "left")
         .withColumn("confirmed_at", F.coalesce("confirmed_at", "now"))
         .select(*tables.users.columns)
     )
