@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agora.functions.ratings import message_rating
 from agora.operators.pinning import Pinned
 from agora.schema import COMMENT, LIKE_TYPE, POST, REPOST_TYPE, Tables
 
@@ -28,34 +29,35 @@ def kind_of(tag: str = "type") -> Column:
 def _marks(tables: Tables, kinds: tuple[str, ...], viewer: int) -> list[DataFrame]:
     """Narrow rows (kind, id, one counter set, whose mark) of the three sources."""
 
-    def narrow(rows: DataFrame, counter: str, mine: dict[str, Column]) -> DataFrame:
-        counters = [F.lit(1 if c == counter else 0).alias(c) for c in COUNTS]
-        flags = [mine.get(f, F.lit(False)).alias(f) for f in FLAGS]
-        return rows.select("kind", "id", *counters, *flags)
-
-    def edges(frame: DataFrame, tags: dict[str, str]) -> DataFrame:
-        tags = [tags[kind] for kind in kinds]
-        one = F.col("type") == tags[0] if len(tags) == 1 else F.col("type").isin(tags)
-        kind = F.lit(kinds[0]) if len(kinds) == 1 else kind_of()
-        return frame.filter(one).select(kind.alias("kind"), F.col("message_id").alias("id"), "user_id")
-
-    mine = F.col("user_id") == F.lit(viewer)
-    marks = [
-        narrow(edges(tables.likes, LIKE_TYPE), "like_count", {"user_liked": mine}),
-        narrow(edges(tables.reposts, REPOST_TYPE), "repost_count", {"user_reposted": mine}),
+    def edges(frame: DataFrame, tags: dict[str, str], *columns: str) -> DataFrame:
+        wanted = [tags[kind] for kind in kinds]
+        kind = f"'{kinds[0]}'" if len(kinds) == 1 else f"CASE WHEN type = '{tags[POST]}' THEN '{POST}' ELSE '{COMMENT}' END"
+        return frame.filter(F.col("type").isin(wanted)).selectExpr(f"{kind} AS kind", "message_id AS id", *columns)
+
+    mine = f"user_id = {viewer}"
+    likes = ("1 AS like_count", "0 AS repost_count", "0 AS comment_count", f"{mine} AS user_liked", "false AS user_reposted")
+    reposts = ("0 AS like_count", "1 AS repost_count", "0 AS comment_count", "false AS user_liked", f"{mine} AS user_reposted")
+    comments = ("0 AS like_count", "0 AS repost_count", "1 AS comment_count", "false AS user_liked", "false AS user_reposted")
+    return [
+        edges(tables.likes, LIKE_TYPE, *likes),
+        edges(tables.reposts, REPOST_TYPE, *reposts),
+        counted_for(tables, *kinds).selectExpr("kind", "id", *comments),
     ]
-    # A post counts its top-level comments, a comment its direct replies.
-    top_level = F.col("parent_id").isNull()
-    comments = {POST: (top_level, "post_id"), COMMENT: (~top_level, "parent_id")}
-    if len(kinds) == 1:
-        where, key = comments[kinds[0]]
-        below = tables.comments.filter(where).select(F.lit(kinds[0]).alias("kind"), F.col(key).alias("id"))
-    else:
-        below = tables.comments.select(
-            F.when(top_level, POST).otherwise(COMMENT).alias("kind"),
-            F.coalesce("parent_id", "post_id").alias("id"),
+
+
+def counted_for(tables: Tables, *kinds: str) -> DataFrame:
+    """(kind, id) of the message each comment counts for.
+
+    A post counts its top-level comments, a comment its direct replies.
+    """
+    if len(kinds) > 1:
+        return tables.comments.selectExpr(
+            f"CASE WHEN parent_id IS NULL THEN '{POST}' ELSE '{COMMENT}' END AS kind",
+            "coalesce(parent_id, post_id) AS id",
         )
-    return [*marks, narrow(below, "comment_count", {})]
+    if kinds[0] == POST:
+        return tables.comments.filter("parent_id IS NULL").selectExpr(f"'{POST}' AS kind", "post_id AS id")
+    return tables.comments.filter("parent_id IS NOT NULL").selectExpr(f"'{COMMENT}' AS kind", "parent_id AS id")
 
 
 def engagement(tables: Tables, *kinds: str, viewer: int | None = None, only: Pinned | None = None) -> DataFrame:
@@ -66,14 +68,23 @@ def engagement(tables: Tables, *kinds: str, viewer: int | None = None, only: Pin
     message has.  The viewer's own marks fall out of the same aggregation.
     With ``only``, computed (kind, id) keys, all else is filtered out first.
     """
-    stacked = reduce(DataFrame.unionByName, _marks(tables, kinds, viewer_id(viewer)))
-    if only is not None and only.small:
+    stacked = reduce(DataFrame.union, _marks(tables, kinds, viewer_id(viewer)))
+    few = only is not None and only.small
+    if few:
         stacked = stacked.join(only.hinted(*MESSAGE_KEY), MESSAGE_KEY, "left_semi")
-    return stacked.groupBy(*MESSAGE_KEY).agg(
+    counts = stacked.groupBy(*MESSAGE_KEY).agg(
         *[F.sum(c).alias(c) for c in COUNTS], *[F.bool_or(c).alias(c) for c in FLAGS]
     )
+    # At most one row per key of ``only``, whose number is known.
+    return F.broadcast(counts) if few else counts
 
 
 def with_engagement(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Message rows with their counts and marks; nothing found counts as 0."""
-    return rows.join(counts, MESSAGE_KEY, "left").fillna(0, list(COUNTS)).fillna(False, list(FLAGS))
+    """Message rows with counts, marks and rating; nothing found counts as 0."""
+    found = rows.join(counts, MESSAGE_KEY, "left")
+    filled = found.selectExpr(
+        *rows.columns,
+        *[f"coalesce({c}, 0) AS {c}" for c in COUNTS],
+        *[f"coalesce({c}, false) AS {c}" for c in FLAGS],
+    )
+    return filled.select("*", message_rating().alias("rating"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.ratings import message_rating, reposter_label
+from agora.functions.ratings import reposter_label
 from agora.operators.engagement import MESSAGE_KEY, engagement, kind_of, viewer_id, with_engagement
 from agora.operators.joins import many_to_one
 from agora.operators.messages import few_with_people, message_cards, messages, names
@@ -64,8 +64,7 @@ def entry_cards(tables: Tables, entries: Pinned, viewer: int | None) -> DataFram
     if not entries.small:
         return labelled(all_entry_cards(tables, entries.frame, viewer, hot_from=entries.frame), me)
     rows = messages(tables).join(entries.hinted(), MESSAGE_KEY)
-    counts = engagement(tables, POST, COMMENT, viewer=viewer, only=entries)
-    rated = with_engagement(rows, counts).withColumn("rating", message_rating())
+    rated = with_engagement(rows, engagement(tables, POST, COMMENT, viewer=viewer, only=entries))
     return labelled(few_with_people(tables, rated, viewer), me)
 
 

@@ -89,36 +89,6 @@ def many_to_one(
     return salted_facts.join(salted_dim, [*on, "__salt"], how).drop("__salt")
 
 
-def resolve(rows: DataFrame, dim: DataFrame, on: list[str], roles: dict[str, tuple[list, dict[str, str]]]) -> DataFrame:
-    """Look several keys of a *bounded* frame up in one pass over a big table.
-
-    ``roles`` maps a role to (key expressions over ``rows``, in the order of the
-    key columns ``on`` of ``dim``; {new column: dim column}).  ``rows`` is
-    broadcast, so the caller must know that it is small; ``dim`` is scanned once
-    and not shuffled.  A row stays if at least one of its keys exists in
-    ``dim``; a key that is null or missing gives nulls.
-    """
-    own = rows.columns
-    asked = F.array(
-        *[
-            F.struct(F.lit(role).alias("role"), *[key.alias(f"__{c}") for key, c in zip(keys, on)])
-            for role, (keys, _) in roles.items()
-        ]
-    )
-    long = rows.withColumn("__ask", F.explode(asked)).select(*own, "__ask.*").dropna(subset=[f"__{c}" for c in on])
-    wanted = sorted({column for _, columns in roles.values() for column in columns.values()})
-    values = dim.select(
-        *[F.col(c).alias(f"__{c}") for c in on], *[F.col(c).alias(f"__value_{c}") for c in wanted]
-    )
-    found = values.join(F.broadcast(long), [f"__{c}" for c in on])
-    picks = [
-        F.max(F.when(F.col("role") == role, F.col(f"__value_{column}"))).alias(new)
-        for role, (_, columns) in roles.items()
-        for new, column in columns.items()
-    ]
-    return found.groupBy(*own).agg(*picks)
-
-
 def _found(facts: DataFrame, keys: DataFrame, on: list[str], hot_from: DataFrame | None) -> DataFrame:
     marked = keys.select(*on, F.lit(True).alias("__found"))
     return many_to_one(facts, marked, on, "left", hot_from=hot_from)

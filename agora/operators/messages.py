@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions.ratings import message_rating
 from agora.operators.engagement import MESSAGE_KEY, engagement, viewer_id, with_engagement
-from agora.operators.joins import fits_broadcast, many_to_one, resolve
+from agora.operators.joins import fits_broadcast, many_to_one
 from agora.operators.pinning import Pinned
 from agora.schema import COMMENT, POST, Tables
 
@@ -28,24 +27,15 @@ CARD = (
     "author_display_name",
 )
 
-_NO_ID = "CAST(NULL AS BIGINT)"
-
-
 def posts_as_messages(posts: DataFrame) -> DataFrame:
     """Posts in the shape of comments; a post is its own thread."""
-    return posts.select(
-        F.lit(POST).alias("kind"),
-        "id",
-        "text",
-        F.col("id").alias("post_id"),
-        "author_id",
-        F.expr(_NO_ID).alias("parent_id"),
-        "created_at",
+    return posts.selectExpr(
+        f"'{POST}' AS kind", "id", "text", "id AS post_id", "author_id", "CAST(NULL AS BIGINT) AS parent_id", "created_at"
     )
 
 
 def comments_as_messages(comments: DataFrame) -> DataFrame:
-    return comments.select(F.lit(COMMENT).alias("kind"), "id", "text", "post_id", "author_id", "parent_id", "created_at")
+    return comments.selectExpr(f"'{COMMENT}' AS kind", "id", "text", "post_id", "author_id", "parent_id", "created_at")
 
 
 def messages(tables: Tables) -> DataFrame:
@@ -65,56 +55,84 @@ def with_followed(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFr
     """Whether the viewer follows the author of each row."""
     me = viewer_id(viewer)
     if me == 0:
-        return rows.withColumn("user_followed", F.lit(False))
-    followed = tables.follows.filter(F.col("follower_id") == me).select(
-        F.col("followee_id").alias("author_id"), F.lit(True).alias("user_followed")
-    )
-    return rows.join(followed, "author_id", "left").fillna(False, ["user_followed"])
-
-
-def with_replying_to(rows: DataFrame) -> DataFrame:
-    """Whom a comment answers: the parent's author, then the post's, each once."""
-    answered = F.array_distinct(F.array_compact(F.array("parent_author_username", "post_author_username")))
-    return rows.withColumn("replying_to", F.when(F.col("kind") == COMMENT, answered)).drop(
-        "parent_author_username", "post_author_username"
+        return rows.selectExpr("*", "false AS user_followed")
+    followed = tables.follows.filter(f"follower_id = {me}").selectExpr("followee_id AS author_id", "true AS followed")
+    return rows.join(followed, "author_id", "left").selectExpr(
+        *rows.columns, "coalesce(followed, false) AS user_followed"
     )
 
 
+# Whom a comment answers: the parent's author, then the post's, each once.
+REPLYING_TO = f"""CASE WHEN kind = '{COMMENT}'
+  THEN array_distinct(array_compact(array(parent_author_username, post_author_username))) END AS replying_to"""
+NOBODY = "CAST(NULL AS ARRAY<STRING>) AS replying_to"
 AUTHOR = {"author_username": "username", "author_display_name": "display_name"}
-REPOSTER = {"reposted_by_username": "username", "reposter_display_name": "display_name"}
 
 
 def few_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
     """A *bounded* frame of messages with everyone named on them.
 
-    The frame itself is broadcast, once over posts and comments to find whose
-    post and whose comment is answered, once over users for all names, and
-    nothing big is shuffled.  A ``reposter_id`` column is named as well.
+    Each row asks for three authors: its own, its post's and its parent's.  The
+    asking rows, three or four per message, are broadcast, once over posts and
+    comments to find the authors, once over users to find their names, and one
+    aggregation brings the answers back together.  Nothing big is shuffled.  A
+    ``reposter_id`` column is named as well.
     """
-    authors = {
-        # The row's own key is asked for too, so that a missing parent drops no row.
-        "own": ([F.col("kind"), F.col("id")], {}),
-        "post": ([F.lit(POST), F.col("post_id")], {"post_author_id": "author_id"}),
-        "parent": ([F.lit(COMMENT), F.col("parent_id")], {"parent_author_id": "author_id"}),
-    }
-    answered = resolve(rows, messages(tables).select(*MESSAGE_KEY, "author_id"), MESSAGE_KEY, authors)
-    people = {
-        "author": ([F.col("author_id")], AUTHOR),
-        "post_author": ([F.col("post_author_id")], {"post_author_username": "username"}),
-        "parent_author": ([F.col("parent_author_id")], {"parent_author_username": "username"}),
-    }
+    asked = rows.selectExpr(
+        "*",
+        f"""explode(array(
+          named_struct('role', 'author', 'kind', kind, 'id', id),
+          named_struct('role', 'post_author', 'kind', '{POST}', 'id', post_id),
+          named_struct('role', 'parent_author', 'kind', '{COMMENT}', 'id', parent_id))) AS ask""",
+    ).selectExpr(*rows.columns, "ask.role AS role", "ask.kind AS asked_kind", "ask.id AS asked_id")
+    authors = messages(tables).selectExpr("kind AS asked_kind", "id AS asked_id", "author_id AS person")
+    found = authors.join(F.broadcast(asked), ["asked_kind", "asked_id"])
+    people = found.select(*rows.columns, "role", "person")
     if "reposter_id" in rows.columns:
-        people["reposter"] = ([F.col("reposter_id")], REPOSTER)
-    named = resolve(answered, names(tables), ["id"], people).filter(
-        F.col("author_username").isNotNull() & F.col("post_author_username").isNotNull()
+        people = people.selectExpr(
+            *rows.columns,
+            """explode(CASE WHEN role = 'author' AND reposter_id IS NOT NULL
+              THEN array(named_struct('role', role, 'id', person), named_struct('role', 'reposter', 'id', reposter_id))
+              ELSE array(named_struct('role', role, 'id', person)) END) AS ask""",
+        ).selectExpr(*rows.columns, "ask.role AS role", "ask.id AS person")
+    every = names(tables).selectExpr("id AS person", "username", "display_name")
+    named = every.join(F.broadcast(people), "person")
+
+    def answer(role: str, column: str, alias: str):
+        return F.expr(f"max(CASE WHEN role = '{role}' THEN {column} END)").alias(alias)
+
+    answers = [
+        answer("author", "username", "author_username"),
+        answer("author", "display_name", "author_display_name"),
+        answer("post_author", "username", "post_author_username"),
+        answer("parent_author", "username", "parent_author_username"),
+    ]
+    kept = [*rows.columns, "author_username", "author_display_name", REPLYING_TO]
+    if "reposter_id" in rows.columns:
+        answers.append(answer("reposter", "username", "reposted_by_username"))
+        answers.append(answer("reposter", "display_name", "reposter_display_name"))
+        kept += ["reposted_by_username", "reposter_display_name"]
+    gathered = named.groupBy(*rows.columns).agg(*answers)
+    return with_followed(
+        tables,
+        gathered.filter("author_username IS NOT NULL AND post_author_username IS NOT NULL").selectExpr(*kept),
+        viewer,
     )
-    return with_followed(tables, with_replying_to(named), viewer)
 
 
 def few_posts_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
     """``few_with_people`` when there are only posts, which answer nobody."""
-    named = resolve(rows, names(tables), ["id"], {"author": ([F.col("author_id")], AUTHOR)})
-    return with_followed(tables, named.withColumn("replying_to", F.lit(None).cast("array<string>")), viewer)
+    return with_followed(tables, few_with_authors(tables, rows).selectExpr("*", NOBODY), viewer)
+
+
+def few_with_authors(tables: Tables, rows: DataFrame) -> DataFrame:
+    """A *bounded* frame with its authors' names: users are read past it once."""
+    authors = names(tables).selectExpr(
+        "id AS author_id", "username AS author_username", "display_name AS author_display_name"
+    )
+    return authors.join(F.broadcast(rows), "author_id").select(
+        *rows.columns, "author_username", "author_display_name"
+    )
 
 
 def _authors(tables: Tables, viewer: int | None) -> DataFrame:
@@ -134,7 +152,7 @@ def _username_by_author(tables: Tables, alias: str) -> DataFrame:
 def posts_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
     """Any number of posts with their authors; posts answer nobody."""
     named = many_to_one(rows, _authors(tables, viewer), ["author_id"], hot_from=tables.posts, sized_by=tables.users)
-    return named.withColumn("replying_to", F.lit(None).cast("array<string>"))
+    return named.selectExpr("*", NOBODY)
 
 
 def comments_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFrame:
@@ -153,15 +171,14 @@ def comments_with_people(tables: Tables, rows: DataFrame, viewer: int | None) ->
     named = many_to_one(
         named, parent_author.drop("author_id"), ["parent_id"], "left", hot_from=comments, sized_by=parents
     )
-    return with_replying_to(named)
+    return named.selectExpr("*", REPLYING_TO).drop("parent_author_username", "post_author_username")
 
 
 def rated(
     tables: Tables, kind: str, rows: DataFrame, viewer: int | None = None, only: Pinned | None = None
 ) -> DataFrame:
     """Message rows of one kind with counts, the viewer's marks and the rating."""
-    counts = engagement(tables, kind, viewer=viewer, only=only)
-    return with_engagement(rows, counts).withColumn("rating", message_rating())
+    return with_engagement(rows, engagement(tables, kind, viewer=viewer, only=only))
 
 
 def few_of_kind(tables: Tables, kind: str, rows: DataFrame, viewer: int | None) -> DataFrame:
@@ -198,7 +215,7 @@ def message_cards(tables: Tables, viewer: int | None = None) -> DataFrame:
 def message_counts(tables: Tables) -> DataFrame:
     """Counts and rating of every message."""
     rows = messages(tables).select(*MESSAGE_KEY)
-    counted = with_engagement(rows, engagement(tables, POST, COMMENT)).withColumn("rating", message_rating())
+    counted = with_engagement(rows, engagement(tables, POST, COMMENT))
     return counted.select(*MESSAGE_KEY, "like_count", "repost_count", "comment_count", "rating")
 
 

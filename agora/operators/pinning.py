@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from agora.session import shared_dir
@@ -53,3 +53,8 @@ def few_or_all(rows: DataFrame) -> tuple[DataFrame, Pinned | None]:
     """
     kept = pin(rows.limit(BROADCAST_ROWS + 1))
     return (kept.frame, kept) if kept.small else (rows, None)
+
+
+def in_order(rows: DataFrame, few: bool, *keys: Column) -> DataFrame:
+    """``rows`` sorted; a few are shuffled into one task instead of sampled for ranges."""
+    return rows.repartition(1).sortWithinPartitions(*keys) if few else rows.orderBy(*keys)

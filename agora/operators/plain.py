@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.engagement import MESSAGE_KEY
-from agora.operators.joins import many_to_one, resolve
-from agora.operators.messages import AUTHOR, messages, names, with_followed
+from agora.operators.engagement import MESSAGE_KEY, counted_for
+from agora.operators.joins import many_to_one
+from agora.operators.messages import few_with_authors, messages, names, with_followed
 from agora.operators.pinning import Pinned
 from agora.schema import COMMENT, POST, Tables
 
@@ -16,13 +16,11 @@ PLAIN = ("id", "text", "created_at", "comment_count", "author_id", "author_usern
 
 def comment_counts(tables: Tables, only: Pinned | None = None) -> DataFrame:
     """(kind, id, comment_count): top-level comments of posts, direct replies of comments."""
-    below = tables.comments.select(
-        F.when(F.col("parent_id").isNull(), POST).otherwise(COMMENT).alias("kind"),
-        F.coalesce("parent_id", "post_id").alias("id"),
-    )
-    if only is not None and only.small:
-        below = below.join(only.hinted(*MESSAGE_KEY), MESSAGE_KEY, "left_semi")
-    return below.groupBy(*MESSAGE_KEY).agg(F.count(F.lit(1)).alias("comment_count"))
+    below = counted_for(tables, POST, COMMENT)
+    if only is None or not only.small:
+        return below.groupBy(*MESSAGE_KEY).agg(F.count(F.lit(1)).alias("comment_count"))
+    wanted = below.join(only.hinted(*MESSAGE_KEY), MESSAGE_KEY, "left_semi")
+    return F.broadcast(wanted.groupBy(*MESSAGE_KEY).agg(F.count(F.lit(1)).alias("comment_count")))
 
 
 def plain_messages(tables: Tables, rows: DataFrame) -> DataFrame:
@@ -47,5 +45,4 @@ def plain_entries(tables: Tables, entries: Pinned, viewer: int | None) -> DataFr
         return with_followed(tables, shown, viewer)
     rows = messages(tables).join(entries.hinted(), MESSAGE_KEY)
     counted = rows.join(comment_counts(tables, entries), MESSAGE_KEY, "left").fillna(0, ["comment_count"])
-    shown = resolve(counted, names(tables), ["id"], {"author": ([F.col("author_id")], AUTHOR)})
-    return with_followed(tables, shown, viewer)
+    return with_followed(tables, few_with_authors(tables, counted), viewer)

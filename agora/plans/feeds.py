@@ -19,7 +19,7 @@ from agora.operators.entries import (
 )
 from agora.operators.joins import keep_found, many_to_one
 from agora.operators.messages import CARD, all_of_kind, cards, few_of_kind, messages_of, rated
-from agora.operators.pinning import BROADCAST_ROWS, few_or_all, pin
+from agora.operators.pinning import BROADCAST_ROWS, few_or_all, in_order, pin
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
 
 
@@ -115,10 +115,11 @@ def home_feed(tables: Tables, viewer: int) -> DataFrame:
     kept = newest_per_message(entries).withColumn(
         "own_post", F.col("reposter_id").isNull() & (F.col("user_id") == viewer)
     )
-    shown = entry_cards(tables, pin(kept.drop("user_id")), viewer)
+    entries = pin(kept.drop("user_id"))
+    shown = entry_cards(tables, entries, viewer)
     for mark in ("user_reposted", "user_followed"):
         shown = shown.withColumn(mark, F.col(mark) & ~F.col("own_post"))
-    return shown.select(*HOME).orderBy(*newest_day_first())
+    return in_order(shown.select(*HOME), entries.small, *newest_day_first())
 
 
 def _rated_sources(tables: Tables) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.operators.messages import posts_as_messages
-from agora.operators.pinning import pin
+from agora.operators.pinning import in_order, pin
 from agora.operators.plain import PLAIN, plain_entries, plain_messages
 from agora.schema import POST, Tables
 
@@ -20,8 +20,9 @@ def post_list(tables: Tables) -> DataFrame:
 def author_posts(tables: Tables, author: int) -> DataFrame:
     """``post_list`` of one author; empty for an unknown one."""
     mine = tables.posts.filter(F.col("author_id") == author)
-    rows = plain_entries(tables, pin(mine.select(F.lit(POST).alias("kind"), "id")), None)
-    return rows.select(*PLAIN).orderBy(F.desc("created_at"), F.desc("id"))
+    entries = pin(mine.select(F.lit(POST).alias("kind"), "id"))
+    rows = plain_entries(tables, entries, None).select(*PLAIN)
+    return in_order(rows, entries.small, F.desc("created_at"), F.desc("id"))
 
 
 def top_level_comments(tables: Tables) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agora.operators.engagement import viewer_id
 from agora.operators.follows import follow_marks
 from agora.operators.joins import many_to_one
-from agora.operators.pinning import Pinned, pin
+from agora.operators.pinning import Pinned, in_order, pin
 from agora.schema import Tables
 
 STATS = ("post_count", "following_count", "follower_count")
@@ -63,7 +63,7 @@ def _follow_list(tables: Tables, username: str, viewer: int | None, mine: str, o
     )
     people = tables.users.select("id", "username", "display_name").join(edges.hinted(), "id")
     marked = follow_marks(tables, people, viewer_id(viewer))
-    return marked.select(*LISTED).orderBy(F.desc("followed_at"), F.desc("id"))
+    return in_order(marked.select(*LISTED), edges.small, F.desc("followed_at"), F.desc("id"))
 
 
 def followed_users(tables: Tables, username: str, viewer: int | None = None) -> DataFrame:

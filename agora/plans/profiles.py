@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agora.operators.engagement import MESSAGE_KEY, kind_of, viewer_id
 from agora.operators.entries import all_entry_cards, entry_cards, labelled, own_entries, repost_entries
 from agora.operators.messages import CARD
-from agora.operators.pinning import pin
+from agora.operators.pinning import in_order, pin
 from agora.schema import COMMENT, COMMENT_REPOST, LIKE_TYPE, POST, REPOST_TYPE, Tables
 
 TIMELINE = (*CARD, "post_type", "post_date", "reposted_by", "reposted_by_username")
@@ -30,11 +30,8 @@ def _timeline_entries(tables: Tables, kind: str, user: int | None) -> DataFrame:
 
 def _timeline(tables: Tables, kind: str, user: int, viewer: int | None) -> DataFrame:
     entries = pin(_timeline_entries(tables, kind, user).drop("user_id"))
-    return (
-        entry_cards(tables, entries, viewer)
-        .select(*TIMELINE)
-        .orderBy(F.desc("post_date"), F.asc("post_type"), F.desc("id"))
-    )
+    shown = entry_cards(tables, entries, viewer).select(*TIMELINE)
+    return in_order(shown, entries.small, F.desc("post_date"), F.asc("post_type"), F.desc("id"))
 
 
 def profile_posts(tables: Tables, user: int, viewer: int | None = None) -> DataFrame:
@@ -83,7 +80,7 @@ def liked_messages(tables: Tables, user: int, viewer: int | None = None) -> Data
     """The posts and comments a user likes, latest like first."""
     mine = F.col("user_id") == user
     entries = pin(_like_entries(tables.likes.filter(mine), tables.reposts.filter(mine)).drop("user_id"))
-    return entry_cards(tables, entries, viewer).select(*LIKED).orderBy(F.desc("like_id"))
+    return in_order(entry_cards(tables, entries, viewer).select(*LIKED), entries.small, F.desc("like_id"))
 
 
 def liked_messages_all(tables: Tables, viewer: int | None = None) -> DataFrame:
@@ -101,7 +98,7 @@ def _linked(tables: Tables, edges: DataFrame, tag: str, kind: str, user: int, wh
     )
     keys = pin(mine)
     messages = tables.posts if kind == POST else tables.comments
-    return messages.join(keys.hinted(), "id").orderBy(F.desc(when), F.desc("id"))
+    return in_order(messages.join(keys.hinted(), "id"), keys.small, F.desc(when), F.desc("id"))
 
 
 def liked_posts(tables: Tables, user: int) -> DataFrame:

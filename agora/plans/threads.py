@@ -9,7 +9,7 @@ from agora.operators.entries import entry_cards
 from agora.operators.joins import many_to_one
 from agora.operators.messages import CARD, author_record, cards, comments_as_messages, posts_as_messages
 from agora.operators.nesting import nest
-from agora.operators.pinning import pin
+from agora.operators.pinning import in_order, pin
 from agora.operators.plain import PLAIN, plain_entries, plain_messages
 from agora.schema import COMMENT, POST, Tables
 
@@ -48,7 +48,8 @@ def post_thread(tables: Tables, post: int, viewer: int | None = None) -> DataFra
     own = tables.posts.filter(F.col("id") == post)
     top_level = tables.comments.filter((F.col("post_id") == post) & F.col("parent_id").isNull())
     entries = pin(_tagged(own, POST, POST).unionByName(_tagged(top_level, COMMENT, COMMENT)))
-    return entry_cards(tables, entries, viewer).select("show_type", *CARD).orderBy(*_newest_first())
+    shown = entry_cards(tables, entries, viewer).select("show_type", *CARD)
+    return in_order(shown, entries.small, *_newest_first())
 
 
 def comment_thread(tables: Tables, comment: int, viewer: int | None = None) -> DataFrame:
@@ -56,7 +57,8 @@ def comment_thread(tables: Tables, comment: int, viewer: int | None = None) -> D
     own = _around(tables.comments.filter(F.col("id") == comment))
     replies = tables.comments.filter(F.col("parent_id") == comment)
     entries = pin(own.unionByName(_tagged(replies, COMMENT, OWN_COMMENT_REPLY)))
-    return entry_cards(tables, entries, viewer).select("show_type", *CARD).orderBy(*_newest_first())
+    shown = entry_cards(tables, entries, viewer).select("show_type", *CARD)
+    return in_order(shown, entries.small, *_newest_first())
 
 
 def post_threads_all(tables: Tables, viewer: int | None = None) -> DataFrame:
@@ -111,10 +113,12 @@ def nested_threads(threads: DataFrame) -> DataFrame:
 DETAIL = ("part", *PLAIN, "current_user_following")
 
 
-def _details(tables: Tables, entries: DataFrame, viewer: int | None, followed_parts: list[str]) -> DataFrame:
-    shown = plain_entries(tables, pin(entries), viewer)
+def _details(tables: Tables, rows: DataFrame, viewer: int | None, followed_parts: list[str]) -> DataFrame:
+    entries = pin(rows)
     follows = F.when(F.col("show_type").isin(followed_parts), F.col("user_followed"))
-    return shown.withColumn("current_user_following", follows).withColumnRenamed("show_type", "part")
+    shown = plain_entries(tables, entries, viewer).withColumn("current_user_following", follows)
+    parts = shown.withColumnRenamed("show_type", "part").select(*DETAIL)
+    return in_order(parts, entries.small, F.asc("part"), F.desc("created_at"), F.desc("id"))
 
 
 def post_detail(tables: Tables, post: int, viewer: int | None = None) -> DataFrame:
@@ -122,8 +126,7 @@ def post_detail(tables: Tables, post: int, viewer: int | None = None) -> DataFra
     own = tables.posts.filter(F.col("id") == post)
     top_level = tables.comments.filter((F.col("post_id") == post) & F.col("parent_id").isNull())
     entries = _tagged(own, POST, POST).unionByName(_tagged(top_level, COMMENT, COMMENT))
-    shown = _details(tables, entries, viewer, [POST])
-    return shown.select(*DETAIL).orderBy(F.desc("part"), F.desc("created_at"), F.desc("id"))
+    return _details(tables, entries, viewer, [POST])
 
 
 def comment_detail(tables: Tables, comment: int, viewer: int | None = None) -> DataFrame:
@@ -131,8 +134,7 @@ def comment_detail(tables: Tables, comment: int, viewer: int | None = None) -> D
     own = _around(tables.comments.filter(F.col("id") == comment))
     replies = tables.comments.filter(F.col("parent_id") == comment)
     entries = own.unionByName(_tagged(replies, COMMENT, OWN_COMMENT_REPLY))
-    shown = _details(tables, entries, viewer, [OWN_COMMENT, OWN_COMMENT_POST])
-    return shown.select(*DETAIL).orderBy(F.asc("part"), F.desc("created_at"), F.desc("id"))
+    return _details(tables, entries, viewer, [OWN_COMMENT, OWN_COMMENT_POST])
 
 
 def _plain_record() -> Column:
@@ -142,8 +144,9 @@ def _plain_record() -> Column:
 def user_comments(tables: Tables, author: int) -> DataFrame:
     """Every comment and reply of one author with its post and parent nested."""
     mine = tables.comments.filter(F.col("author_id") == author)
-    shown = plain_entries(tables, pin(_around(mine, "comment_id")), None)
-    return _one_row_per_comment(shown)
+    entries = pin(_around(mine, "comment_id"))
+    shown = _one_row_per_comment(plain_entries(tables, entries, None))
+    return in_order(shown, entries.small, F.desc("comment.created_at"), F.desc("comment_id"))
 
 
 def user_comments_all(tables: Tables) -> DataFrame:
@@ -166,10 +169,9 @@ def _one_row_per_comment(rows: DataFrame) -> DataFrame:
     def part(tag: str, name: str) -> Column:
         return F.max(F.when(F.col("show_type") == tag, _plain_record())).alias(name)
 
-    wide = rows.groupBy("comment_id").agg(
+    return rows.groupBy("comment_id").agg(
         part(OWN_COMMENT, "comment"), part(OWN_COMMENT_POST, "post"), part(PARENT_COMMENT, "parent")
     )
-    return wide.orderBy(F.desc("comment.created_at"), F.desc("comment_id"))
 
 
 def flat_user_comments(nested: DataFrame) -> DataFrame:

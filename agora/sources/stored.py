@@ -25,7 +25,10 @@ def conform(frame: DataFrame, name: str) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
-    return Tables(**{name: conform(spark.read.format(fmt).load(f"{path}/{name}"), name) for name in SCHEMAS})
+    """The six tables below ``path``; their schema is known, so no file is read for it."""
+    return Tables(
+        **{name: spark.read.schema(schema).format(fmt).load(f"{path}/{name}") for name, schema in SCHEMAS.items()}
+    )
 
 
 def write_tables(tables: Tables, path: str, mode: str = "errorifexists") -> None:
