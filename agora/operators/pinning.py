@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -32,15 +33,18 @@ class Pinned:
 
 
 def pin(frame: DataFrame) -> Pinned:
-    """Compute ``frame`` once and keep it in the shared checkpoint folder.
+    """Compute ``frame`` once, as a Parquet table in the shared folder.
 
     The rows are counted while they are written, so this is one job.  Losing an
-    executor later costs nothing: the rows are read back from the folder.
+    executor later costs nothing, since the rows are read back from the folder,
+    and the optimizer plans on with the table's true size instead of an estimate
+    that grows with every join behind it.
     """
-    shared_dir(frame.sparkSession)
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/agora-pinned-{uuid.uuid4().hex}"
     seen = Observation()
-    kept = frame.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint()
-    return Pinned(kept, int(seen.get["rows"]))
+    frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return Pinned(spark.read.schema(frame.schema).parquet(path), int(seen.get["rows"]))
 
 
 def few_or_all(rows: DataFrame) -> tuple[DataFrame, Pinned | None]:

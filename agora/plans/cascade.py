@@ -14,9 +14,6 @@ from agora.schema import COMMENT, POST, Tables
 OTHERS = {POST: "Cannot delete other's posts.", COMMENT: "Cannot delete other's comments."}
 NOT_FOUND = {POST: "Unable to find Post at given ID: ", COMMENT: "Unable to find Comment at given ID: "}
 
-# Every round doubles the depth that is covered, so no real thread needs more.
-MAX_ROUNDS = 40
-
 
 def delete_requests(tables: Tables, kind: str, requests: DataFrame) -> DataFrame:
     """Judge (actor_id, id) requests: ``reason`` is null where the actor wrote the message."""
@@ -47,10 +44,15 @@ def _below(comments: DataFrame, roots: Pinned) -> DataFrame:
     )
     is_open = ~F.col("hit") & F.col("above").isNotNull()
     state = pin(nodes).frame
-    for _ in range(MAX_ROUNDS):
+    before = None
+    while True:
         open_nodes = pin(state.filter(is_open))
         if open_nodes.rows == 0:
             return state.filter("hit").select("id")
+        # The open comment nearest to its top settles in every round.
+        if open_nodes.rows == before:
+            raise ValueError("comments form a cycle through parent_id")
+        before = open_nodes.rows
         targets = state.select(
             F.col("id").alias("above"), F.col("above").alias("next_above"), F.col("hit").alias("hit_above")
         )
@@ -58,7 +60,6 @@ def _below(comments: DataFrame, roots: Pinned) -> DataFrame:
             "id", F.col("next_above").alias("above"), F.coalesce("hit_above", F.lit(False)).alias("hit")
         )
         state = pin(state.filter(~is_open).unionByName(jumped)).frame
-    raise ValueError("comments form a cycle through parent_id")
 
 
 def cascade_delete(

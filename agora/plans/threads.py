@@ -113,12 +113,14 @@ def nested_threads(threads: DataFrame) -> DataFrame:
 DETAIL = ("part", *PLAIN, "current_user_following")
 
 
-def _details(tables: Tables, rows: DataFrame, viewer: int | None, followed_parts: list[str]) -> DataFrame:
+def _details(
+    tables: Tables, rows: DataFrame, viewer: int | None, followed_parts: list[str], first: Column
+) -> DataFrame:
     entries = pin(rows)
     follows = F.when(F.col("show_type").isin(followed_parts), F.col("user_followed"))
     shown = plain_entries(tables, entries, viewer).withColumn("current_user_following", follows)
     parts = shown.withColumnRenamed("show_type", "part").select(*DETAIL)
-    return in_order(parts, entries.small, F.asc("part"), F.desc("created_at"), F.desc("id"))
+    return in_order(parts, entries.small, first, F.desc("created_at"), F.desc("id"))
 
 
 def post_detail(tables: Tables, post: int, viewer: int | None = None) -> DataFrame:
@@ -126,7 +128,7 @@ def post_detail(tables: Tables, post: int, viewer: int | None = None) -> DataFra
     own = tables.posts.filter(F.col("id") == post)
     top_level = tables.comments.filter((F.col("post_id") == post) & F.col("parent_id").isNull())
     entries = _tagged(own, POST, POST).unionByName(_tagged(top_level, COMMENT, COMMENT))
-    return _details(tables, entries, viewer, [POST])
+    return _details(tables, entries, viewer, [POST], F.desc("part"))
 
 
 def comment_detail(tables: Tables, comment: int, viewer: int | None = None) -> DataFrame:
@@ -134,7 +136,7 @@ def comment_detail(tables: Tables, comment: int, viewer: int | None = None) -> D
     own = _around(tables.comments.filter(F.col("id") == comment))
     replies = tables.comments.filter(F.col("parent_id") == comment)
     entries = own.unionByName(_tagged(replies, COMMENT, OWN_COMMENT_REPLY))
-    return _details(tables, entries, viewer, [OWN_COMMENT, OWN_COMMENT_POST])
+    return _details(tables, entries, viewer, [OWN_COMMENT, OWN_COMMENT_POST], F.asc("part"))
 
 
 def _plain_record() -> Column:
