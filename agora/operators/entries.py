@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from agora.functions.ratings import reposter_label
 from agora.operators.engagement import MESSAGE_KEY, engagement, kind_of, viewer_id, with_engagement
 from agora.operators.joins import many_to_one
-from agora.operators.messages import few_with_people, message_cards, messages, names
-from agora.operators.pinning import Pinned
+from agora.operators.messages import cards, cards_of, few_with_people, messages, names
+from agora.operators.pinning import Pinned, pin
 from agora.schema import COMMENT, POST, Tables
 
 
@@ -68,12 +68,27 @@ def entry_cards(tables: Tables, entries: Pinned, viewer: int | None) -> DataFram
     return labelled(few_with_people(tables, rated, viewer), me)
 
 
-def all_entry_cards(tables: Tables, entries: DataFrame, viewer: int | None, hot_from: DataFrame) -> DataFrame:
-    """Any number of entries: the cards of all messages, and one join to them."""
-    shown = many_to_one(
-        entries, message_cards(tables, viewer), MESSAGE_KEY, hot_from=hot_from, sized_by=tables.comments
+def all_entry_cards(
+    tables: Tables, entries: DataFrame, viewer: int | None, hot_from: DataFrame, whole: tuple[str, ...] = ()
+) -> DataFrame:
+    """Any number of entries: the cards of their messages, and one join to them.
+
+    ``whole`` names the kinds of which every message is an entry; of the others
+    only the messages with an entry are looked at.
+    """
+    parts = []
+    for kind in (POST, COMMENT):
+        if kind in whole:
+            parts.append(cards(tables, kind, viewer))
+            continue
+        ids = pin(entries.filter(F.col("kind") == kind).select(*MESSAGE_KEY).distinct())
+        if ids.rows:
+            parts.append(cards_of(tables, kind, ids, viewer))
+    shown = parts[0].unionByName(parts[1]) if len(parts) == 2 else (parts or [cards(tables, POST, viewer)])[0]
+    joined = many_to_one(
+        entries, shown.drop("post_id", "parent_id"), MESSAGE_KEY, hot_from=hot_from, sized_by=tables.comments
     )
-    return with_reposter(tables, shown, hot_from=entries) if "reposter_id" in entries.columns else shown
+    return with_reposter(tables, joined, hot_from=entries) if "reposter_id" in entries.columns else joined
 
 
 def newest_per_message(entries: DataFrame, *who: str) -> DataFrame:

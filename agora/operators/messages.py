@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.operators.engagement import MESSAGE_KEY, engagement, viewer_id, with_engagement
-from agora.operators.joins import fits_broadcast, many_to_one
+from agora.operators.joins import fits_broadcast, keep_found, many_to_one
 from agora.operators.pinning import Pinned
 from agora.schema import COMMENT, POST, Tables
 
@@ -207,9 +207,16 @@ def cards(tables: Tables, kind: str, viewer: int | None = None, rows: DataFrame
     return known.select("kind", *CARD, "rating", "post_id", "parent_id")
 
 
-def message_cards(tables: Tables, viewer: int | None = None) -> DataFrame:
-    """Cards of every post and comment, with their kind."""
-    return cards(tables, POST, viewer).unionByName(cards(tables, COMMENT, viewer))
+def cards_of(
+    tables: Tables, kind: str, ids: Pinned, viewer: int | None = None, rows: DataFrame | None = None
+) -> DataFrame:
+    """Cards of the messages of one kind that the computed (kind, id) keys name."""
+    rows = keep_found(messages_of(tables, kind) if rows is None else rows, ids, MESSAGE_KEY)
+    if not ids.small:
+        return cards(tables, kind, viewer, rows)
+    return few_of_kind(tables, kind, rated(tables, kind, rows, viewer, ids), viewer).select(
+        "kind", *CARD, "rating", "post_id", "parent_id"
+    )
 
 
 def message_counts(tables: Tables) -> DataFrame:

@@ -17,8 +17,8 @@ from agora.operators.entries import (
     own_entries,
     repost_entries,
 )
-from agora.operators.joins import keep_found, many_to_one
-from agora.operators.messages import CARD, all_of_kind, cards, few_of_kind, messages_of, rated
+from agora.operators.joins import many_to_one
+from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, messages_of, rated
 from agora.operators.pinning import BROADCAST_ROWS, few_or_all, in_order, pin
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
 
@@ -46,10 +46,7 @@ def _popular_comments(tables: Tables, viewer: int | None, since: date | None) ->
     reposted = tables.reposts.filter(F.col("type") == COMMENT_REPOST).groupBy(F.col("message_id").alias("id"))
     popular = reposted.agg(F.count(F.lit(1)).alias("reposts")).filter(F.col("reposts") > POPULAR_COMMENT_REPOSTS)
     ids = pin(popular.select(F.lit(COMMENT).alias("kind"), "id"))
-    rows = _since(keep_found(messages_of(tables, COMMENT), ids, MESSAGE_KEY), since)
-    if not ids.small:
-        return cards(tables, COMMENT, viewer, rows)
-    return few_of_kind(tables, COMMENT, rated(tables, COMMENT, rows, viewer, ids), viewer)
+    return cards_of(tables, COMMENT, ids, viewer, _since(messages_of(tables, COMMENT), since))
 
 
 def _since(rows: DataFrame, day: date | None) -> DataFrame:

@@ -47,7 +47,7 @@ def profile_comments(tables: Tables, user: int, viewer: int | None = None) -> Da
 def _timeline_all(tables: Tables, kind: str, viewer: int | None) -> DataFrame:
     entries = _timeline_entries(tables, kind, None)
     reposted = repost_entries(tables.reposts).select(*MESSAGE_KEY)
-    shown = all_entry_cards(tables, entries, viewer, hot_from=reposted)
+    shown = all_entry_cards(tables, entries, viewer, hot_from=reposted, whole=(kind,))
     return labelled(shown, F.lit(viewer_id(viewer))).select("user_id", *TIMELINE)
 
 

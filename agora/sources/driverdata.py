@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agora.operators.joins import many_to_one
-from agora.schema import COMMENT_LIKE, COMMENT_REPOST, POST_LIKE, POST_REPOST, SCHEMAS, Tables
+from agora.schema import COMMENT_LIKE, COMMENT_REPOST, POST_LIKE, POST_REPOST, Tables
 from agora.session import shared_dir
-from agora.sources.stored import conform, read_tables, write_tables
+from agora.sources.stored import conform, read_table, read_tables, write_table
 
 # Which event type stands for which edge.
 LIKE_EVENTS = {"click": POST_LIKE, "purchase": COMMENT_LIKE}
@@ -100,13 +100,9 @@ def events(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) ->
     return rows.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
 
 
-def first_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_comments(comments_: DataFrame) -> DataFrame:
     """(post_id, first_comment) for posts that have a comment."""
-    return (
-        source(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_orderkey") + 1).alias("post_id"))
-        .agg(F.min(_comment_id()).alias("first_comment"))
-    )
+    return comments_.groupBy("post_id").agg(F.min("id").alias("first_comment"))
 
 
 def _once(edges: DataFrame, key: list[str]) -> DataFrame:
@@ -114,7 +110,9 @@ def _once(edges: DataFrame, key: list[str]) -> DataFrame:
     return edges.groupBy(*key).agg(F.min("event_id").alias("event_id"), F.min("ts").alias("ts"))
 
 
-def message_edges(spark: SparkSession, sf_dir: str, kinds: dict[str, str], distinct: bool) -> DataFrame:
+def message_edges(
+    spark: SparkSession, sf_dir: str, kinds: dict[str, str], comments_: DataFrame, distinct: bool
+) -> DataFrame:
     """Like or repost edges; with ``distinct`` only the earliest of equal ones."""
     marked = events(spark, sf_dir, list(kinds)).select(
         "event_id",
@@ -127,9 +125,8 @@ def message_edges(spark: SparkSession, sf_dir: str, kinds: dict[str, str], disti
         marked = _once(marked, ["type", "user_id", "post_id"])
     on_comment = F.col("type").isin(*COMMENT_EDGES)
     on_posts = marked.filter(~on_comment).withColumn("message_id", F.col("post_id"))
-    on_comments = many_to_one(
-        marked.filter(on_comment), first_comments(spark, sf_dir), ["post_id"]
-    ).withColumnRenamed("first_comment", "message_id")
+    first = first_comments(comments_).withColumnRenamed("first_comment", "message_id")
+    on_comments = many_to_one(marked.filter(on_comment), first, ["post_id"], sized_by=comments_)
     return on_posts.unionByName(on_comments).select(
         (F.col("event_id") + 1).alias("id"), "type", "user_id", "message_id", F.col("ts").alias("created_at")
     )
@@ -159,43 +156,37 @@ def without_own_reposts(edges: DataFrame, posts_: DataFrame, comments_: DataFram
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The mapping before repeated edges, self-follows and own reposts are dropped."""
-    frames = {
-        "users": users(spark, sf_dir),
-        "posts": posts(spark, sf_dir),
-        "comments": comments(spark, sf_dir),
-        "likes": message_edges(spark, sf_dir, LIKE_EVENTS, distinct=False),
-        "reposts": message_edges(spark, sf_dir, REPOST_EVENTS, distinct=False),
-        "follows": follow_edges(spark, sf_dir, distinct=False),
-    }
-    return Tables(**{name: conform(frames[name], name) for name in SCHEMAS})
-
-
-def clean_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The mapped tables, every constraint met."""
-    posts_, comments_ = posts(spark, sf_dir), comments(spark, sf_dir)
-    reposts = message_edges(spark, sf_dir, REPOST_EVENTS, distinct=True)
-    follows = follow_edges(spark, sf_dir, distinct=True)
-    frames = {
-        "users": users(spark, sf_dir),
-        "posts": posts_,
-        "comments": comments_,
-        "likes": message_edges(spark, sf_dir, LIKE_EVENTS, distinct=True),
-        "reposts": without_own_reposts(reposts, posts_, comments_),
-        "follows": follows.filter(F.col("follower_id") != F.col("followee_id")),
-    }
-    return Tables(**{name: conform(frames[name], name) for name in SCHEMAS})
-
-
-_ingested: dict[tuple[str, str], str] = {}
+    stored = load(spark, sf_dir)
+    return stored.with_(
+        likes=conform(message_edges(spark, sf_dir, LIKE_EVENTS, stored.comments, distinct=False), "likes"),
+        reposts=conform(message_edges(spark, sf_dir, REPOST_EVENTS, stored.comments, distinct=False), "reposts"),
+        follows=conform(follow_edges(spark, sf_dir, distinct=False), "follows"),
+    )
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> str:
-    """Write the mapped tables to the shared folder; returns where."""
+    """Write the mapped tables to the shared folder; returns where.
+
+    Users, posts and comments come first; the edges are then derived from the
+    stored messages, so that nothing is mapped twice.
+    """
     path = f"{shared_dir(spark).rstrip('/')}/agora-tables-{uuid.uuid4().hex}"
-    write_tables(clean_tables(spark, sf_dir), path)
+    write_table(users(spark, sf_dir), "users", path)
+    write_table(posts(spark, sf_dir), "posts", path)
+    write_table(comments(spark, sf_dir), "comments", path)
+    posts_, comments_ = read_table(spark, "posts", path), read_table(spark, "comments", path)
+    likes = message_edges(spark, sf_dir, LIKE_EVENTS, comments_, distinct=True)
+    reposts = message_edges(spark, sf_dir, REPOST_EVENTS, comments_, distinct=True)
+    follows = follow_edges(spark, sf_dir, distinct=True)
+    write_table(likes, "likes", path)
+    write_table(without_own_reposts(reposts, posts_, comments_), "reposts", path)
+    write_table(follows.filter(F.col("follower_id") != F.col("followee_id")), "follows", path)
     return path
 
 
+_ingested: dict[tuple[str, str], str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """The mapped tables, written once per application and read from then on.
 

@@ -24,14 +24,20 @@ def conform(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
 
 
+def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
+    """One table below ``path``; its schema is known, so no file is read for it."""
+    return spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{path}/{name}")
+
+
 def read_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
-    """The six tables below ``path``; their schema is known, so no file is read for it."""
-    return Tables(
-        **{name: spark.read.schema(schema).format(fmt).load(f"{path}/{name}") for name, schema in SCHEMAS.items()}
-    )
+    return Tables(**{name: read_table(spark, name, path, fmt) for name in SCHEMAS})
+
+
+def write_table(frame: DataFrame, name: str, path: str, mode: str = "errorifexists") -> None:
+    """Write one table, sorted by its lookup column within its files."""
+    conform(frame, name).sortWithinPartitions(LOOKUP_COLUMN[name]).write.mode(mode).parquet(f"{path}/{name}")
 
 
 def write_tables(tables: Tables, path: str, mode: str = "errorifexists") -> None:
-    """Write the tables, each sorted by its lookup column within its files."""
     for name, frame in tables.items():
-        conform(frame, name).sortWithinPartitions(LOOKUP_COLUMN[name]).write.mode(mode).parquet(f"{path}/{name}")
+        write_table(frame, name, path, mode)
