@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from agora.llm.decontamination import OP6_SQL, op6_decontamination
 from agora.llm.shipping import ship
 from agora.llm.simhash import op9_simhash
 
@@ -20,6 +21,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op9_simhash,)}
+QUERIES = {f.__name__: _shipped(f) for f in (op6_decontamination, op9_simhash)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL}
