@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from agora.llm.bpe import op10_bpe
 from agora.llm.decontamination import OP6_SQL, op6_decontamination
+from agora.llm.embeddings import OP8_SQL, op8_embeddings
 from agora.llm.shipping import ship
 from agora.llm.simhash import op9_simhash
 
@@ -21,6 +23,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op6_decontamination, op9_simhash)}
+QUERIES = {f.__name__: _shipped(f) for f in (op6_decontamination, op8_embeddings, op9_simhash, op10_bpe)}
 
-ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL}
+ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_embeddings": OP8_SQL}
