@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -31,7 +33,7 @@ from agora.llm.common import by_bytes, fresh_name, table, texts_of
 
 # The pre-token pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -63,8 +65,8 @@ class Bpe:
             self.bytes_of[i] = b
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
-        lengths = np.array([len(b) for b in self.bytes_of])
-        self.offsets = np.concatenate(([0], np.cumsum(lengths)))
+        self.sizes = [len(b) for b in self.bytes_of]
+        self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
         self.blob = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
         # Single bytes have rank -1: they come before every merge and do not split.
         self.rank = dict.fromkeys(self.id_of.values(), -1)
@@ -80,7 +82,7 @@ class Bpe:
                 self.rank[whole] = order
         self.words = ahocorasick.Automaton()
         for b, i in self.id_of.items():
-            self.words.add_word(b.decode("latin-1"), (i, len(b)))
+            self.words.add_word(b.decode("latin-1"), i)
         self.words.make_automaton()
         # The next shorter token that begins each token.
         self.shorter: dict[int, int | None] = {}
@@ -123,25 +125,36 @@ class Bpe:
         whole = self.id_of.get(word)
         if whole is not None and (whole in self.parts or len(word) == 1):
             return (whole,)
+        letters = word.decode("latin-1")
+        # The longest token at every step: right when each may follow the one before.
+        greedy = [token for _, token in self.words.iter_long(letters)]
+        fits = self.fits
+        for pair in pairwise(greedy):
+            if not (fits[pair] if pair in fits else self.may_follow(*pair)):
+                return self._backtrack(word, letters)
+        return tuple(greedy)
+
+    def _backtrack(self, word: bytes, letters: str) -> tuple[int, ...]:
         n = len(word)
+        sizes = self.sizes
         longest = [0] * n
-        for end, (token, size) in self.words.iter(word.decode("latin-1")):
-            longest[end - size + 1] = token
+        for end, token in self.words.iter(letters):
+            longest[end - sizes[token] + 1] = token
         open_at = bytearray(b"\1") * (n + 1)
-        bytes_of, shorter, may_follow = self.bytes_of, self.shorter, self.may_follow
+        shorter, may_follow = self.shorter, self.may_follow
         tokens: list[int] = []
         at, token = 0, longest[0]
         while True:
             last = tokens[-1] if tokens else None
             while token is not None:
-                end = at + len(bytes_of[token])
+                end = at + sizes[token]
                 if open_at[end] and (last is None or may_follow(last, token)):
                     break
                 token = shorter[token]
             if token is None:
                 open_at[at] = 0
                 token = tokens.pop()
-                at -= len(bytes_of[token])
+                at -= sizes[token]
                 continue
             tokens.append(token)
             at = end
@@ -153,7 +166,7 @@ class Bpe:
         if len(self.known) >= KEPT_WORDS:
             self.known.clear()
         ids = self.encode_bytes(word.encode("utf-8", "surrogatepass"))
-        packed = self.known[word] = np.array(ids, dtype="<u4").tobytes()
+        packed = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return packed
 
     def encode(self, text: str) -> np.ndarray:
