@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from agora.llm.bpe import op10_bpe
 from agora.llm.decontamination import OP6_SQL, op6_decontamination
 from agora.llm.embeddings import OP8_SQL, op8_embeddings
+from agora.llm.extraction import op1_extraction
 from agora.llm.records import op7_records
 from agora.llm.shipping import ship
 from agora.llm.simhash import op9_simhash
@@ -24,6 +25,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op6_decontamination, op7_records, op8_embeddings, op9_simhash, op10_bpe)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_extraction, op6_decontamination, op7_records, op8_embeddings, op9_simhash, op10_bpe)}
 
 ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_embeddings": OP8_SQL}
