@@ -11,6 +11,7 @@ from agora.llm.bpe import op10_bpe
 from agora.llm.decontamination import OP6_SQL, op6_decontamination
 from agora.llm.embeddings import OP8_SQL, op8_embeddings
 from agora.llm.extraction import op1_extraction
+from agora.llm.language import op2_language
 from agora.llm.quality import op4_quality
 from agora.llm.records import op7_records
 from agora.llm.shipping import ship
@@ -28,6 +29,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_extraction, op3_toxicity, op4_quality, op6_decontamination, op7_records, op8_embeddings, op9_simhash, op10_bpe)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_extraction, op2_language, op3_toxicity, op4_quality, op6_decontamination, op7_records, op8_embeddings, op9_simhash, op10_bpe)}
 
 ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_embeddings": OP8_SQL}
