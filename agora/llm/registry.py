@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from agora.llm.bpe import op10_bpe
@@ -16,7 +17,6 @@ from agora.llm.quality import op4_quality
 from agora.llm.records import op7_records
 from agora.llm.shipping import ship
 from agora.llm.simhash import op9_simhash
-
 from agora.llm.suffix_dedup import op5_suffix_dedup
 from agora.llm.toxicity import op3_toxicity
 
@@ -30,6 +30,20 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_extraction, op2_language, op3_toxicity, op4_quality, op5_suffix_dedup, op6_decontamination, op7_records, op8_embeddings, op9_simhash, op10_bpe)}
+OPERATORS = (
+    op1_extraction,
+    op2_language,
+    op3_toxicity,
+    op4_quality,
+    op5_suffix_dedup,
+    op6_decontamination,
+    op7_records,
+    op8_embeddings,
+    op9_simhash,
+    op10_bpe,
+)
+
+QUERIES = {f.__name__: _shipped(f) for f in OPERATORS}
+QUERIES["pipeline"] = _shipped(corpus_pipeline.run)
 
 ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_embeddings": OP8_SQL}

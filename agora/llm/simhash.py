@@ -63,13 +63,13 @@ def fingerprint(text: str, shingle: int = SHINGLE, chunk: int = 1 << 15) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches):
         prints = [fingerprint(t) for t in texts_of(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; a null or empty text has fingerprint zero."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, text_hash, fp) for every row of ``docs``; a null or empty text has fingerprint zero."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
 def vantage_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,10 +181,11 @@ def near_points(points: DataFrame, rows: int, radius: int = RADIUS, split: int =
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, text_hash, fp, group, component_id) for every row of ``docs``.
 
     ``component_id`` is the smallest id whose fingerprint is reachable over links
-    of at most ``radius`` differing bits.  Null and empty texts share fingerprint
+    of at most ``radius`` differing bits; ``group`` is that component's smallest
+    fingerprint.  Null and empty texts share fingerprint
     zero and link like any other.  Rows with equal ids are kept as they are; a
     null id is kept and never chosen while its component has another.
     """
@@ -193,9 +194,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(near_points(points.frame.select("fp"), points.rows, radius))
     linked = found.join(points.frame.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    known = points.frame.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+    member = found.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    known = points.frame.join(member, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "first").alias("component_id")
+    )
+    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
