@@ -86,7 +86,7 @@ def all_entry_cards(
             parts.append(cards_of(tables, kind, ids, viewer))
     shown = parts[0].unionByName(parts[1]) if len(parts) == 2 else (parts or [cards(tables, POST, viewer)])[0]
     joined = many_to_one(
-        entries, shown.drop("post_id", "parent_id"), MESSAGE_KEY, hot_from=hot_from, sized_by=tables.comments
+        entries, shown.drop("post_id", "parent_id"), MESSAGE_KEY, hot_from=hot_from, sized_by=messages(tables)
     )
     return with_reposter(tables, joined, hot_from=entries) if "reposter_id" in entries.columns else joined
 

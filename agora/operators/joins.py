@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from agora.operators.pinning import Pinned
 
-# At most this many keys are treated as hot.  Any other key then holds less
-# than 1/HOT_KEYS of the rows, and the broadcast list of hot keys stays tiny.
-HOT_KEYS = 1000
+# A key with more than this share of the rows is hot, so there are never more
+# than 1/HOT_SHARE hot keys and their list can be broadcast; none is left out.
+HOT_SHARE = 1e-5
 # A key with fewer rows than this is never worth splitting.
 HOT_ROWS = 100_000
+# A frame derived from tables may be this many times their size and more is not
+# broadcast on their account.
+WIDENED = 4
 
 _UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
 
@@ -24,22 +27,20 @@ def _broadcast_limit(spark: SparkSession) -> int:
     return int(number) * _UNITS.get(unit, 1)
 
 
-def fits_broadcast(frame: DataFrame) -> bool:
-    """Whether the optimizer's own size estimate lets it broadcast ``frame``."""
+def fits_broadcast(frame: DataFrame, times: int = 1) -> bool:
+    """Whether ``times`` the optimizer's own size estimate lets it broadcast ``frame``."""
     size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= _broadcast_limit(frame.sparkSession)
+    return int(str(size)) * times <= _broadcast_limit(frame.sparkSession)
 
 
 def hot_keys(facts: DataFrame, on: list[str], rows: int | None = None) -> DataFrame:
-    """The at most ``HOT_KEYS`` keys with the most rows, if they have many."""
+    """All keys with at least ``rows`` rows and more than ``HOT_SHARE`` of all rows."""
+    keyed = facts.select(*on).dropna()
+    least = max(HOT_ROWS if rows is None else rows, int(keyed.count() * HOT_SHARE) + 1)
     return (
-        facts.select(*on)
-        .dropna()
-        .groupBy(*on)
+        keyed.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") >= (HOT_ROWS if rows is None else rows))
-        .orderBy(F.desc("__rows"))
-        .limit(HOT_KEYS)
+        .filter(F.col("__rows") >= least)
         .select(*on, F.lit(True).alias("__hot"))
     )
 
@@ -59,14 +60,14 @@ def many_to_one(
     spread over salts; ``dim`` rows are repeated only for the hot keys.
 
     ``hot_from``: a cheap frame to count the keys in, when ``facts`` is costly.
-    ``sized_by``: the stored table that bounds ``dim``, when ``dim`` is itself a
-    join, whose size the optimizer can only overestimate.
+    ``sized_by``: stored tables with a row for each row of ``dim``, when ``dim`` is
+    itself a join, whose size the optimizer can only overestimate.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"many_to_one joins are inner or left, not {how}")
     if fits_broadcast(dim):
         return facts.join(dim, on, how)
-    if sized_by is not None and fits_broadcast(sized_by):
+    if sized_by is not None and fits_broadcast(sized_by, WIDENED):
         return facts.join(F.broadcast(dim), on, how)
     hot = F.broadcast(hot_keys(facts if hot_from is None else hot_from, on))
     salts = max(8, min(512, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))

@@ -56,7 +56,7 @@ def with_followed(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFr
     me = viewer_id(viewer)
     if me == 0:
         return rows.selectExpr("*", "false AS user_followed")
-    followed = tables.follows.filter(f"follower_id = {me}").selectExpr("followee_id AS author_id", "true AS followed")
+    followed = tables.follows.filter(f"follower_id = {me}").selectExpr("followee_id AS author_id", "true AS followed").distinct()
     return rows.join(followed, "author_id", "left").selectExpr(
         *rows.columns, "coalesce(followed, false) AS user_followed"
     )
@@ -76,8 +76,10 @@ def few_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> Data
     asking rows, three or four per message, are broadcast, once over posts and
     comments to find the authors, once over users to find their names, and one
     aggregation brings the answers back together.  Nothing big is shuffled.  A
-    ``reposter_id`` column is named as well.
+    ``reposter_id`` column is named as well.  Equal rows stay apart by a number.
     """
+    columns = rows.columns
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
     asked = rows.selectExpr(
         "*",
         f"""explode(array(
@@ -107,7 +109,7 @@ def few_with_people(tables: Tables, rows: DataFrame, viewer: int | None) -> Data
         answer("post_author", "username", "post_author_username"),
         answer("parent_author", "username", "parent_author_username"),
     ]
-    kept = [*rows.columns, "author_username", "author_display_name", REPLYING_TO]
+    kept = [*columns, "author_username", "author_display_name", REPLYING_TO]
     if "reposter_id" in rows.columns:
         answers.append(answer("reposter", "username", "reposted_by_username"))
         answers.append(answer("reposter", "display_name", "reposter_display_name"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agora.operators.pinning import pin
+
 PART_ROWS = 1000
 
 
@@ -13,20 +15,31 @@ def nest(
 ) -> DataFrame:
     """One row (owner, part, parts, ``name``) per owner and part of its list.
 
-    A list of at most ``part_rows`` rows is one array, newest first.  A longer
-    one is spread over as many parts as it needs, each sorted the same way, so
-    that no task or row ever holds an unbounded list and no element is lost.
+    Part 0 holds the newest ``part_rows`` rows, newest first, part 1 the next, and
+    so on; every list has this shape.  A long list is ranked in pieces: rows are
+    range-partitioned by owner and age, ranked within a range, and the counts of
+    the ranges before are added, so no task ever holds an unbounded list.
     """
-    sizes = rows.groupBy(owner).agg(F.count(F.lit(1)).alias("__rows"))
-    long = sizes.filter(F.col("__rows") > part_rows).withColumn(
-        "parts", F.ceil(F.col("__rows") / part_rows).cast("int")
+    spread = rows.select(F.col(owner), F.col(newest).alias("__newest"), F.col("id").alias("__id"), F.struct(*fields).alias("__record"))
+    order = [F.col("__newest").desc(), F.col("__id").desc()]
+    ranges = pin(spread.repartitionByRange(owner, *order).withColumn("__range", F.spark_partition_id())).frame
+    counts = ranges.groupBy(owner, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(owner).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(owner)
+    before = counts.select(
+        owner,
+        "__range",
+        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
+        F.ceil(F.sum("__rows").over(every) / part_rows).cast("int").alias("parts"),
+    )
+    within = Window.partitionBy(owner, "__range").orderBy(*order)
+    ranked = (
+        ranges.withColumn("__rank", F.row_number().over(within))
+        .join(before, [owner, "__range"])
+        .withColumn("__rank", F.col("__rank") + F.col("__before") - 1)
+        .withColumn("part", F.floor(F.col("__rank") / part_rows).cast("int"))
     )
-    record = F.struct(F.col(newest).alias("__newest"), F.col("id").alias("__id"), F.struct(*fields).alias("record"))
-    listed = (
-        rows.join(long.select(owner, "parts"), owner, "left")
-        .fillna(1, ["parts"])
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .groupBy(owner, "parts", "part")
-        .agg(F.sort_array(F.collect_list(record), asc=False).alias("__list"))
+    listed = ranked.groupBy(owner, "part", "parts").agg(
+        F.sort_array(F.collect_list(F.struct("__rank", F.col("__record").alias("record")))).alias("__list")
     )
     return listed.select(owner, "part", "parts", F.transform("__list", lambda r: r["record"]).alias(name))

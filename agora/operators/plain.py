@@ -41,7 +41,7 @@ def plain_entries(tables: Tables, entries: Pinned, viewer: int | None) -> DataFr
     """
     if not entries.small:
         every = plain_messages(tables, messages(tables))
-        shown = many_to_one(entries.frame, every, MESSAGE_KEY, sized_by=tables.comments)
+        shown = many_to_one(entries.frame, every, MESSAGE_KEY, sized_by=messages(tables))
         return with_followed(tables, shown, viewer)
     rows = messages(tables).join(entries.hinted(), MESSAGE_KEY)
     counted = rows.join(comment_counts(tables, entries), MESSAGE_KEY, "left").fillna(0, ["comment_count"])

@@ -152,7 +152,7 @@ def self_edges(tables: Tables) -> DataFrame:
         F.col("id").alias("edge_id"), "user_id", kind_of().alias("kind"), F.col("message_id").alias("id")
     )
     authors = messages(tables).select(*MESSAGE_KEY, "author_id")
-    own = many_to_one(reposts, authors, MESSAGE_KEY, sized_by=tables.comments).filter(
+    own = many_to_one(reposts, authors, MESSAGE_KEY, sized_by=messages(tables)).filter(
         F.col("author_id") == F.col("user_id")
     )
     return follows.select(F.lit(FOLLOWS_SELF).alias("rule"), "id").unionByName(

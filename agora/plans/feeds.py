@@ -18,7 +18,7 @@ from agora.operators.entries import (
     repost_entries,
 )
 from agora.operators.joins import many_to_one
-from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, messages_of, rated
+from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, messages, messages_of, rated
 from agora.operators.pinning import BROADCAST_ROWS, few_or_all, in_order, pin
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
 
@@ -125,14 +125,14 @@ def _rated_sources(tables: Tables) -> DataFrame:
     reposts = repost_entries(tables.reposts).withColumn("is_repost", F.lit(True))
     ratings = engagement(tables, POST, COMMENT).select(*MESSAGE_KEY, message_rating().alias("rating"))
     return many_to_one(
-        posts.unionByName(reposts), ratings, MESSAGE_KEY, "left", hot_from=reposts, sized_by=tables.comments
+        posts.unionByName(reposts), ratings, MESSAGE_KEY, "left", hot_from=reposts, sized_by=messages(tables)
     ).fillna(0, ["rating"])
 
 
-def home_feed_all(tables: Tables, top: int = 20, viewers: DataFrame | None = None) -> DataFrame:
-    """The first ``top`` rows of everybody's home feed.
+def home_feed_all(tables: Tables, top: int | None = None, viewers: DataFrame | None = None) -> DataFrame:
+    """Everybody's home feed, whole or the first ``top`` rows of each.
 
-    A feed is ordered by keys that do not depend on who reads it, so nothing
+    With ``top`` the fan-out is bounded: a feed is ordered by keys that do not depend on who reads it, so nothing
     outside the best ``top`` rows of one source can reach the best ``top`` of a
     reader: each of those rows, or a newer repost of the same message, is also in
     the reader's feed and ranks above it.  Cutting every source to its best rows
@@ -140,12 +140,10 @@ def home_feed_all(tables: Tables, top: int = 20, viewers: DataFrame | None = Non
     ``viewers`` has one column, ``viewer_id``; by default every user reads.
     """
     best = Window.partitionBy("user_id").orderBy(*newest_day_first())
-    sources = (
-        _rated_sources(tables)
-        .withColumn("__rank", F.row_number().over(best))
-        .filter(F.col("__rank") <= top)
-        .drop("__rank")
-    )
+    sources = _rated_sources(tables)
+    if top is not None:
+        ranks = sources.withColumn("__rank", F.row_number().over(best))
+        sources = ranks.filter(F.col("__rank") <= top).drop("__rank")
     following = tables.follows.select(F.col("follower_id").alias("viewer_id"), F.col("followee_id").alias("user_id"))
     themselves = tables.users.select(F.col("id").alias("viewer_id"), F.col("id").alias("user_id"))
     readers = following.unionByName(themselves)
@@ -155,11 +153,9 @@ def home_feed_all(tables: Tables, top: int = 20, viewers: DataFrame | None = Non
         F.col("followee_id").alias("user_id"))).withColumn("reposter_id", F.when(F.col("is_repost"), F.col("user_id")))
 
     ranked = Window.partitionBy("viewer_id").orderBy(*newest_day_first())
-    kept = (
-        newest_per_message(offered, "viewer_id")
-        .withColumn("position", F.row_number().over(ranked))
-        .filter(F.col("position") <= top)
-    )
+    kept = newest_per_message(offered, "viewer_id").withColumn("position", F.row_number().over(ranked))
+    if top is not None:
+        kept = kept.filter(F.col("position") <= top)
     # Narrow, ranked and final: from here on only looks things up.
     feed = pin(
         kept.select("viewer_id", "position", *MESSAGE_KEY, "post_type", "post_date", "reposter_id", "rating")
@@ -192,7 +188,7 @@ def _decorated(tables: Tables, feed: DataFrame) -> DataFrame:
         F.col("follower_id").alias("viewer_id"),
         F.col("followee_id").alias("author_id"),
         F.lit(True).alias("user_followed"),
-    )
+    ).distinct()
     shown = (
         shown.join(viewer_marks, key, "left")
         .join(followed, ["viewer_id", "author_id"], "left")

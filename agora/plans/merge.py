@@ -81,7 +81,7 @@ def _judged_marks(tables: Tables, batch: DataFrame) -> DataFrame:
     authors = messages(tables).select("kind", F.col("id").alias("message_id"), "author_id")
     keyed = batch.withColumn("kind", kind_of())
     known = many_to_one(
-        keyed, authors, ["kind", "message_id"], "left", hot_from=keyed, sized_by=tables.comments
+        keyed, authors, ["kind", "message_id"], "left", hot_from=keyed, sized_by=messages(tables)
     )
     known = _exists(known, tables.users, {"user_id": "id"}, "user_known")
     own_repost = F.col("type").isin(POST_REPOST, COMMENT_REPOST) & (F.col("author_id") == F.col("user_id"))

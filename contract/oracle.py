@@ -84,7 +84,7 @@ users AS (
   JOIN users uo ON uo.id = o.author_id
   LEFT JOIN comments p ON p.id = c.parent_id
   LEFT JOIN users up ON up.id = p.author_id
-), rated AS (
+), rated AS MATERIALIZED (
   SELECT m.*, u.username AS author_username, u.display_name AS author_display_name,
     coalesce(l.n, 0) AS like_count, coalesce(r.n, 0) AS repost_count, coalesce(c.n, 0) AS comment_count,
     coalesce(r.n, 0) * 3 + coalesce(l.n, 0) * 2 + coalesce(c.n, 0) AS rating
@@ -162,14 +162,18 @@ def _found_users(term: str, viewer: int, limit: int) -> str:
 ) ORDER BY user_rating DESC, id DESC LIMIT {limit}"""
 
 
+# One term that users, posts and comments all hold.
+TOP_TERM = "1"
+
+
 def _search_top() -> str:
     return _on_cards(
-        f"""SELECT 'User' AS kind, id, username AS label, user_rating AS rating FROM ({_found_users("0001", VIEWER, 3)})
+        f"""SELECT 'User' AS kind, id, username AS label, user_rating AS rating FROM ({_found_users(TOP_TERM, VIEWER, 3)})
 UNION ALL
-SELECT * FROM (SELECT kind, id, text, rating FROM card WHERE kind = 'Post' AND text ILIKE {_pattern("urgent")}
+SELECT * FROM (SELECT kind, id, text, rating FROM card WHERE kind = 'Post' AND text ILIKE {_pattern(TOP_TERM)}
   ORDER BY rating DESC, id DESC LIMIT 3)
 UNION ALL
-SELECT * FROM (SELECT kind, id, text, rating FROM card WHERE kind = 'Comment' AND text ILIKE {_pattern("RETURNED r")}
+SELECT * FROM (SELECT kind, id, text, rating FROM card WHERE kind = 'Comment' AND text ILIKE {_pattern(TOP_TERM)}
   ORDER BY rating DESC, id DESC LIMIT 3)""",
         VIEWER,
     )
@@ -606,6 +610,17 @@ ORACLE: dict[str, str] = {
     "popular_feed_anonymous": _popular(0),
     "popular_feed_limit": _popular(VIEWER, "LIMIT 50"),
     "home_feed": _sql(f"SELECT * EXCLUDE (viewer_id) FROM home WHERE viewer_id = {VIEWER}", HOME_ENTRIES),
+    "home_feed_all_rows": _sql(
+        f"SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY {FEED_ORDER}) AS position FROM home", HOME_ENTRIES
+    ),
+    "nested_threads": _on_cards(
+        """SELECT post_id AS thread_id, CAST((n - 1) // 1000 AS INT) AS part, CAST((total + 999) // 1000 AS INT) AS parts,
+  CAST((n - 1) % 1000 AS INT) AS position, id, author_id, author_username
+FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY created_at DESC, id DESC) AS n,
+    count(*) OVER (PARTITION BY post_id) AS total
+  FROM card WHERE kind = 'Comment' AND parent_id IS NULL)""",
+        VIEWER,
+    ),
     "home_feed_all": _sql(
         f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY viewer_id ORDER BY {FEED_ORDER}) AS position
 FROM home) WHERE position <= 20""",

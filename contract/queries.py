@@ -46,9 +46,7 @@ def _with_batch(job: Callable[[Tables, DataFrame], DataFrame], batch: Query) ->
 
 
 def _search_top(tables: Tables) -> DataFrame:
-    found = search.search_top(tables, "0001", VIEWER)
-    found["posts"] = search.search_posts(tables, "urgent", VIEWER, search.TOP_LIMIT)
-    found["comments"] = search.search_comments(tables, "RETURNED r", VIEWER, search.TOP_LIMIT)
+    found = search.search_top(tables, "1", VIEWER)
     users = found["users"].select(
         F.lit("User").alias("kind"), "id", F.col("username").alias("label"), F.col("user_rating").alias("rating")
     )
@@ -137,13 +135,13 @@ QUERIES: dict[str, Query] = {
     "search_posts": _on_tables(lambda t: search.search_posts(t, "urgent", VIEWER)),
     "search_posts_anonymous": _on_tables(lambda t: search.search_posts(t, "urgent")),
     "search_posts_limit": _on_tables(lambda t: search.search_posts(t, "urgent", VIEWER, 2)),
-    "search_posts_wildcards": _on_tables(lambda t: search.search_terms(t, TERMS, VIEWER, 100)),
+    "search_posts_wildcards": _on_tables(lambda t: search.search_terms(t, TERMS, VIEWER)),
     "search_comments": _on_tables(lambda t: search.search_comments(t, "RETURNED r", VIEWER)),
     "search_users": _on_tables(lambda t: search.search_users(t, "0001", VIEWER)),
     "search_users_self": _on_tables(lambda t: search.search_users(t, "0001", PROFILE)),
     "search_top": _on_tables(_search_top),
     "search_quick": _on_tables(lambda t: search.search_quick(t, "0001", VIEWER)),
-    "search_terms_batch": _on_tables(lambda t: search.search_terms(t, TERMS, VIEWER)),
+    "search_terms_batch": _on_tables(lambda t: search.search_terms(t, TERMS, VIEWER, 3)),
     "search_comment_terms_batch": _on_tables(
         lambda t: search.search_terms(t, ["returned r", "line 2"], VIEWER, 3, COMMENT)
     ),
@@ -151,7 +149,8 @@ QUERIES: dict[str, Query] = {
     "popular_feed_anonymous": _on_tables(feeds.popular_feed),
     "popular_feed_limit": _on_tables(lambda t: feeds.popular_feed(t, VIEWER, 50)),
     "home_feed": _on_tables(lambda t: feeds.home_feed(t, VIEWER)),
-    "home_feed_all": _on_tables(feeds.home_feed_all),
+    "home_feed_all": _on_tables(lambda t: feeds.home_feed_all(t, 20)),
+    "home_feed_all_rows": _on_tables(feeds.home_feed_all),
     "profile_posts": _on_tables(lambda t: profiles.profile_posts(t, PROFILE, VIEWER)),
     "profile_posts_self": _on_tables(lambda t: profiles.profile_posts(t, PROFILE, PROFILE)),
     "profile_posts_all": _on_tables(lambda t: profiles.profile_posts_all(t, VIEWER)),
@@ -161,6 +160,12 @@ QUERIES: dict[str, Query] = {
     "liked_messages_all": _on_tables(lambda t: profiles.liked_messages_all(t, VIEWER)),
     "post_thread": _on_tables(lambda t: threads.post_thread(t, POST_ID, VIEWER)),
     "post_threads_all": _on_tables(lambda t: threads.post_threads_all(t, VIEWER)),
+    "nested_threads": _on_tables(
+        lambda t: threads.nested_threads(threads.post_threads_all(t, VIEWER)).select(
+            "thread_id", "part", "parts", F.posexplode("comments").alias("position", "comment")
+        ).select("thread_id", "part", "parts", "position", "comment.id",
+                 F.col("comment.author.id").alias("author_id"), F.col("comment.author.username").alias("author_username"))
+    ),
     "comment_thread": _on_tables(lambda t: threads.comment_thread(t, COMMENT_ID, VIEWER)),
     "comment_threads_all": _on_tables(lambda t: threads.comment_threads_all(t, VIEWER)),
     "post_list": _on_tables(lists.post_list),

@@ -14,8 +14,10 @@ def test_popular_feed(world):
         world.engage("Post", made, made, reposts, likes, comments)
         return made
 
-    now = [post(today, *c) for c in [(5, 6, 4), (6, 2, 2), (8, 7, 1), (2, 9, 7), (1, 3, 9)]]
-    then = [post(earlier, *c) for c in [(6, 2, 3), (8, 3, 4), (2, 1, 6), (1, 2, 2), (7, 4, 1)]]
+    now_counts = [(4, 3, 2), (2, 5, 1), (9, 1, 3), (1, 8, 4), (0, 2, 6)]
+    then_counts = [(3, 3, 3), (5, 0, 2), (0, 6, 1), (1, 1, 0), (6, 2, 5)]
+    now = [post(today, *c) for c in now_counts]
+    then = [post(earlier, *c) for c in then_counts]
     base = world.post(created_at=earlier)
 
     def comment(at, reposts, likes=0):
@@ -28,13 +30,18 @@ def test_popular_feed(world):
     viewer = world.user()
     tables = world.tables()
     rows = feeds.popular_feed(tables, viewer).collect()
-    assert [(r.post_type, r.id, r.rating) for r in rows] == [
-        ("Post", now[2], 39), ("Post", now[3], 31), ("Post", now[0], 31), ("Post", now[1], 24),
-        *sorted([("Post", now[4], 18), ("CommentRepost", popular[0], 18)], key=lambda r: -r[1]),
-        ("CommentRepost", popular[1], 15),
-        ("Post", then[1], 34), ("Post", then[4], 30), ("Post", then[0], 25),
-        ("CommentRepost", popular[2], 15), ("Post", then[2], 14), ("Post", then[3], 9), ("Post", base, 5),
-    ]
+    def rating(reposts, likes, comments):
+        return 3 * reposts + 2 * likes + comments
+
+    day = [("Post", p, rating(*c)) for p, c in zip(now, now_counts)]
+    day += [("CommentRepost", popular[0], rating(6, 0, 0)), ("CommentRepost", popular[1], rating(5, 0, 0))]
+    before = [("Post", p, rating(*c)) for p, c in zip(then, then_counts)]
+    before += [("CommentRepost", popular[2], rating(5, 0, 0)), ("Post", base, 5)]
+
+    def best(entries):
+        return sorted(entries, key=lambda e: (-e[2], -e[1]))
+
+    assert [(r.post_type, r.id, r.rating) for r in rows] == best(day) + best(before)
     for limit in (1, 6, 9, 50):
         assert feeds.popular_feed(tables, viewer, limit).collect() == rows[:limit]
 

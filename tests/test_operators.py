@@ -32,12 +32,33 @@ def test_salted_join_equals_plain_join(spark, no_broadcast, monkeypatch, how):
 
 
 def test_hot_keys_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_KEYS", 3)
+    monkeypatch.setattr(joins, "HOT_SHARE", 0.1)
     rows = spark.range(100).selectExpr("CAST(sqrt(id) AS LONG) AS key")
-    assert {r.key for r in joins.hot_keys(rows, ["key"], rows=1).collect()} == {7, 8, 9}
+    assert {r.key for r in joins.hot_keys(rows, ["key"], rows=1).collect()} == {5, 6, 7, 8, 9}
     assert joins.hot_keys(rows, ["key"], rows=1000).count() == 0
 
 
+def test_no_hot_key_is_left_out(spark):
+    rows = spark.range(30_000).selectExpr("id % 3000 AS key")
+    assert joins.hot_keys(rows, ["key"], rows=10).count() == 3000
+
+
+def test_one_small_table_does_not_make_a_side_small(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20kb")
+    try:
+        few = pinning.pin(spark.range(3)).frame
+        many = pinning.pin(spark.range(50_000).selectExpr("id", "id AS value")).frame
+        both = few.selectExpr("id", "id AS value").unionByName(many)
+        dim = both.groupBy("id").agg({"value": "max"})
+        plan = joins.many_to_one(spark.range(10), dim, ["id"], sized_by=both)
+        # Salted: not broadcast because one of the tables behind it is small.
+        assert "__salt" in plan._jdf.queryExecution().optimizedPlan().toString()
+        assert joins.fits_broadcast(few, joins.WIDENED) and not joins.fits_broadcast(both, joins.WIDENED)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_keep_and_drop_found(spark, no_broadcast, monkeypatch):
     facts = spark.range(20).selectExpr("id", "id % 5 AS key")
     keys = pinning.pin(spark.createDataFrame([(1,), (3,), (9,)], "key long"))

@@ -121,8 +121,23 @@ def test_people(world):
 def test_long_lists_are_nested_in_parts(spark):
     rows = spark.range(50).selectExpr("id % 2 AS owner", "id", "timestamp_seconds(id) AS created_at")
     parts = nest(rows.filter("owner = 0 OR id < 6"), "owner", ["id"], "list", part_rows=10).collect()
-    assert sorted(x.id for r in parts if r.owner == 0 for x in r.list) == list(range(0, 50, 2))
+    long = sorted((r for r in parts if r.owner == 0), key=lambda r: r.part)
+    assert [x.id for r in long for x in r.list] == list(range(48, -1, -2))
+    assert [(r.part, len(r.list)) for r in long] == [(0, 10), (1, 10), (2, 5)]
     assert {r.parts for r in parts if r.owner == 0} == {3}
-    for r in parts:
-        assert [x.id for x in r.list] == sorted((x.id for x in r.list), reverse=True)
     assert [[x.id for x in r.list] for r in parts if r.owner == 1] == [[5, 3, 1]]
+
+
+def test_repeated_edges_show_alike_for_few_and_for_many(world, monkeypatch):
+    user, other = world.user(), world.user()
+    post = world.post(author=other)
+    comment = world.comment(post, other)
+    for _ in range(2):
+        world.repost("Post", post, user), world.repost("Comment", comment, user)
+    world.post(author=user)
+    tables = world.tables()
+    few = profiles.profile_posts(tables, user, other).collect()
+    monkeypatch.setattr("agora.operators.pinning.BROADCAST_ROWS", 0)
+    many = profiles.profile_posts(tables, user, other).collect()
+    assert len(few) == 5
+    assert sorted(map(str, few)) == sorted(map(str, many))
