@@ -144,15 +144,22 @@ def create_posts(tables: Tables, batch: DataFrame) -> Merged:
 
 
 def create_comments(tables: Tables, batch: DataFrame) -> Merged:
-    """``batch``: seq, id, text, post_id, author_id, parent_id, created_at.
+    """``batch``: seq, id, text, post_id, author_id, parent_id, created_at; ids are unique.
 
-    Posts and parents must be in the tables: a reply to a comment of the same
-    batch belongs into the next batch.
+    A parent is a stored comment, or one that was accepted earlier in the batch.
     """
     parents = tables.comments.select(F.col("id").alias("parent_id"), F.col("post_id").alias("parent_post_id"))
     known = _exists(batch, tables.users, {"author_id": "id"}, "author_known")
     known = _exists(known, tables.posts, {"post_id": "id"}, "post_known")
-    known = many_to_one(known, parents, ["parent_id"], "left", hot_from=batch)
+    known = pin(many_to_one(known, parents, ["parent_id"], "left", hot_from=batch)).frame
+    created = batch.select(
+        F.col("id").alias("parent_id"), F.col("seq").alias("parent_seq"), F.col("post_id").alias("new_post_id")
+    )
+    accepted = _accepted_replies(known, created)
+    new_parents = created.join(accepted, F.col("parent_id") == F.col("accepted_id"), "left_semi")
+    known = many_to_one(known, new_parents, ["parent_id"], "left", hot_from=batch).withColumn(
+        "parent_post_id", F.coalesce("parent_post_id", F.when(F.col("parent_seq") < F.col("seq"), F.col("new_post_id")))
+    )
     orphan = F.col("parent_id").isNotNull() & F.col("parent_post_id").isNull()
     return _created(
         tables.comments,
@@ -164,6 +171,29 @@ def create_comments(tables: Tables, batch: DataFrame) -> Merged:
     )
 
 
+def _accepted_replies(known: DataFrame, created: DataFrame) -> DataFrame:
+    """(accepted_id) of the comments of a batch that go through.
+
+    A comment whose parent is in the batch goes through when its own rules hold
+    and its parent goes through.  Chains are followed by pointer jumping: each
+    round looks twice as far up, so there are log2(length of a chain) rounds.
+    """
+    sound = F.col("author_known") & F.col("post_known") & _text_reason().isNull()
+    fits = F.col("parent_id").isNull() | (F.col("parent_post_id") == F.col("post_id"))
+    earlier = (F.col("parent_seq") < F.col("seq")) & (F.col("new_post_id") == F.col("post_id"))
+    waits = F.col("parent_id").isNotNull() & F.col("parent_post_id").isNull() & F.coalesce(earlier, F.lit(False))
+    rows = many_to_one(known, created, ["parent_id"], "left", hot_from=known).select(
+        "id", (sound & (waits | F.coalesce(fits, F.lit(False)))).alias("good"), F.when(waits, F.col("parent_id")).alias("up")
+    )
+    rows = pin(rows.withColumn("up", F.when(F.col("good"), F.col("up"))))
+    while rows.frame.filter(F.col("up").isNotNull()).limit(1).count():
+        above = rows.frame.select(F.col("id").alias("up"), F.col("good").alias("good_above"), F.col("up").alias("next"))
+        jumped = many_to_one(rows.frame, above, ["up"], "left", hot_from=rows.frame)
+        good = F.col("good") & F.coalesce("good_above", F.lit(True))
+        rows = pin(jumped.select("id", good.alias("good"), F.when(good, F.col("next")).alias("up")))
+    return rows.frame.filter("good").select(F.col("id").alias("accepted_id"))
+
+
 def _created(table: DataFrame, known: DataFrame, *checks: tuple[Column, str]) -> Merged:
     reason = _reasons((_text_reason().isNotNull(), _text_reason()), *checks)
     judged = pin(known.select("seq", *table.columns, reason.alias("reason"))).frame

@@ -83,14 +83,19 @@ def new_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A comment per event; some parents are missing or on another post."""
+    """A comment per event and a chain of replies to it, some refused.
+
+    Some parents are missing, on another post, refused themselves or later in
+    the batch.
+    """
     ending = F.when(F.col("event_type") == "error", "!").otherwise("?")
     parent = (
         F.when(F.col("event_type") == "click", F.col("k") * 8 + 1)
         .when(F.col("event_type") == "purchase", (F.col("k") + 1) * 8 + 1)
         .when(F.col("event_type") == "signup", F.col("k") * 8 + 2)
     )
-    return events(spark, sf_dir).select(
+    made = events(spark, sf_dir)
+    first = made.select(
         F.col("event_id").alias("seq"),
         (F.col("event_id") + 1 + BILLION).alias("id"),
         _text("Is event ", F.col("event_id"), " a ", F.col("event_type"), ending).alias("text"),
@@ -99,6 +104,20 @@ def new_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         parent.alias("parent_id"),
         F.col("ts").alias("created_at"),
     )
+    # Replies to the comment, to that reply (on another post for errors), and one that comes before its parent.
+    for level in (2, 3, 4):
+        other_post = (F.col("event_type") == "purchase").cast("long") if level == 3 else F.lit(0)
+        replies = made.select(
+            (F.col("event_id") + level * BILLION).alias("seq") if level < 4 else (-F.col("event_id") - 1).alias("seq"),
+            (F.col("event_id") + 1 + level * BILLION).alias("id"),
+            _text("Is ", F.col("event_id"), f" at level {level}?").alias("text"),
+            (F.col("k") + 1 + other_post).alias("post_id"),
+            (F.col("user_id") + 1).alias("author_id"),
+            (F.col("event_id") + 1 + (level - 1) * BILLION).alias("parent_id"),
+            F.col("ts").alias("created_at"),
+        )
+        first = first.unionByName(replies)
+    return first
 
 
 def post_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -457,13 +457,33 @@ NEW_COMMENTS = f"""batch AS (
     CASE event_type WHEN 'click' THEN k * 8 + 1 WHEN 'purchase' THEN (k + 1) * 8 + 1
       WHEN 'signup' THEN k * 8 + 2 END AS parent_id, ts AS created_at
   FROM evt
-), judged AS (
-  SELECT b.*, nullif(concat_ws('; ', nullif({TEXT_PROBLEMS.replace("text", "b.text")}, ''),
+  UNION ALL
+  SELECT CASE level WHEN 4 THEN -event_id - 1 ELSE event_id + level * 1000000000 END, event_id + 1 + level * 1000000000,
+    'Is ' || event_id || ' at level ' || level || '?',
+    k + 1 + CASE WHEN level = 3 AND event_type = 'purchase' THEN 1 ELSE 0 END, user_id,
+    event_id + 1 + (level - 1) * 1000000000, ts
+  FROM evt, (SELECT unnest([2, 3, 4]::BIGINT[]) AS level)
+), own AS (
+  SELECT b.*, concat_ws('; ', nullif({TEXT_PROBLEMS.replace("text", "b.text")}, ''),
     CASE WHEN b.author_id NOT IN (SELECT id FROM users) THEN 'Author must exist' END,
-    CASE WHEN b.post_id NOT IN (SELECT id FROM posts) THEN 'Post must exist' END,
-    CASE WHEN b.parent_id IS NOT NULL AND p.id IS NULL THEN 'Parent must exist' END,
-    CASE WHEN p.post_id <> b.post_id THEN 'Reply and parent comment must be to the same post' END), '') AS reason
+    CASE WHEN b.post_id NOT IN (SELECT id FROM posts) THEN 'Post must exist' END) AS problems, p.post_id AS stored_post_id
   FROM batch b LEFT JOIN comments p ON p.id = b.parent_id
+), accepted1 AS (
+  SELECT id, post_id, seq FROM own WHERE problems = '' AND (parent_id IS NULL OR stored_post_id = post_id)
+), accepted2 AS (
+  SELECT o.id, o.post_id, o.seq FROM own o JOIN accepted1 a ON a.id = o.parent_id
+  WHERE o.problems = '' AND a.seq < o.seq AND a.post_id = o.post_id
+), accepted3 AS (
+  SELECT o.id, o.post_id, o.seq FROM own o JOIN accepted2 a ON a.id = o.parent_id
+  WHERE o.problems = '' AND a.seq < o.seq AND a.post_id = o.post_id
+), accepted AS (
+  SELECT * FROM accepted1 UNION ALL SELECT * FROM accepted2 UNION ALL SELECT * FROM accepted3
+), judged AS (
+  SELECT o.*, nullif(concat_ws('; ', nullif(problems, ''),
+    CASE WHEN o.parent_id IS NOT NULL AND coalesce(stored_post_id, a.post_id) IS NULL THEN 'Parent must exist' END,
+    CASE WHEN coalesce(stored_post_id, a.post_id) <> o.post_id
+      THEN 'Reply and parent comment must be to the same post' END), '') AS reason
+  FROM own o LEFT JOIN accepted a ON a.id = o.parent_id AND a.seq < o.seq
 )"""
 
 

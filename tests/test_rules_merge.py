@@ -213,3 +213,21 @@ def test_delete_requests(world, spark):
         (author, 50): "Unable to find Post at given ID: 50",
     }
     assert cascade.OTHERS[COMMENT] == "Cannot delete other's comments."
+
+
+def test_replies_to_comments_of_the_same_batch(world, spark):
+    user, post, other = world.user(), world.post(), world.post()
+    stored = world.comment(post, user)
+    asked = [  # (id, post, parent, text): in order of seq
+        (100, post, None, "A?"), (101, post, 100, "B?"), (102, post, 101, "C?"), (103, post, 102, "D?"),
+        (104, post, 106, "Early?"), (105, other, 103, "Elsewhere?"), (106, post, stored, "E?"), (107, post, 105, "F?"),
+        (108, post, 103, "no question"), (109, post, 108, "G?"), (110, post, 109, "H?"), (111, post, 999, "I?"),
+    ]
+    rows = [(k, i, text, p, user, parent, world.now()) for k, (i, p, parent, text) in enumerate(asked)]
+    schema = "seq long, id long, text string, post_id long, author_id long, parent_id long, created_at timestamp_ntz"
+    merged = merge.create_comments(world.tables(), spark.createDataFrame(rows, schema))
+    reasons = {asked[r.seq][0]: r.reason for r in merged.outcomes.collect()}
+    assert {i for i in reasons if reasons[i] is None} == {100, 101, 102, 103, 106}
+    assert {i for i in reasons if reasons[i] == "Parent must exist"} == {104, 107, 109, 110, 111}
+    assert reasons[105] == audit.REPLY_ON_OTHER_POST
+    assert {r.id for r in merged.table.collect()} == {stored, 100, 101, 102, 103, 106}
