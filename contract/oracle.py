@@ -745,6 +745,7 @@ UNION ALL SELECT id, text, post_id, author_id, parent_id, created_at FROM judged
     "edit_posts": _edited("Post"),
     "edit_posts_outcomes": _sql("SELECT seq, reason FROM judged", _edits("Post")),
     "edit_comments": _edited("Comment"),
+    "edit_comments_outcomes": _sql("SELECT seq, reason FROM judged", _edits("Comment")),
     "create_users": _sql(
         """SELECT * FROM users UNION ALL
 SELECT id, username, lower(email), display_name, created_at, NULL FROM judged WHERE reason IS NULL""",
@@ -771,6 +772,10 @@ FROM users u JOIN customer ON c_custkey + 1 = u.id"""
 FROM asked a LEFT JOIN posts p ON p.id = a.id""",
         POST_DELETIONS,
     ),
+    "delete_comment_requests": _sql(
+        """SELECT CASE WHEN text LIKE '%R?' THEN author_id ELSE author_id + 1 END AS actor_id, id,
+  CASE WHEN text LIKE '%R?' THEN NULL ELSE 'Cannot delete other''s comments.' END AS reason FROM comments"""
+    ),
     "delete_comments": _remaining(NOBODY, NOBODY, "SELECT id FROM comments WHERE text LIKE '%R?'"),
     "delete_users": _remaining("SELECT id FROM users WHERE confirmed_at IS NULL", NOBODY, NOBODY),
 }

@@ -212,6 +212,9 @@ QUERIES: dict[str, Query] = {
     "edit_posts": _with_batch(lambda t, b: merge.edit_messages(t, POST, b).table, batches.post_edits),
     "edit_posts_outcomes": _with_batch(lambda t, b: merge.edit_messages(t, POST, b).outcomes, batches.post_edits),
     "edit_comments": _with_batch(lambda t, b: merge.edit_messages(t, COMMENT, b).table, batches.comment_edits),
+    "edit_comments_outcomes": _with_batch(
+        lambda t, b: merge.edit_messages(t, COMMENT, b).outcomes, batches.comment_edits
+    ),
     "create_users": _with_batch(lambda t, b: merge.create_users(t, b).table, batches.new_users),
     "create_users_outcomes": _with_batch(lambda t, b: merge.create_users(t, b).outcomes, batches.new_users),
     "edit_users": _with_batch(lambda t, b: merge.edit_users(t, b).table, batches.user_edits),
@@ -222,5 +225,8 @@ QUERIES: dict[str, Query] = {
         lambda t, b: cascade.delete_requests(t, POST, b), batches.post_deletions
     ),
     "delete_comments": _on_tables(_delete_comments),
+    "delete_comment_requests": _on_tables(
+        lambda t: cascade.delete_requests(t, COMMENT, batches.comment_deletions(t.comments))
+    ),
     "delete_users": _on_tables(_delete_users),
 }
