@@ -25,6 +25,8 @@ BLOCK = 2000
 BROADCAST_WINDOWS = 200_000
 # The characters that separate words, by code point.
 NOT_A_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+# The same in a text that still has its capitals.
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 
 def words_of(text: Column) -> Column:
@@ -174,11 +176,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     same = docs[id_col].eqNullSafe(hit[names["doc_id"]]) & (F.xxhash64(docs[text_col]) == hit[names["text_hash"]])
     if mode == "documents":
         return docs.join(hit, same, "left_anti")
-    word = f"[{NOT_A_WORD}]*[^{NOT_A_WORD}]+"
+    word = f"[{BETWEEN}]*[^{BETWEEN}]+"
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(word), F.lit(0))
     spans = F.col(names["spans"])
     left = F.filter(pieces, lambda p, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["start"] + s["length"])))
-    rest = F.regexp_extract(F.col(text_col), f"[{NOT_A_WORD}]*\\z", 0)
+    rest = F.regexp_extract(F.col(text_col), f"[{BETWEEN}]*\\z", 0)
     cut = F.when(spans.isNotNull(), F.concat(F.array_join(left, ""), rest)).otherwise(F.col(text_col))
     return docs.join(hit, same, "left").withColumn(text_col, cut).select(*docs.columns)
 
