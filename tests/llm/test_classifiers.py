@@ -53,9 +53,10 @@ def test_language_of_held_out_documents(spark):
     assert language.fit_language(empty) is None and language.predict(empty, net, ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize(("label", "parts", "part"), [("quality", 5, 0), ("toxic", 3, 1)])
-def test_scores_of_held_out_documents(spark, label, parts, part):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+@pytest.mark.parametrize(("label", "parts", "part", "folder"), [("quality", 5, 0, SF), ("toxic", 3, 1, "/root/testdata/sf0.1")])
+def test_scores_of_held_out_documents(spark, label, parts, part, folder):
+    # The toxic terms of four languages need more than the 30 examples of the smallest data.
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     rows = sample(docs, labels, label, parts, part, 10_000)
     known = {r.doc_id: r[label] for r in labels.collect()}
     assert len(rows) == sum(zlib.crc32(str(i).encode()) % parts != part for i in known)
@@ -70,7 +71,7 @@ def test_scores_of_held_out_documents(spark, label, parts, part):
         odd = toxicity.score
     pairs = [(r.score, known[r.doc_id]) for r in found.where(held_out("doc_id", parts, part)).collect() if r.doc_id in known]
     good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
-    assert np.mean([a > b for a in good for b in bad]) > 0.85
+    assert np.mean(np.array(good)[:, None] > np.array(bad)[None, :]) > 0.9
     strange = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "x" * 200_000), (3, "12")], "doc_id long, text string")
     scores = odd(strange, model).collect()
     assert len(scores) == 5 and all(0 <= r.score <= 1 for r in scores)
@@ -95,11 +96,11 @@ def test_folding_undoes_disguises():
 
 
 def test_lexicon_learns_terms_and_exceptions():
-    harmless = [f"a nice word number {k} and the grub fish" for k in range(40)]
-    toxic = [f"you are grub and a {'blob' if k % 2 else 'gr4b'} number {k} blobber" for k in range(40)]
+    harmless = [f"a nice word number {k} {'and the blob fish swims' if k < 10 else 'is here'}" for k in range(60)]
+    toxic = [f"such a {'blob' if k % 2 else 'bl0b'} you are, number {k}" for k in range(40)]
     lexicon = toxicity.fit_lexicon([(t, 0) for t in harmless] + [(t, 1) for t in toxic])
     matcher = lexicon.matcher()
-    assert matcher.score("such a bl0b here, what a grub") > 0.7 > matcher.score("a grub fish in a nice word")
-    assert " grub fish " in lexicon.exceptions
+    assert " blob " in lexicon.weights and " blob fish " in lexicon.exceptions
+    assert matcher.score("what a BL0B") > matcher.score("the blob fish swims") and matcher.hits(toxicity.fold("a blob fish")) == []
     assert toxicity.Lexicon({}).matcher().score("anything") < 0.1
     assert toxicity.fit_lexicon([]).weights == {}
