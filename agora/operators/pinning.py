@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from agora.session import shared_dir
@@ -13,6 +16,8 @@ from agora.session import shared_dir
 # A frame of keys and short texts (a text has at most 200 characters) is only
 # ever broadcast behind a check that it has no more rows than this.
 BROADCAST_ROWS = 100_000
+# The tables each application has written and not deleted yet.
+_written: dict[str, list[str]] = defaultdict(list)
 
 
 @dataclass(frozen=True)
@@ -43,10 +48,33 @@ def pin(frame: DataFrame) -> Pinned:
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/agora-pinned-{uuid.uuid4().hex}"
     seen = Observation()
+    _written[spark.sparkContext.applicationId].append(path)
     frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return Pinned(spark.read.schema(frame.schema).parquet(path), int(seen.get["rows"]))
 
 
+def forget(spark: SparkSession, after: int = 0) -> None:
+    """Delete the tables this application has pinned, but the first ``after`` of them.
+
+    Only frames whose results are no longer needed may depend on them.
+    """
+    paths = _written[spark.sparkContext.applicationId]
+    for path in paths[after:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del paths[after:]
+
+
+@contextmanager
+def request(spark: SparkSession) -> Iterator[None]:
+    """A request whose intermediates go when it ends; write its result inside."""
+    before = len(_written[spark.sparkContext.applicationId])
+    try:
+        yield
+    finally:
+        forget(spark, before)
+
+
 def few_or_all(rows: DataFrame) -> tuple[DataFrame, Pinned | None]:
     """``rows`` computed and counted if they are few, else untouched.
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -76,6 +77,15 @@ def test_pin_counts_and_keeps_rows(spark):
     assert none.rows == 0 and none.frame.collect() == []
 
 
+def test_a_request_leaves_nothing_behind(spark):
+    kept = pinning.pin(spark.range(3))
+    with pinning.request(spark):
+        paths = [pinning.pin(spark.range(5)).frame.inputFiles()[0] for _ in range(2)]
+        assert all(os.path.exists(p.removeprefix("file://")) for p in paths)
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)
+    assert kept.frame.count() == 3
+
+
 def test_few_or_all(spark, monkeypatch):
     monkeypatch.setattr(pinning, "BROADCAST_ROWS", 5)
     rows = spark.range(5)
