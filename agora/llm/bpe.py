@@ -25,15 +25,11 @@ from itertools import pairwise
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm.common import by_bytes, fresh_name, table, texts_of
-
-# The pre-token pattern of the byte-level vocabulary (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 300_000
+from agora.llm.pretokens import WordMemory, pre_tokens
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -89,8 +85,7 @@ class Bpe:
         for b, i in self.id_of.items():
             self.shorter[i] = next((self.id_of[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.id_of), None)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pre_tokens = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        self.words_seen = WordMemory(self._word)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -162,23 +157,19 @@ class Bpe:
                 return tuple(tokens)
             token = longest[at]
 
-    def _new_word(self, word: str) -> bytes:
-        if len(self.known) >= KEPT_WORDS:
-            self.known.clear()
+    def _word(self, word: str) -> bytes:
         ids = self.encode_bytes(word.encode("utf-8", "surrogatepass"))
-        packed = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text; strings of special tokens become their ids."""
         parts = self.cut(text) if self.cut and any(s in text for s in self.special) else [text]
         packed: list[bytes] = []
-        get, new = self.known.get, self._new_word
         for k, part in enumerate(parts):
             if k % 2:
                 packed.append(self.special[part].to_bytes(4, "little"))
             else:
-                packed += [get(w) or new(w) for w in self.pre_tokens(part)]
+                packed.append(self.words_seen.joined(pre_tokens(part)))
         return np.frombuffer(b"".join(packed), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> str:

@@ -26,16 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agora.llm.bpe import PATTERN, vocabulary_path
+from agora.llm.bpe import byte_letters, vocabulary_path
 from agora.llm.common import by_bytes, kept, table, texts_of
+from agora.llm.pretokens import WordMemory, pre_tokens
 from agora.session import shared_dir
 
 END_ID = 2
-KEPT_WORDS = 200_000
 FILE_BYTES = 128 << 20
 HEAD = "<QI"
 PAYLOAD = "<qII"
@@ -44,7 +43,7 @@ NULL_ID = 1
 
 
 class WordCache:
-    """A tokenizers file whose pre-tokens are encoded by the library once each.
+    """A tokenizers file whose pre-tokens are encoded by the library's model once each.
 
     Merges never cross a pre-token, so the ids of a text are those of its
     pre-tokens in order.  Texts with the string of an added token go to the
@@ -59,25 +58,19 @@ class WordCache:
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.seen = WordMemory(self._word)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
-            return np.array(self._ids([text])[0], dtype="<u4")
-        words = self.split(text)
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = list(set(words))
-            for word, ids in zip(new, self._ids(new), strict=True):
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.frombuffer(self.seen.joined(pre_tokens(text)), dtype="<u4")
 
 
 _loaded: dict[str, WordCache] = {}
