@@ -1,19 +1,25 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-In each pass every vector gets a string of random hyperplane signs; vectors are
-ordered by (label, signs, id), range-partitioned in that order, and each one is
-compared with its next ``window`` neighbours.  Pairs that reach the similarity, in
-double precision, are united across passes into components.
-
-Ranges are cut by the whole sort key, ids included, so a crowd of equal signs is
-spread over tasks like any other rows; the few neighbours across a cut meet in
-another pass.  Then every component is compared whole, block against block, which
-gives the exact number of links of each vector without listing pairs.  Equal
-vectors of a label are one point with a weight from the start.
+"""Embedding near-duplicates by random hyperplane cells that are compared whole.
+
+In each pass every vector falls in the cell of its label and its signs at ``bits``
+random hyperplanes, and all vectors of a cell are compared, in double precision, in
+blocks that are dealt over tasks.  Links are united across passes into components.
+
+Two vectors at angle t agree at a hyperplane with probability 1 - t/pi, whatever the
+other vectors are.  So a pair at the least similarity shares no cell in any of
+``passes`` passes with probability (1 - (1 - t/pi)^bits)^passes, and closer pairs with
+less.  The passes are derived from the bits so that this stays at ``MISS`` or below.
+The bits are chosen for each label by what its cells would cost, from its count and
+a pilot of the crowding of its vectors; without bits one pass compares the label
+whole, which misses nothing.
+
+Then every component is compared whole, block against block, which gives the exact
+number of links of each vector without listing pairs.  Equal vectors of a label are
+one point with a weight from the start.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +27,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from agora.llm.common import group_starts, in_groups, kept, table
 from agora.llm.components import Forest, components
 
 SIMILARITY = 0.93
-PASSES = 16
-SIGNS = 48
-WINDOW = 24
+#: The probability that all passes miss a pair at the least similarity.
+MISS = 1e-4
+MOST_BITS = 32
+#: A cell of more points is compared in parts; a label of no more is one cell.
+CELL = 8192
+TILE = 1024
+#: What sending a vector costs, as a number of comparisons.
+SENDING = 4096
+PILOT = 20_000
 BLOCK = 1024
 
 
@@ -45,68 +58,117 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _signs(passes: int, signs: int, seed: int):
+def passes_for(bits: int, least: float = SIMILARITY, miss: float = MISS) -> int:
+    """The passes after which a pair at the cosine ``least`` has shared no cell with probability ``miss`` at most."""
+    meet = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** bits
+    return 1 if meet >= 1 else math.ceil(math.log(miss) / math.log1p(-meet))
+
+
+def _cells(seed: int, with_vectors: bool):
+    """(pass, label, dims, code, point) of each vector in each of its passes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            for size, rows in _by_length(batch):
-                if size not in planes:
-                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, passes * signs))
-                bits = (_unit(_vectors(rows.column("embedding"))) @ planes[size] > 0).reshape(-1, passes, signs)
-                codes = bits @ (1 << np.arange(signs - 1, -1, -1, dtype=np.int64))
-                for k in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(codes), k, dtype=np.int32)), rows.column("label"), pa.array(codes[:, k]), rows.column("point"), rows.column("embedding")],
-                        ["pass", "label", "code", "point", "embedding"],
-                    )
+            dims, depth = batch.column("dims").to_numpy(), batch.column("bits").to_numpy()
+            for size, bits in sorted(set(zip(dims.tolist(), depth.tolist(), strict=True))):
+                rows = batch.filter(pa.array((dims == size) & (depth == bits)))
+                unit = _unit(_vectors(rows.column("embedding")))
+                for k in range(rows.column("passes")[0].as_py()):
+                    # A row of planes is drawn at a time, so that fewer bits are a prefix of more.
+                    planes = np.random.default_rng([seed, size, k]).standard_normal((bits, size))
+                    codes = (unit @ planes.T > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                    columns = [pa.array(np.full(len(codes), k, dtype=np.int32)), rows.column("label"), rows.column("dims"), pa.array(codes.astype(np.int64)), rows.column("point")]
+                    names = ["pass", "label", "dims", "code", "point"]
+                    if with_vectors:
+                        columns.append(rows.column("embedding"))
+                        names.append("embedding")
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The batch by vector length; vectors of different lengths are never compared."""
-    sizes = np.asarray(pc.list_value_length(batch.column("embedding")))
-    for size in np.unique(sizes):
-        yield int(size), batch.filter(pa.array(sizes == size))
+_CELL = ["pass", "label", "dims", "code"]
+_CODED = "pass int, label long, dims int, code long, point long"
+
+
+def _plans(points: DataFrame, least: float, miss: float, seed: int) -> DataFrame:
+    """(label, dims, n, bits, passes): how the points of each label and vector length are compared.
+
+    The crowding of cells is counted on a bounded pilot of each large label with
+    hyperplanes of its own.  It decides the cost alone: any number of bits keeps
+    the bound.
+    """
+    sizes = kept(points.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))).frame
+    pilot = (
+        points.join(sizes.where(F.col("n") > CELL), ["label", "dims"])
+        .where(F.pmod(F.xxhash64("point", F.lit(seed)), F.col("n")) < PILOT)
+        .select("label", "dims", F.lit(MOST_BITS).alias("bits"), F.lit(1).alias("passes"), "point", "embedding")
+        .mapInArrow(_cells(seed + 1, False), _CODED)
+    )
+    crowds = (
+        pilot.withColumn("bits", F.explode(F.sequence(F.lit(1), F.lit(MOST_BITS))))
+        .groupBy("label", "dims", "bits", F.expr("code & (shiftleft(1L, bits) - 1)").alias("prefix"))
+        .agg(F.count(F.lit(1)).cast("double").alias("c"))
+        .groupBy("label", "dims", "bits")
+        .agg(F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
+    )
+    passes = F.array(*[F.lit(passes_for(k, least, miss)) for k in range(MOST_BITS + 1)])
+    cost = F.get(passes, F.col("bits")) * (1 + F.col("pairs") / F.col("m") * F.col("n") / F.col("m") + SENDING)
+    best = crowds.join(sizes, ["label", "dims"]).groupBy("label", "dims").agg(F.min(F.struct(cost.alias("cost"), "bits")).alias("best"))
+    bits = F.when(F.col("best.cost") < F.col("n") + SENDING, F.col("best.bits")).otherwise(0)
+    planned = sizes.join(best, ["label", "dims"], "left").select("label", "dims", "n", bits.cast("int").alias("bits"))
+    return kept(planned.withColumn("passes", F.get(passes, F.col("bits")))).frame
 
 
-def _neighbours(window: int, least: float):
+def _cell_links(least: float):
+    """A spanning forest of the links within each pair of parts (one, two) of a cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
-        for batch in batches:
-            for rows in (batch.slice(at, 8192) for at in range(0, batch.num_rows, 8192)):
-                table = pa.Table.from_batches([rows] if tail is None else [*tail, rows])
-                sizes = np.asarray(pc.list_value_length(table.column("embedding")).combine_chunks())
-                places = np.stack([table.column(c).to_numpy() for c in ("pass", "label")] + [sizes])
-                points = table.column("point").to_numpy()
-                width = sizes.max()
-                vectors = np.zeros((len(points), width))
-                flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-                vectors[np.arange(width) < sizes[:, None]] = flat
-                unit = _unit(vectors)
-                left, right = [], []
-                for k in range(1, min(window, len(points) - 1) + 1):
-                    same = (places[:, k:] == places[:, :-k]).all(axis=0)
-                    near = same & (np.einsum("ij,ij->i", unit[k:], unit[:-k]) >= least)
-                    left.append(points[k:][near])
-                    right.append(points[:-k][near])
-                if left:
-                    yield _forest_rows(np.concatenate(left), np.concatenate(right))
-                tail = table.slice(max(0, len(points) - window)).to_batches()
+        keys = [*_CELL, "one", "two"]
+        for rows in in_groups(batches, keys, 1 << 13):
+            starts = group_starts(rows, keys)
+            points, own, one, two = (rows.column(c).to_numpy() for c in ("point", "own", "one", "two"))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(points)], strict=True):
+                if b - a < 2:
+                    continue
+                unit = _unit(_vectors(rows.column("embedding").slice(a, b - a)))
+                first = np.flatnonzero(own[a:b] == one[a])
+                second = np.flatnonzero(own[a:b] == two[a])
+                forest = Forest(b - a)
+                for i in range(0, len(first), TILE):
+                    for j in range(i if one[a] == two[a] else 0, len(second), TILE):
+                        left, right = first[i : i + TILE], second[j : j + TILE]
+                        near = unit[left] @ unit[right].T >= least
+                        x, y = np.nonzero(near)
+                        apart = left[x] != right[y]
+                        forest.link(left[x[apart]], right[y[apart]])
+                root = forest.roots()
+                hung = np.flatnonzero(root != np.arange(b - a))
+                if len(hung):
+                    yield pa.RecordBatch.from_arrays([pa.array(points[a:b][hung]), pa.array(points[a:b][root[hung]])], ["a", "b"])
 
     return run
 
 
-def _forest_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """A spanning forest of the links, as rows (a, b)."""
-    points, places = np.unique(np.concatenate((a, b)), return_inverse=True)
-    forest = Forest(len(points))
-    forest.link(places[: len(a)], places[len(a) :])
-    root = forest.roots()
-    hung = np.flatnonzero(root != np.arange(len(points)))
-    return pa.RecordBatch.from_arrays([pa.array(points[hung]), pa.array(points[root[hung]])], ["a", "b"])
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair of parts (one, two) that its own part is in."""
+    return rows.withColumn("own", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        *rows.columns, "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+    )
+
+
+def _links(points: DataFrame, least: float, miss: float, seed: int, road: str) -> DataFrame:
+    """Edges (a, b) between points that link, enough for the components."""
+    points = points.select("label", F.size("embedding").alias("dims"), "point", F.col("embedding").cast(f"array<{road}>").alias("embedding"))
+    plans = _plans(points, least, miss, seed)
+    names = ["label", "dims", "bits", "passes", "point", "embedding"]
+    large = points.join(plans.where(F.col("n") > CELL), ["label", "dims"]).select(*names)
+    crowded = large.mapInArrow(_cells(seed, False), _CODED).groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts"))
+    crowded = kept(crowded.where("parts > 1")).frame
+    coded = points.join(plans, ["label", "dims"]).select(*names).mapInArrow(_cells(seed, True), f"{_CODED}, embedding array<{road}>")
+    placed = _dealt(coded.join(crowded, _CELL, "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    keys = [*_CELL, "one", "two"]
+    return placed.drop("parts").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cell_links(least), "a long, b long")
 
 
 def _block_counts(least: float):
@@ -148,15 +210,14 @@ def near_vectors(
     embedding_col: str = "embedding",
     label_col: str = "label",
     least: float = SIMILARITY,
-    passes: int = PASSES,
-    signs: int = SIGNS,
-    window: int = WINDOW,
+    miss: float = MISS,
     seed: int = 7,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Vectors link when their labels are equal and not null and their cosine is at
-    least ``least``.  A vector that is null, empty, zero, or holds a null or
+    least ``least``; a pair at ``least`` that nothing else connects is missed with
+    probability ``miss`` at most.  A vector that is null, empty, zero, or holds a null or
     non-finite component, and one without a label, links with nothing.  Vectors of
     different length never link.  Rows that repeat a vector link with each other;
     rows that repeat an id count as vectors of their own but share its component.
@@ -169,12 +230,8 @@ def near_vectors(
     )
     sound = base.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
     points = kept(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("weight"))).frame
-    coded = points.select("label", "embedding", "point").mapInArrow(
-        _signs(passes, signs, seed), "pass int, label long, code long, point long, embedding array<double>"
-    )
-    order = ["pass", "label", "code", "point"]
-    spread = coded.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = components(spread.mapInArrow(_neighbours(window, least), "a long, b long")).select(F.col("node").alias("point"), "root")
+    single = isinstance(rows.schema[embedding_col].dataType.elementType, FloatType)
+    found = components(_links(points, least, miss, seed, "float" if single else "double")).select(F.col("node").alias("point"), "root")
     member = kept(points.join(found, "point"))
     sizes = member.frame.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
     placed = (

@@ -50,3 +50,31 @@ def test_empty_table_null_and_repeated_ids(spark):
     rows = [(1, [1.0, 0.0], 1, ""), (1, [1.0, 0.0], 1, ""), (None, [1.0, 0.0], 1, "")]
     found = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.vec_id), r.n_links, r.kept) for r in found) == [("1", 1, True), ("1", 1, True), ("None", 0, True)]
+
+
+def test_isolated_pairs_in_a_crowded_direction(spark, monkeypatch):
+    monkeypatch.setattr("agora.llm.embeddings.CELL", 64, raising=False)
+    monkeypatch.setattr("agora.llm.embeddings.SENDING", 16, raising=False)
+    rng = np.random.default_rng(11)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    own = unit(rng.standard_normal((3000, 64)))
+    left = unit(0.9 * unit(rng.standard_normal((1, 64))) + 0.436 * own)
+    aside = rng.standard_normal((3000, 64))
+    aside = unit(aside - (aside * left).sum(axis=1, keepdims=True) * left)
+    right = 0.935 * left + (1 - 0.935**2) ** 0.5 * aside
+    rows = [(k, v.tolist(), 1, "p") for k, v in enumerate(np.concatenate((left, right)).astype(np.float32))]
+    found = near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    component = {r.vec_id: r.component_id for r in found}
+    assert [k for k in range(3000) if component[k] != component[k + 3000]] == []
+
+
+@pytest.mark.parametrize("bits", [1, 5, 13, 32])
+def test_passes_keep_the_bound(bits):
+    from agora.llm.embeddings import MISS, passes_for
+
+    meet = (1 - np.arccos(0.93) / np.pi) ** bits
+    assert (1 - meet) ** passes_for(bits) <= MISS < (1 - meet) ** (passes_for(bits) - 1)
+    assert passes_for(0) == 1
