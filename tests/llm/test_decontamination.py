@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from agora.llm import decontamination
@@ -80,3 +81,19 @@ def test_empty_tables_and_repeated_rows(spark, docs):
     assert contamination(docs([]), one).count() == 0
     assert decontaminate(docs(rows), none).count() == 4
     assert sorted(r.text for r in decontaminate(docs(rows), one).collect()) == ["other text", "y"]
+
+
+def test_repeated_rows_all_come_back(case, spark, docs, tmp_path):
+    rows, items, _, benchmark = case
+    rows = rows + [rows[7], rows[7], rows[4], rows[0]]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        want = db.execute(decontamination.OP6_SQL).fetchall()
+    assert len(want) == len(rows)
+    assert sorted(tuple(r) for r in decontamination.op6_decontamination(spark, str(tmp_path)).collect()) == sorted(want)
+    nulls = docs([(None, "lone"), (None, "lone"), (None, None)])
+    found = decontamination.for_each_row(contamination(nulls, benchmark), nulls).collect()
+    assert sorted((r.n_words, r.n_hit) for r in found) == [(0, 0), (1, 1), (1, 1)]
