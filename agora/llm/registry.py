@@ -13,6 +13,7 @@ from agora.llm.decontamination import OP6_SQL, op6_decontamination
 from agora.llm.embeddings import OP8_SQL, op8_embeddings
 from agora.llm.extraction import op1_extraction
 from agora.llm.language import op2_language
+from agora.llm.personal import op11_personal
 from agora.llm.quality import op4_quality
 from agora.llm.records import op7_records
 from agora.llm.shipping import ship
@@ -41,6 +42,7 @@ OPERATORS = (
     op8_embeddings,
     op9_simhash,
     op10_bpe,
+    op11_personal,
 )
 
 QUERIES = {f.__name__: _shipped(f) for f in OPERATORS}
