@@ -13,6 +13,7 @@ from agora.llm.decontamination import OP6_SQL, op6_decontamination
 from agora.llm.embeddings import OP8_SQL, op8_embeddings
 from agora.llm.extraction import op1_extraction
 from agora.llm.language import op2_language
+from agora.llm.negatives import OP12_SQL, op12_negatives
 from agora.llm.personal import op11_personal
 from agora.llm.quality import op4_quality
 from agora.llm.records import op7_records
@@ -43,9 +44,10 @@ OPERATORS = (
     op9_simhash,
     op10_bpe,
     op11_personal,
+    op12_negatives,
 )
 
 QUERIES = {f.__name__: _shipped(f) for f in OPERATORS}
 QUERIES["pipeline"] = _shipped(corpus_pipeline.run)
 
-ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_embeddings": OP8_SQL}
+ORACLE: dict[str, str] = {"op6_decontamination": OP6_SQL, "op8_embeddings": OP8_SQL, "op12_negatives": OP12_SQL}
