@@ -19,6 +19,7 @@ from agora.llm.quality import op4_quality
 from agora.llm.records import op7_records
 from agora.llm.shipping import ship
 from agora.llm.simhash import op9_simhash
+from agora.llm.spelling import op13_spelling
 from agora.llm.suffix_dedup import op5_suffix_dedup
 from agora.llm.toxicity import op3_toxicity
 
@@ -45,6 +46,7 @@ OPERATORS = (
     op10_bpe,
     op11_personal,
     op12_negatives,
+    op13_spelling,
 )
 
 QUERIES = {f.__name__: _shipped(f) for f in OPERATORS}
