@@ -10,6 +10,7 @@ from agora.operators.engagement import MESSAGE_KEY, engagement, kind_of, viewer_
 from agora.operators.joins import many_to_one
 from agora.operators.messages import cards, cards_of, few_with_people, messages, names
 from agora.operators.pinning import Pinned, pin
+from agora.operators.pruning import near
 from agora.schema import COMMENT, POST, Tables
 
 
@@ -63,6 +64,7 @@ def entry_cards(tables: Tables, entries: Pinned, viewer: int | None) -> DataFram
     me = F.lit(viewer_id(viewer))
     if not entries.small:
         return labelled(all_entry_cards(tables, entries.frame, viewer, hot_from=entries.frame), me)
+    tables = near(tables, entries)
     rows = messages(tables).join(entries.hinted(), MESSAGE_KEY)
     rated = with_engagement(rows, engagement(tables, POST, COMMENT, viewer=viewer, only=entries))
     return labelled(few_with_people(tables, rated, viewer), me)

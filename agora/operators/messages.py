@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agora.operators.engagement import MESSAGE_KEY, engagement, viewer_id, with_engagement
 from agora.operators.joins import fits_broadcast, keep_found, many_to_one
 from agora.operators.pinning import Pinned
+from agora.operators.pruning import near, rows_at
 from agora.schema import COMMENT, POST, Tables
 
 # The columns of a card, shared by every feed, search and thread.
@@ -56,7 +57,8 @@ def with_followed(tables: Tables, rows: DataFrame, viewer: int | None) -> DataFr
     me = viewer_id(viewer)
     if me == 0:
         return rows.selectExpr("*", "false AS user_followed")
-    followed = tables.follows.filter(f"follower_id = {me}").selectExpr("followee_id AS author_id", "true AS followed").distinct()
+    mine = rows_at(tables, "follows", "follower_id", me)
+    followed = mine.selectExpr("followee_id AS author_id", "true AS followed").distinct()
     return rows.join(followed, "author_id", "left").selectExpr(
         *rows.columns, "coalesce(followed, false) AS user_followed"
     )
@@ -216,6 +218,7 @@ def cards_of(
     rows = keep_found(messages_of(tables, kind) if rows is None else rows, ids, MESSAGE_KEY)
     if not ids.small:
         return cards(tables, kind, viewer, rows)
+    tables = near(tables, ids)
     return few_of_kind(tables, kind, rated(tables, kind, rows, viewer, ids), viewer).select(
         "kind", *CARD, "rating", "post_id", "parent_id"
     )

@@ -9,6 +9,7 @@ from agora.operators.engagement import MESSAGE_KEY, counted_for
 from agora.operators.joins import many_to_one
 from agora.operators.messages import few_with_authors, messages, names, with_followed
 from agora.operators.pinning import Pinned
+from agora.operators.pruning import near
 from agora.schema import COMMENT, POST, Tables
 
 PLAIN = ("id", "text", "created_at", "comment_count", "author_id", "author_username", "author_display_name")
@@ -43,6 +44,7 @@ def plain_entries(tables: Tables, entries: Pinned, viewer: int | None) -> DataFr
         every = plain_messages(tables, messages(tables))
         shown = many_to_one(entries.frame, every, MESSAGE_KEY, sized_by=messages(tables))
         return with_followed(tables, shown, viewer)
+    tables = near(tables, entries)
     rows = messages(tables).join(entries.hinted(), MESSAGE_KEY)
     counted = rows.join(comment_counts(tables, entries), MESSAGE_KEY, "left").fillna(0, ["comment_count"])
     return with_followed(tables, few_with_authors(tables, counted), viewer)

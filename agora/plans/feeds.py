@@ -20,6 +20,7 @@ from agora.operators.entries import (
 from agora.operators.joins import many_to_one
 from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, messages, messages_of, rated
 from agora.operators.pinning import BROADCAST_ROWS, few_or_all, in_order, pin
+from agora.operators.pruning import rows_at
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
 
 
@@ -100,8 +101,8 @@ def home_feed(tables: Tables, viewer: int) -> DataFrame:
     """
     if viewer is None:
         raise ValueError("a home feed needs a viewer")
-    followees = tables.follows.filter(F.col("follower_id") == viewer).select(F.col("followee_id").alias("user_id"))
-    me = tables.users.filter(F.col("id") == viewer).select(F.col("id").alias("user_id"))
+    followees = rows_at(tables, "follows", "follower_id", viewer).select(F.col("followee_id").alias("user_id"))
+    me = rows_at(tables, "users", "id", viewer).select(F.col("id").alias("user_id"))
     sources = pin(followees.unionByName(me).distinct())
 
     posted = own_entries(tables.posts, POST).join(sources.hinted(), "user_id")

@@ -11,6 +11,7 @@ from agora.operators.messages import CARD, author_record, cards, comments_as_mes
 from agora.operators.nesting import nest
 from agora.operators.pinning import in_order, pin
 from agora.operators.plain import PLAIN, plain_entries, plain_messages
+from agora.operators.pruning import rows_at, thread_around
 from agora.schema import COMMENT, POST, Tables
 
 # Which part of a thread a row is.
@@ -45,8 +46,8 @@ def _newest_first() -> list[Column]:
 
 def post_thread(tables: Tables, post: int, viewer: int | None = None) -> DataFrame:
     """A post and its top-level comments as cards, newest first."""
-    own = tables.posts.filter(F.col("id") == post)
-    top_level = tables.comments.filter((F.col("post_id") == post) & F.col("parent_id").isNull())
+    own = rows_at(tables, "posts", "id", post)
+    top_level = rows_at(tables, "comments", "post_id", post).filter(F.col("parent_id").isNull())
     entries = pin(_tagged(own, POST, POST).unionByName(_tagged(top_level, COMMENT, COMMENT)))
     shown = entry_cards(tables, entries, viewer).select("show_type", *CARD)
     return in_order(shown, entries.small, *_newest_first())
@@ -54,8 +55,9 @@ def post_thread(tables: Tables, post: int, viewer: int | None = None) -> DataFra
 
 def comment_thread(tables: Tables, comment: int, viewer: int | None = None) -> DataFrame:
     """A comment, its post, its parent if any, and its direct replies."""
-    own = _around(tables.comments.filter(F.col("id") == comment))
-    replies = tables.comments.filter(F.col("parent_id") == comment)
+    thread = thread_around(tables, comment)
+    own = _around(thread.filter(F.col("id") == comment))
+    replies = thread.filter(F.col("parent_id") == comment)
     entries = pin(own.unionByName(_tagged(replies, COMMENT, OWN_COMMENT_REPLY)))
     shown = entry_cards(tables, entries, viewer).select("show_type", *CARD)
     return in_order(shown, entries.small, *_newest_first())
@@ -125,16 +127,17 @@ def _details(
 
 def post_detail(tables: Tables, post: int, viewer: int | None = None) -> DataFrame:
     """A post and its top-level comments as plain rows, newest comment first."""
-    own = tables.posts.filter(F.col("id") == post)
-    top_level = tables.comments.filter((F.col("post_id") == post) & F.col("parent_id").isNull())
+    own = rows_at(tables, "posts", "id", post)
+    top_level = rows_at(tables, "comments", "post_id", post).filter(F.col("parent_id").isNull())
     entries = _tagged(own, POST, POST).unionByName(_tagged(top_level, COMMENT, COMMENT))
     return _details(tables, entries, viewer, [POST], F.desc("part"))
 
 
 def comment_detail(tables: Tables, comment: int, viewer: int | None = None) -> DataFrame:
     """A comment, its post, its parent and its replies as plain rows."""
-    own = _around(tables.comments.filter(F.col("id") == comment))
-    replies = tables.comments.filter(F.col("parent_id") == comment)
+    thread = thread_around(tables, comment)
+    own = _around(thread.filter(F.col("id") == comment))
+    replies = thread.filter(F.col("parent_id") == comment)
     entries = own.unionByName(_tagged(replies, COMMENT, OWN_COMMENT_REPLY))
     return _details(tables, entries, viewer, [OWN_COMMENT, OWN_COMMENT_POST], F.asc("part"))
 

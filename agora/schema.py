@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -50,12 +51,32 @@ SCHEMAS = {
 }
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How stored tables are cut into buckets.
+
+    ``frames`` are the tables with their bucket column, ``index`` is the
+    (bucket of id, id, post_id) of the comments, which are cut by post.
+    """
+
+    frames: dict[str, DataFrame]
+    index: DataFrame
+    buckets: int
+
+    def knows(self, *names: str) -> bool:
+        return all(name in self.frames for name in names)
+
+    def without(self, names: Iterable[str]) -> "Layout":
+        return replace(self, frames={n: f for n, f in self.frames.items() if n not in names})
+
+
 @dataclass(frozen=True)
 class Tables:
     """The six tables every query takes.
 
     Expected of the caller (and checked by ``plans.audit``): unique ids, unique
-    edges, existing authors and posts.
+    edges, existing authors and posts.  ``layout`` is known for tables stored in
+    buckets, those that have not been replaced.
     """
 
     users: DataFrame
@@ -64,9 +85,10 @@ class Tables:
     likes: DataFrame
     reposts: DataFrame
     follows: DataFrame
+    layout: Layout | None = field(default=None, compare=False)
 
     def with_(self, **frames: DataFrame) -> "Tables":
-        return replace(self, **frames)
+        return replace(self, layout=self.layout and self.layout.without(frames), **frames)
 
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, getattr(self, name)) for name in SCHEMAS]

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from agora.operators.joins import many_to_one
 from agora.schema import COMMENT_LIKE, COMMENT_REPOST, POST_LIKE, POST_REPOST, Tables
 from agora.session import shared_dir
-from agora.sources.stored import conform, read_table, read_tables, write_table
+from agora.sources.stored import conform, read_bucketed, read_table, write_bucketed, write_layout
 
 # Which event type stands for which edge.
 LIKE_EVENTS = {"click": POST_LIKE, "purchase": COMMENT_LIKE}
 REPOST_EVENTS = {"view": POST_REPOST, "error": COMMENT_REPOST}
 FOLLOW_EVENT = "signup"
 COMMENT_EDGES = (COMMENT_LIKE, COMMENT_REPOST)
-
+# Buckets of the mapped tables; more for more data, so that one stays some hundred MB.
+BUCKETS = 16
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,20 +172,25 @@ def ingest(spark: SparkSession, sf_dir: str) -> str:
     stored messages, so that nothing is mapped twice.
     """
     path = f"{shared_dir(spark).rstrip('/')}/agora-tables-{uuid.uuid4().hex}"
-    write_table(users(spark, sf_dir), "users", path)
-    write_table(posts(spark, sf_dir), "posts", path)
-    write_table(comments(spark, sf_dir), "comments", path)
+
+    def write(frame: DataFrame, name: str) -> None:
+        write_bucketed(frame, name, path, BUCKETS)
+
+    write_layout(spark, path, BUCKETS)
+    write(users(spark, sf_dir), "users")
+    write(posts(spark, sf_dir), "posts")
+    write(comments(spark, sf_dir), "comments")
     posts_, comments_ = read_table(spark, "posts", path), read_table(spark, "comments", path)
     likes = message_edges(spark, sf_dir, LIKE_EVENTS, comments_, distinct=True)
     reposts = message_edges(spark, sf_dir, REPOST_EVENTS, comments_, distinct=True)
     follows = follow_edges(spark, sf_dir, distinct=True)
-    write_table(likes, "likes", path)
-    write_table(without_own_reposts(reposts, posts_, comments_), "reposts", path)
-    write_table(follows.filter(F.col("follower_id") != F.col("followee_id")), "follows", path)
+    write(likes, "likes")
+    write(without_own_reposts(reposts, posts_, comments_), "reposts")
+    write(follows.filter(F.col("follower_id") != F.col("followee_id")), "follows")
     return path
 
 
-_ingested: dict[tuple[str, str], str] = {}
+_ingested: dict[tuple[str, str], Tables] = {}
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
@@ -195,5 +201,5 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ingested:
-        _ingested[key] = ingest(spark, sf_dir)
-    return read_tables(spark, _ingested[key])
+        _ingested[key] = read_bucketed(spark, ingest(spark, sf_dir))
+    return _ingested[key]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from agora.schema import SCHEMAS, Tables
+from agora.schema import SCHEMAS, Layout, Tables
 
 # Columns the queries look rows up by.  Sorting inside files keeps Parquet
 # row-group statistics narrow, so point lookups skip most row groups.
@@ -18,6 +19,20 @@ LOOKUP_COLUMN = {
     "follows": "follower_id",
 }
 
+# Columns whose hash gives the bucket of a row.  Comments lie with their post, so a
+# thread is in one bucket; an index says which post a comment is on.
+BUCKET_KEY = {
+    "users": "id",
+    "posts": "id",
+    "comments": "post_id",
+    "likes": "message_id",
+    "reposts": "message_id",
+    "follows": "follower_id",
+}
+BUCKET = "bucket"
+INDEX = "comment_index"
+LAYOUT = "layout"
+
 
 def conform(frame: DataFrame, name: str) -> DataFrame:
     """Exactly the columns and types of table ``name``."""
@@ -41,3 +56,44 @@ def write_table(frame: DataFrame, name: str, path: str, mode: str = "errorifexis
 def write_tables(tables: Tables, path: str, mode: str = "errorifexists") -> None:
     for name, frame in tables.items():
         write_table(frame, name, path, mode)
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    """The bucket of an id."""
+    return F.pmod(F.hash(key.cast("long")), F.lit(buckets))
+
+
+def write_bucketed(frame: DataFrame, name: str, path: str, buckets: int, files: int = 1) -> None:
+    """Write one table in folders by bucket, each of ``files`` files sorted by the lookup column.
+
+    With the comments goes their index.
+    """
+
+    def write(rows: DataFrame, key: str, order: str, to: str) -> None:
+        part = F.pmod(F.xxhash64("id"), F.lit(files))
+        keyed = rows.withColumn(BUCKET, bucket_of(F.col(key), buckets))
+        dealt = keyed.repartition(F.col(BUCKET), part) if files > 1 else keyed.repartition(BUCKET)
+        dealt.sortWithinPartitions(BUCKET, order).write.partitionBy(BUCKET).parquet(f"{path}/{to}")
+
+    rows = conform(frame, name)
+    write(rows, BUCKET_KEY[name], LOOKUP_COLUMN[name], name)
+    if name == "comments":
+        stored = frame.sparkSession.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+        write(stored.select("id", "post_id"), "id", "id", INDEX)
+
+
+def write_layout(spark: SparkSession, path: str, buckets: int) -> None:
+    """Note into how many buckets the tables below ``path`` are cut."""
+    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/{LAYOUT}")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> Tables:
+    """Tables written by ``write_bucketed``, which know their layout."""
+
+    def read(fields: list[T.StructField], name: str) -> DataFrame:
+        return spark.read.schema(T.StructType([*fields, T.StructField(BUCKET, T.IntegerType())])).parquet(f"{path}/{name}")
+
+    buckets = spark.read.schema("buckets int").parquet(f"{path}/{LAYOUT}").first()["buckets"]
+    frames = {name: read(SCHEMAS[name].fields, name) for name in SCHEMAS}
+    index = read([f for f in SCHEMAS["comments"].fields if f.name in ("id", "post_id")], INDEX)
+    return Tables(**{name: frame.drop(BUCKET) for name, frame in frames.items()}, layout=Layout(frames, index, buckets))

@@ -273,13 +273,27 @@ SELECT x.id, 'ParentComment', card.* FROM comments x JOIN (SELECT {CARD} FROM ca
 
 PLAIN = "id, text, created_at, comment_count, author_id, author_username, author_display_name"
 
-USER_COMMENTS = "SELECT {} FROM rated c JOIN rated o ON o.kind = 'Post' AND o.id = c.post_id LEFT JOIN rated p ON p.kind = 'Comment' AND p.id = c.parent_id WHERE c.kind = 'Comment'".format(
-    ", ".join(
-        f"{alias}.{field} AS {part}_{field}"
-        for alias, part in (("c", "comment"), ("o", "post"), ("p", "parent"))
-        for field in PLAIN.split(", ")
-    )
-)
+
+def _user_comments(whose: str = "") -> str:
+    """Comments with post and parent, from the base tables and one count of comments each."""
+
+    def named(part: str, message: str, author: str, count: str) -> str:
+        fields = {
+            "id": f"{message}.id", "text": f"{message}.text", "created_at": f"{message}.created_at",
+            "comment_count": f"CASE WHEN {message}.id IS NOT NULL THEN coalesce({count}.n, 0) END",
+            "author_id": f"{author}.id", "author_username": f"{author}.username", "author_display_name": f"{author}.display_name",
+        }
+        return ", ".join(f"{sql} AS {part}_{field}" for field, sql in fields.items())
+
+    return f"""SELECT {named("comment", "c", "cu", "cn")}, {named("post", "o", "ou", "pn")}, {named("parent", "p", "pu", "rn")}
+FROM comments c JOIN users cu ON cu.id = c.author_id
+JOIN posts o ON o.id = c.post_id JOIN users ou ON ou.id = o.author_id
+LEFT JOIN comments p ON p.id = c.parent_id LEFT JOIN users pu ON pu.id = p.author_id
+LEFT JOIN comments_of cn ON cn.kind = 'Comment' AND cn.id = c.id
+LEFT JOIN comments_of pn ON pn.kind = 'Post' AND pn.id = o.id
+LEFT JOIN comments_of rn ON rn.kind = 'Comment' AND rn.id = p.id
+{whose}"""
+
 
 STATS = f"""SELECT u.id, u.username, u.display_name, u.email, u.created_at,
   (SELECT count(*) FROM posts p WHERE p.author_id = u.id) AS post_count,
@@ -674,8 +688,8 @@ FROM card WHERE post_id = {POST_ID} AND parent_id IS NULL""",
 FROM ({COMMENT_THREADS}) WHERE thread_id = {COMMENT_ID}""",
         VIEWER,
     ),
-    "user_comments": _sql(f"{USER_COMMENTS} AND c.author_id = {PROFILE}"),
-    "user_comments_all": _sql(USER_COMMENTS),
+    "user_comments": _sql(_user_comments(f"WHERE c.author_id = {PROFILE}")),
+    "user_comments_all": _sql(_user_comments()),
     "user_stats": _sql(f"{STATS} WHERE lower(u.username) = lower('{USERNAME}')"),
     "user_stats_all": _sql(STATS),
     "followed_users": _sql(_named_follow_list("follower_id", "followee_id")),

@@ -9,6 +9,8 @@ import check
 from agora.operators import joins, pinning
 from agora.plans import feeds, search, threads
 from agora.sources import driverdata
+from contract.oracle import ORACLE
+from contract.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -46,7 +48,7 @@ def test_equals_sql_when_nothing_is_small(spark, duck, name, monkeypatch):
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def plan_of(frame) -> str:
