@@ -34,3 +34,32 @@ def with_previous(
         .withColumn(name, F.coalesce("__lag", "__before"))
         .drop("__lag", "__before", "__block")
     )
+
+
+def with_last(
+    rows: DataFrame, key: list[str], order: str, value: str, name: str, few: bool = False, block: int = BLOCK
+) -> DataFrame:
+    """Add ``name``: the last ``value`` that is not null in the rows before with the same key.
+
+    As ``with_previous``, but rows without a value are looked past.  ``few`` says that
+    all rows together are no more than a block, so that one window will do.
+    """
+    if few:
+        before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.last(value, ignorenulls=True).over(before))
+    cut = rows.withColumn("__block", F.floor(F.col(order) / block))
+    in_block = Window.partitionBy(*key, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    by_block = Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    valued = F.when(F.col(value).isNotNull(), F.col(order))
+    ends = (
+        cut.groupBy(*key, "__block")
+        .agg(F.max_by(value, valued).alias("__end"))
+        .withColumn("__before", F.last("__end", ignorenulls=True).over(by_block))
+        .select(*key, "__block", "__before")
+    )
+    return (
+        cut.withColumn("__last", F.last(value, ignorenulls=True).over(in_block))
+        .join(ends, [*key, "__block"], "left")
+        .withColumn(name, F.coalesce("__last", "__before"))
+        .drop("__last", "__before", "__block")
+    )

@@ -9,16 +9,19 @@ reason means that the request went through.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions.text import text_problems, user_problems
+from agora.operators import ordered
 from agora.operators.engagement import kind_of
-from agora.operators.joins import drop_found, many_to_one
+from agora.operators.joins import drop_found, keep_found, many_to_one
 from agora.operators.messages import messages
 from agora.operators.ordered import with_previous
 from agora.operators.pinning import Pinned, pin
+from agora.operators.settling import follow
 from agora.plans.audit import (
     EMAIL_TAKEN,
     FOLLOW_REPEATED,
@@ -40,6 +43,7 @@ NO_EDGE = {
 OTHERS = {POST: "Cannot update other's posts.", COMMENT: "Cannot update other's comments."}
 NOT_FOUND = {POST: "Unable to find Post at given ID: ", COMMENT: "Unable to find Comment at given ID: "}
 OTHER_ACCOUNT = "This account is inaccessible"
+UNKNOWN_USER = "Unable to confirm user with token"
 # Our name for a request that the database alone would refuse.
 REPEATED = {"follows": FOLLOW_REPEATED, "likes": LIKE_REPEATED, "reposts": REPOST_REPEATED}
 
@@ -228,9 +232,7 @@ def create_users(tables: Tables, batch: DataFrame) -> Merged:
     """``batch``: seq, id, username, email, display_name, created_at.
 
     Usernames and emails are unique in whatever case, also within the batch,
-    where the earlier accepted request keeps the name.  That is settled in
-    rounds: a request that is the first open one for both its names is accepted,
-    those that share a name with it are refused, and the rest go on.
+    where the earlier accepted request keeps the name; see ``_contest``.
     """
     problems = user_problems(F.col("username"), F.col("email"), F.col("display_name"))
     stored = tables.users.select(F.lower("username").alias("name_key"), F.lower("email").alias("email_key"))
@@ -240,81 +242,113 @@ def create_users(tables: Tables, batch: DataFrame) -> Merged:
         .withColumn("problems", problems)
     )
     judged = _exists(keyed, stored, {"name_key": "name_key"}, "name_taken")
-    judged = _exists(judged, stored, {"email_key": "email_key"}, "email_taken")
-    first = _reasons(
+    judged = pin(_exists(judged, stored, {"email_key": "email_key"}, "email_taken")).frame
+    sound = judged.filter((F.size("problems") == 0) & ~F.col("name_taken") & ~F.col("email_taken"))
+    winners = pin(_contest(sound.select("seq", *NAME_KEYS)))
+
+    # What an earlier winner holds is taken; a name has one winner at most.
+    known = judged.join(winners.hinted("seq").withColumn("won", F.lit(True)), "seq", "left")
+    for key, taken in zip(NAME_KEYS, ("name_taken", "email_taken"), strict=True):
+        held = winners.frame.select(key, F.col("seq").alias("held_from"))
+        known = many_to_one(known, held, [key], "left", hot_from=judged).withColumn(
+            taken, F.col(taken) | F.coalesce(F.col("held_from") < F.col("seq"), F.lit(False))
+        ).drop("held_from")
+    reason = _reasons(
         (F.size("problems") > 0, F.array_join("problems", "; ")),
         (F.col("name_taken"), USERNAME_TAKEN),
         (F.col("email_taken"), EMAIL_TAKEN),
     )
-    judged = pin(judged.withColumn("reason", first).drop("problems", "name_taken", "email_taken")).frame
-    keys = ["seq", "name_key", "email_key"]
-    undecided = pin(judged.filter(F.col("reason").isNull()).select(*keys))
-    refused = judged.filter(F.col("reason").isNotNull()).select("seq", "reason")
-    accepted = undecided.frame.select("seq").limit(0)
-    while undecided.rows:
-        rows = undecided.frame
-        firsts = rows
-        for key in ("name_key", "email_key"):
-            first_of = rows.groupBy(key).agg(F.min("seq").alias(f"first_{key}"))
-            firsts = many_to_one(firsts, first_of, [key], hot_from=rows)
-        won = pin(
-            firsts.filter((F.col("seq") == F.col("first_name_key")) & (F.col("seq") == F.col("first_email_key")))
-            .select(*keys)
-        )
-        rest = drop_found(rows, Pinned(won.frame.select("seq"), won.rows), ["seq"])
-        rest = _exists(rest, won.frame, {"name_key": "name_key"}, "name_taken")
-        rest = _exists(rest, won.frame, {"email_key": "email_key"}, "email_taken")
-        reason = _reasons((F.col("name_taken"), USERNAME_TAKEN), (F.col("email_taken"), EMAIL_TAKEN))
-        settled = pin(rest.select(*keys, reason.alias("reason"))).frame
-        refused = refused.unionByName(settled.filter(F.col("reason").isNotNull()).select("seq", "reason"))
-        accepted = accepted.unionByName(won.frame.select("seq"))
-        undecided = pin(settled.filter(F.col("reason").isNull()).select(*keys))
-    winners = pin(accepted)
+    settled = pin(known.withColumn("reason", reason)).frame
     new = (
-        judged.join(winners.hinted(), "seq", "left_semi")
+        settled.filter("won")
         .withColumn("email", F.lower("email"))
         .withColumn("confirmed_at", F.lit(None).cast("timestamp_ntz"))
         .select(*tables.users.columns)
     )
-    outcomes = winners.frame.withColumn("reason", F.lit(None).cast("string")).unionByName(refused)
-    return Merged(tables.users.unionByName(new), outcomes)
+    return Merged(tables.users.unionByName(new), settled.select("seq", "reason"))
+
+
+NAME_KEYS = ("name_key", "email_key")
+
+
+def _contest(requests: DataFrame) -> DataFrame:
+    """Of (seq, name_key, email_key) requests those that get both names, taken in order of ``seq``.
+
+    A request gets its names unless an earlier one that went through has either.  In
+    every round the requests that are the first open ones for both their names go
+    through; one that has a single open request before it goes through if that one does
+    not, so chains of these are settled together by pointer jumping, whatever their
+    length; and those that share a name with an earlier winner are out.
+    """
+    undecided = pin(requests)
+    winners: list[Pinned] = []
+    while undecided.rows:
+        rows = undecided.frame
+        met = rows
+        for key in NAME_KEYS:
+            first = rows.groupBy(key).agg(F.min("seq").alias(f"first_{key}"))
+            met = many_to_one(met, first, [key], hot_from=rows)
+        met = pin(met).frame
+        for key in NAME_KEYS:
+            later = met.filter(F.col("seq") > F.col(f"first_{key}"))
+            second = later.groupBy(key).agg(F.min("seq").alias(f"second_{key}"))
+            met = many_to_one(met, second, [key], "left", hot_from=rows)
+        before = []
+        crowded = F.lit(False)
+        for key in NAME_KEYS:
+            is_first, is_second = (F.col("seq") == F.col(f"{place}_{key}") for place in ("first", "second"))
+            before.append(F.when(~is_first, F.col(f"first_{key}")))
+            crowded = crowded | ~(is_first | F.coalesce(is_second, F.lit(False)))
+        one, two = before
+        several = crowded | F.coalesce(one != two, F.lit(False))
+        up = F.when(~several, F.coalesce(one, two))
+        links = met.select(
+            "seq", up.alias("up"), F.lit(False).alias("yes"), F.lit(True).alias("no"),
+            F.when(~several & up.isNull(), F.lit(True)).alias("value"),
+        )
+        values, _ = follow(links)
+        won = pin(rows.join(values.filter("value"), "seq").select("seq", *NAME_KEYS))
+        winners.append(won)
+        rest = drop_found(rows, Pinned(won.frame.select("seq"), won.rows), ["seq"])
+        for key in NAME_KEYS:
+            held = won.frame.select(key, F.col("seq").alias("held_from"))
+            rest = many_to_one(rest, held, [key], "left", hot_from=rows).filter(
+                F.col("held_from").isNull() | (F.col("held_from") > F.col("seq"))
+            ).drop("held_from")
+        undecided = pin(rest)
+    every = [w.frame for w in winners] or [requests.limit(0)]
+    return reduce(DataFrame.unionByName, every)
 
 
 def edit_users(tables: Tables, batch: DataFrame) -> Merged:
     """Change display names and emails, each by its owner only.
 
     ``batch``: seq, actor_id, id, display_name, email; null leaves a field as it
-    is.  An email must not belong to another user of the table, nor be claimed
-    by an earlier request of another user in the batch.
+    is.  An email must not belong to another user at the moment its request is made:
+    what came before in the batch counts, emails it took and emails it set free.
     """
     asked = batch.withColumn("email_key", F.lower("email"))
-    holders = tables.users.select(F.lower("email").alias("email_key"), F.col("id").alias("holder"))
     stored = tables.users.select(
         "id", F.col("username").alias("own_username"), F.col("email").alias("own_email"),
         F.col("display_name").alias("own_display_name"),
     )
     known = many_to_one(asked, stored, ["id"], "left", hot_from=asked)
-    known = many_to_one(known, holders, ["email_key"], "left", hot_from=asked)
     problems = user_problems(
         F.col("own_username"), F.coalesce("email", "own_email"), F.coalesce("display_name", "own_display_name")
     )
-    reason = F.when(
-        F.col("own_username").isNull() | (F.col("actor_id") != F.col("id")), F.lit(OTHER_ACCOUNT)
-    ).otherwise(
-        _reasons(
-            (F.size(problems) > 0, F.array_join(problems, "; ")),
-            (F.col("holder").isNotNull() & (F.col("holder") != F.col("id")), EMAIL_TAKEN),
+    foreign = F.col("own_username").isNull() | (F.col("actor_id") != F.col("id"))
+    judged = pin(
+        known.select(
+            "seq", "id", "display_name", "email", "email_key", F.lower("own_email").alias("own_key"),
+            foreign.alias("foreign"), problems.alias("problems"),
         )
+    ).frame
+    asks = judged.filter(~F.col("foreign") & F.col("email_key").isNotNull())
+    free = _free_emails(tables, asks.select("seq", "id", "email_key", "own_key", (F.size("problems") == 0).alias("able")))
+    reason = F.when(F.col("foreign"), F.lit(OTHER_ACCOUNT)).otherwise(
+        _reasons((F.size("problems") > 0, F.array_join("problems", "; ")), (~F.col("free"), EMAIL_TAKEN))
     )
-    judged = pin(known.select("seq", "id", "display_name", "email", "email_key", reason.alias("reason"))).frame
-    claims = (
-        judged.filter(F.col("reason").isNull() & F.col("email_key").isNotNull())
-        .groupBy("email_key")
-        .agg(F.min_by("id", "seq").alias("claimed_by"))
-    )
-    contested = many_to_one(judged, claims, ["email_key"], "left", hot_from=judged)
-    late = F.col("reason").isNull() & (F.col("claimed_by") != F.col("id"))
-    settled = pin(contested.withColumn("reason", F.when(late, F.lit(EMAIL_TAKEN)).otherwise(F.col("reason")))).frame
+    settled = pin(judged.join(free, "seq", "left").withColumn("reason", reason)).frame
 
     done = settled.filter(F.col("reason").isNull())
     newest = pin(
@@ -334,6 +368,86 @@ def edit_users(tables: Tables, batch: DataFrame) -> Merged:
     return Merged(users, settled.select("seq", "reason"))
 
 
+# The place of the stored holder of an email in its timeline: before all requests.
+_STORED = -(1 << 62)
+
+
+def _free_emails(tables: Tables, asks: DataFrame) -> DataFrame:
+    """(seq, free): whether the email a request asks for is free, or its user's own, when it is made.
+
+    ``asks``: seq, id, email_key, own_key, able; those that are not able change nothing.
+
+    A sweep over the timeline of every email finds, under a guess of which requests go
+    through, the last event before each request: somebody took the email, or set it
+    free by taking another.  If that event is not certain, the outcome hangs on its
+    request: one outcome if that goes through, and one, from the event before, if it
+    does not.  Such chains are followed by pointer jumping, which gives the next guess.
+    A guess that repeats is the answer: the earliest request that a guess has wrong is
+    right in the next one, and a chain of requests that wait for each other is right at
+    once, so there are about as many sweeps as an email changes its mind, not requests.
+    """
+    asks = pin(asks)
+    emails = pin(asks.frame.select("email_key").distinct())
+    holders = keep_found(tables.users.select("id", F.lower("email").alias("email_key")), emails, ["email_key"])
+    holders = pin(holders.groupBy("email_key").agg(F.min("id").alias("id"))).frame
+    # The first guess: an email belongs to its holder, or to whoever asks first, unless that
+    # user asks for another one as well.
+    able = asks.frame.filter("able")
+    claims = able.groupBy("email_key").agg(F.min_by("id", "seq").alias("first"))
+    owners = claims.join(holders.withColumnRenamed("id", "holder"), "email_key", "left").select(
+        "email_key", F.coalesce("holder", "first").alias("owner")
+    )
+    wishes = able.groupBy(F.col("id").alias("owner")).agg(F.min("email_key").alias("one"), F.max("email_key").alias("other"))
+    stays = (F.col("one") == F.col("email_key")) & (F.col("other") == F.col("email_key"))
+    keepers = many_to_one(owners, wishes, ["owner"], "left").filter(F.coalesce(stays, F.lit(True))).select("email_key", "owner")
+    guess = many_to_one(asks.frame, keepers, ["email_key"], "left", hot_from=asks.frame)
+    guess = pin(guess.withColumn("free", F.coalesce(F.col("owner") == F.col("id"), F.lit(True))).drop("owner")).frame
+    few = 2 * asks.rows <= ordered.BLOCK
+    while asks.rows:
+        through = guess.filter(F.col("able") & F.col("free"))
+        moved = ordered.with_last(through, ["id"], "seq", "email_key", "before", few)
+        moved = moved.withColumn("left_key", F.coalesce("before", "own_key")).filter(F.col("left_key") != F.col("email_key"))
+        left = moved.select("seq", "id", F.col("left_key").alias("email_key"))
+        left = keep_found(left, emails, ["email_key"], hot_from=left)
+
+        taken = F.struct(F.col("seq").alias("by"), F.col("id").alias("holder"))
+        event = F.when(F.col("able") & F.col("free"), taken)
+        timeline = (
+            guess.select("email_key", "seq", "id", F.lit(True).alias("asks"), event.alias("event"))
+            .unionByName(left.select(
+                "email_key", "seq", "id", F.lit(False).alias("asks"),
+                F.struct(F.col("seq").alias("by"), F.lit(None).cast("long").alias("holder")).alias("event"),
+            ))
+            .unionByName(holders.select(
+                "email_key", F.lit(_STORED).alias("seq"), "id", F.lit(False).alias("asks"),
+                F.struct(F.lit(None).cast("long").alias("by"), F.col("id").alias("holder")).alias("event"),
+            ))
+        )
+        swept = ordered.with_last(timeline, ["email_key"], "seq", "event", "last", few)
+        # Each event also knows the one before it, for the case that it does not happen.
+        paired = swept.withColumn("event", F.when(F.col("event").isNotNull(), F.struct("event", "last"))).drop("last")
+        paired = paired if few else pin(paired).frame
+        seen = ordered.with_last(paired, ["email_key"], "seq", "event", "last", few).filter("asks")
+
+        def open_to(holder: str) -> Column:
+            return F.col(holder).isNull() | (F.col(holder) == F.col("id"))
+
+        yes, no = open_to("last.event.holder"), open_to("last.last.holder")
+        certain = F.col("last.event.by").isNull() | (yes == no)
+        links = seen.select(
+            "seq", F.when(~certain, F.col("last.event.by")).alias("up"), yes.alias("yes"), no.alias("no"),
+            F.when(certain, yes).alias("value"),
+        )
+        values, _ = follow(links)
+        new = pin(
+            guess.withColumnRenamed("free", "was_free").join(values.withColumnRenamed("value", "free"), "seq")
+        ).frame
+        if not new.filter(F.col("able") & (F.col("free") != F.col("was_free"))).limit(1).count():
+            return new.select("seq", "free")
+        guess = new.drop("was_free")
+    return guess.select("seq", "free")
+
+
 def confirm_users(tables: Tables, batch: DataFrame) -> DataFrame:
     """Set confirmed_at of users that have none.  ``batch``: id, confirmed_at."""
     first = pin(batch.groupBy("id").agg(F.min("confirmed_at").alias("now")))
@@ -342,3 +456,9 @@ def confirm_users(tables: Tables, batch: DataFrame) -> DataFrame:
         .withColumn("confirmed_at", F.coalesce("confirmed_at", "now"))
         .select(*tables.users.columns)
     )
+
+
+def confirmations(tables: Tables, batch: DataFrame) -> DataFrame:
+    """(id, confirmed_at, reason) of each confirmation; one of a confirmed user changes nothing and goes through."""
+    known = _exists(batch, tables.users, {"id": "id"}, "known")
+    return known.select("id", "confirmed_at", _reasons((~F.col("known"), UNKNOWN_USER)).alias("reason"))

@@ -215,6 +215,53 @@ def user_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _customer_email(key: Column) -> Column:
+    """The email a customer signed up with."""
+    return F.concat(F.lit("customer_"), F.lpad(key.cast("string"), 9, "0"), F.lit("@example.com"))
+
+
+def moving_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two email changes per customer, in chains.
+
+    First each takes the email of the customer before, which is free if that one has
+    just moved; machinery customers take a new one, and those in debt are refused as
+    strangers.  Then some go back to the email they came from, others to one of few.
+    """
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    first = F.when(segment == "MACHINERY", _text("Moved", key, "@example.com")).otherwise(_customer_email(key - 1))
+    second = F.when(segment.isin("AUTOMOBILE", "BUILDING"), _customer_email(key)).otherwise(
+        _text("shared", F.col("c_nationkey"), "@example.com")
+    )
+    actor = F.when(F.col("c_acctbal") < 0, key + 2).otherwise(key + 1)
+    moves = F.array(
+        F.struct(key.alias("seq"), actor.alias("actor_id"), first.alias("email")),
+        F.struct((key + BILLION).alias("seq"), (key + 1).alias("actor_id"), second.alias("email")),
+    )
+    rows = source(spark, sf_dir, "customer").select((key + 1).alias("id"), F.explode(moves).alias("move"))
+    return rows.select("move.seq", "move.actor_id", "id", F.lit(None).cast("string").alias("display_name"), "move.email")
+
+
+def contesting_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sign-up per customer; neighbours share a username or an email by turns, in one long chain."""
+    key = F.col("c_custkey")
+    return source(spark, sf_dir, "customer").select(
+        key.alias("seq"),
+        (key + 1 + BILLION).alias("id"),
+        _text("Rival", F.floor(key / 2)).alias("username"),
+        _text("rival", F.floor((key + 1) / 2), "@Example.com").alias("email"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit(" ")).otherwise(F.lit("Rival")).alias("display_name"),
+        _at("2024-03-01", key).alias("created_at"),
+    )
+
+
+def mixed_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A confirmation per customer, and one per supplier, who are no users."""
+    strangers = source(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + BILLION).alias("id"), _at("2024-01-01", F.col("s_suppkey")).alias("confirmed_at")
+    )
+    return confirmations(spark, sf_dir).unionByName(strangers)
+
+
 def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return source(spark, sf_dir, "customer").select(

@@ -588,6 +588,57 @@ USER_EDITS = f"""batch AS (
   FROM checked
 )"""
 
+# Email changes one after the other: the state of a step is who holds the emails that have
+# changed hands (0: nobody), and the email of the users who have moved.
+MOVES = """moves AS (
+  SELECT c_custkey AS seq, CASE WHEN c_acctbal < 0 THEN c_custkey + 2 ELSE c_custkey + 1 END AS actor_id, c_custkey + 1 AS id,
+    CASE c_mktsegment WHEN 'MACHINERY' THEN 'Moved' || c_custkey || '@example.com'
+      ELSE 'customer_' || lpad(CAST(c_custkey - 1 AS VARCHAR), 9, '0') || '@example.com' END AS email
+  FROM customer
+  UNION ALL
+  SELECT c_custkey + 1000000000, c_custkey + 1, c_custkey + 1,
+    CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'customer_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '@example.com'
+      ELSE 'shared' || c_nationkey || '@example.com' END
+  FROM customer
+), step AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, m.actor_id, m.id, lower(m.email) AS email, lower(u.email) AS own, h.id AS holder
+  FROM moves m JOIN users u ON u.id = m.id LEFT JOIN users h ON lower(h.email) = lower(m.email)
+), sweep(n, seq, id, email, ok, holders, mine) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), '', false, MAP([''], [CAST(0 AS BIGINT)]), MAP([CAST(0 AS BIGINT)], [''])
+  UNION ALL
+  SELECT n, seq, id, email, ok,
+    CASE WHEN NOT ok THEN holders WHEN before = email THEN map_concat(holders, MAP([email], [id]))
+      ELSE map_concat(holders, MAP([before, email], [CAST(0 AS BIGINT), id])) END,
+    CASE WHEN ok THEN map_concat(mine, MAP([id], [email])) ELSE mine END
+  FROM (SELECT s.n, s.seq, s.id, s.email, w.holders, w.mine, coalesce(map_extract(w.mine, s.id)[1], s.own) AS before,
+      s.actor_id = s.id AND coalesce(map_extract(w.holders, s.email)[1], s.holder, 0) IN (0, s.id) AS ok
+    FROM sweep w JOIN step s ON s.n = w.n + 1)
+), moved AS (
+  SELECT id, max_by(email, seq) AS email FROM sweep WHERE ok GROUP BY id
+)"""
+
+# Sign-ups one after the other: the state of a step is the names that are taken.
+CONTEST = f"""sign_up AS (
+  SELECT c_custkey AS seq, c_custkey + 1 + 1000000000 AS id, 'Rival' || (c_custkey // 2) AS username,
+    'rival' || ((c_custkey + 1) // 2) || '@Example.com' AS email,
+    CASE c_mktsegment WHEN 'BUILDING' THEN ' ' ELSE 'Rival' END AS display_name,
+    TIMESTAMP '2024-03-01' + to_microseconds(c_custkey) AS created_at
+  FROM customer
+), step AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, lower(username) AS name, lower(email) AS email,
+    nullif({USER_PROBLEMS}, '') AS problems
+  FROM sign_up
+), sweep(n, seq, reason, names, emails) AS (
+  SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), '', [''], ['']
+  UNION ALL
+  SELECT n, seq, reason, CASE WHEN reason IS NULL THEN list_append(names, name) ELSE names END,
+    CASE WHEN reason IS NULL THEN list_append(emails, email) ELSE emails END
+  FROM (SELECT s.n, s.seq, s.name, s.email, w.names, w.emails, nullif(concat_ws('; ', s.problems,
+      CASE WHEN list_contains(w.names, s.name) THEN 'Username has already been taken' END,
+      CASE WHEN list_contains(w.emails, s.email) THEN 'Email has already been taken' END), '') AS reason
+    FROM sweep w JOIN step s ON s.n = w.n + 1)
+)"""
+
 POST_DELETIONS = """asked AS (
   SELECT CASE o_orderstatus WHEN 'O' THEN o_custkey + 1 ELSE o_custkey + 2 END AS actor_id, o_orderkey + 1 AS id
   FROM orders
@@ -773,6 +824,31 @@ FROM users u LEFT JOIN judged j ON j.id = u.id AND j.reason IS NULL""",
         USER_EDITS,
     ),
     "edit_users_outcomes": _sql("SELECT seq, reason FROM judged", USER_EDITS),
+    "edit_users_chained": _sql(
+        "SELECT u.* REPLACE (coalesce(m.email, u.email) AS email) FROM users u LEFT JOIN moved m ON m.id = u.id",
+        MOVES,
+        recursive=True,
+    ),
+    "edit_users_chained_outcomes": _sql(
+        """SELECT s.seq, CASE WHEN s.actor_id <> s.id THEN 'This account is inaccessible'
+  WHEN NOT w.ok THEN 'Email has already been taken' END AS reason FROM step s JOIN sweep w ON w.n = s.n""",
+        MOVES,
+        recursive=True,
+    ),
+    "create_users_chained": _sql(
+        """SELECT * FROM users UNION ALL
+SELECT u.id, u.username, lower(u.email), u.display_name, u.created_at, NULL
+FROM sign_up u JOIN sweep w ON w.seq = u.seq WHERE w.reason IS NULL""",
+        CONTEST,
+        recursive=True,
+    ),
+    "create_users_chained_outcomes": _sql("SELECT seq, reason FROM sweep WHERE n > 0", CONTEST, recursive=True),
+    "confirm_users_outcomes": _sql(
+        """SELECT c_custkey + 1 AS id, TIMESTAMP '2024-01-01' + to_microseconds(c_custkey) AS confirmed_at, NULL AS reason
+FROM customer UNION ALL
+SELECT s_suppkey + 1000000000, TIMESTAMP '2024-01-01' + to_microseconds(s_suppkey), 'Unable to confirm user with token'
+FROM supplier"""
+    ),
     "confirm_users": _sql(
         """SELECT u.* REPLACE (coalesce(confirmed_at, TIMESTAMP '2024-01-01' + to_microseconds(c_custkey)) AS confirmed_at)
 FROM users u JOIN customer ON c_custkey + 1 = u.id"""

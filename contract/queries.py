@@ -219,6 +219,13 @@ QUERIES: dict[str, Query] = {
     "create_users_outcomes": _with_batch(lambda t, b: merge.create_users(t, b).outcomes, batches.new_users),
     "edit_users": _with_batch(lambda t, b: merge.edit_users(t, b).table, batches.user_edits),
     "edit_users_outcomes": _with_batch(lambda t, b: merge.edit_users(t, b).outcomes, batches.user_edits),
+    "edit_users_chained": _with_batch(lambda t, b: merge.edit_users(t, b).table, batches.moving_users),
+    "edit_users_chained_outcomes": _with_batch(lambda t, b: merge.edit_users(t, b).outcomes, batches.moving_users),
+    "create_users_chained": _with_batch(lambda t, b: merge.create_users(t, b).table, batches.contesting_users),
+    "create_users_chained_outcomes": _with_batch(
+        lambda t, b: merge.create_users(t, b).outcomes, batches.contesting_users
+    ),
+    "confirm_users_outcomes": _with_batch(merge.confirmations, batches.mixed_confirmations),
     "confirm_users": _with_batch(merge.confirm_users, batches.confirmations),
     "delete_posts": _with_batch(_delete_posts, batches.post_deletions),
     "delete_post_requests": _with_batch(
