@@ -38,6 +38,12 @@ def like_pattern(term: str) -> str:
     return re.sub(r"(\\[%_\\])|\\(.)", r"\1\2", wrapped, flags=re.DOTALL)
 
 
+def patterns_of(term: Column) -> Column:
+    """``like_pattern`` of a column of terms."""
+    wrapped = F.concat(F.lit("%"), F.replace(term, F.lit("%"), F.lit(r"\%")), F.lit("%"))
+    return F.regexp_replace(wrapped, r"(?s)(\\[%_\\])|\\(.)", "$1$2")
+
+
 def matches(column: Column | str, term: str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return column.ilike(like_pattern(term))

@@ -70,6 +70,14 @@ class Layout:
         return replace(self, frames={n: f for n, f in self.frames.items() if n not in names})
 
 
+@dataclass(frozen=True)
+class GramIndex:
+    """A written index (gram, id, bucket) of the texts of one kind of row."""
+
+    frame: DataFrame
+    buckets: int
+
+
 @dataclass(frozen=True)
 class Tables:
     """The six tables every query takes.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,6 +271,30 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term per customer, part, supplier and nation: literal ones, wildcards, percent signs, one letter."""
+    customer, part, supplier = F.col("c_custkey"), F.col("p_partkey"), F.col("s_suppkey")
+    every = (
+        source(spark, sf_dir, "customer").select(_text("ORDER ", customer, " ").alias("term")),
+        source(spark, sf_dir, "part").select(_text("er ", part, " _-").alias("term")),
+        source(spark, sf_dir, "supplier").select(_text(supplier, "% urgent").alias("term")),
+        source(spark, sf_dir, "nation").select(F.substring("n_name", 1, 1).alias("term")),
+    )
+    return reduce(DataFrame.unionByName, every)
+
+
+def people_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term per part, supplier and nation, for usernames and display names."""
+    part, supplier = F.col("p_partkey"), F.col("s_suppkey")
+    every = (
+        source(spark, sf_dir, "part").select(_text("0", part).alias("term")),
+        source(spark, sf_dir, "supplier").select(_text("machinery ", supplier).alias("term")),
+        source(spark, sf_dir, "supplier").select(_text("_omer_0", supplier, "%").alias("term")),
+        source(spark, sf_dir, "nation").select(F.col("n_name").alias("term")),
+    )
+    return reduce(DataFrame.unionByName, every)
+
+
 def post_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deletion per order, by the author where the order is open, and one per part."""
     orders = source(spark, sf_dir, "orders").select(

@@ -11,16 +11,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from agora.operators.grams import text_index, write_index
 from agora.operators.joins import many_to_one
-from agora.schema import COMMENT_LIKE, COMMENT_REPOST, POST_LIKE, POST_REPOST, Tables
+from agora.schema import COMMENT, COMMENT_LIKE, COMMENT_REPOST, POST, POST_LIKE, POST_REPOST, GramIndex, Tables
 from agora.session import shared_dir
-from agora.sources.stored import conform, read_bucketed, read_table, write_bucketed, write_layout
+from agora.sources.stored import BUCKET, conform, read_bucketed, read_table, write_bucketed, write_layout
 
 # Which event type stands for which edge.
 LIKE_EVENTS = {"click": POST_LIKE, "purchase": COMMENT_LIKE}
 REPOST_EVENTS = {"view": POST_REPOST, "error": COMMENT_REPOST}
 FOLLOW_EVENT = "signup"
 COMMENT_EDGES = (COMMENT_LIKE, COMMENT_REPOST)
+USER = "User"
 # Buckets of the mapped tables; more for more data, so that one stays some hundred MB.
 BUCKETS = 16
 
@@ -190,6 +192,26 @@ def ingest(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+_indexes: dict[tuple[str, str, str], GramIndex] = {}
+
+
+def gram_index(spark: SparkSession, sf_dir: str, kind: str) -> GramIndex:
+    """The gram index of the posts, comments or users, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _indexes:
+        tables = load(spark, sf_dir)
+        rows, columns = {
+            POST: (tables.posts, ["text"]),
+            COMMENT: (tables.comments, ["text"]),
+            USER: (tables.users, ["username", "display_name"]),
+        }[kind]
+        path = f"{shared_dir(spark).rstrip('/')}/agora-grams-{uuid.uuid4().hex}"
+        write_index(text_index(rows, columns), path, BUCKETS)
+        frame = spark.read.schema(f"id long, gram string, {BUCKET} int").parquet(path)
+        _indexes[key] = GramIndex(frame, BUCKETS)
+    return _indexes[key]
+
+
 _ingested: dict[tuple[str, str], Tables] = {}
 
 

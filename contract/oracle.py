@@ -162,6 +162,24 @@ def _found_users(term: str, viewer: int, limit: int) -> str:
 ) ORDER BY user_rating DESC, id DESC LIMIT {limit}"""
 
 
+def _term_table(*parts: str) -> str:
+    return "term AS (SELECT DISTINCT term, '%' || replace(term, '%', '\\%') || '%' AS pattern FROM (" + " UNION ALL ".join(parts) + "))"
+
+
+MANY_TERMS = _term_table(
+    "SELECT 'ORDER ' || c_custkey || ' ' AS term FROM customer",
+    "SELECT 'er ' || p_partkey || ' _-' FROM part",
+    "SELECT s_suppkey || '% urgent' FROM supplier",
+    "SELECT n_name[1] FROM nation",
+)
+PEOPLE_TERMS = _term_table(
+    "SELECT '0' || p_partkey AS term FROM part",
+    "SELECT 'machinery ' || s_suppkey FROM supplier",
+    "SELECT '_omer_0' || s_suppkey || '%' FROM supplier",
+    "SELECT n_name FROM nation",
+)
+
+
 # One term that users, posts and comments all hold.
 TOP_TERM = "1"
 
@@ -690,6 +708,20 @@ ORACLE: dict[str, str] = {
     "search_top": _search_top(),
     "search_quick": _sql(_found_users("0001", VIEWER, 6)),
     "search_terms_batch": _terms("Post", TERMS, VIEWER, 3),
+    "search_many_terms": _on_cards(
+        f"""SELECT term, position, {CARD}, rating FROM (
+  SELECT t.term, card.*, row_number() OVER (PARTITION BY t.term ORDER BY rating DESC, card.id DESC) AS position
+  FROM term t JOIN card ON card.kind = 'Post' AND card.text ILIKE t.pattern ESCAPE '\\') WHERE position <= 3""",
+        VIEWER,
+        MANY_TERMS,
+    ),
+    "search_users_terms": _sql(
+        f"""SELECT * FROM (
+  SELECT t.term, u.*, row_number() OVER (PARTITION BY t.term ORDER BY user_rating DESC, u.id DESC) AS position
+  FROM term t JOIN ({_found_users("", VIEWER, 10**9)}) u
+    ON u.username ILIKE t.pattern ESCAPE '\\' OR u.display_name ILIKE t.pattern ESCAPE '\\') WHERE position <= 3""",
+        PEOPLE_TERMS,
+    ),
     "search_comment_terms_batch": _terms("Comment", ["returned r", "line 2"], VIEWER, 3),
     "popular_feed": _popular(VIEWER),
     "popular_feed_anonymous": _popular(0),

@@ -145,6 +145,13 @@ QUERIES: dict[str, Query] = {
     "search_comment_terms_batch": _on_tables(
         lambda t: search.search_terms(t, ["returned r", "line 2"], VIEWER, 3, COMMENT)
     ),
+    "search_many_terms": lambda spark, sf_dir: _flat(search.search_many_terms(
+        driverdata.load(spark, sf_dir), driverdata.gram_index(spark, sf_dir, POST), batches.search_terms(spark, sf_dir), VIEWER, 3
+    )),
+    "search_users_terms": lambda spark, sf_dir: search.search_users_terms(
+        driverdata.load(spark, sf_dir), driverdata.gram_index(spark, sf_dir, driverdata.USER),
+        batches.people_terms(spark, sf_dir), VIEWER, 3,
+    ),
     "popular_feed": _on_tables(lambda t: feeds.popular_feed(t, VIEWER)),
     "popular_feed_anonymous": _on_tables(feeds.popular_feed),
     "popular_feed_limit": _on_tables(lambda t: feeds.popular_feed(t, VIEWER, 50)),
