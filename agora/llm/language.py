@@ -60,6 +60,21 @@ def predict(docs: DataFrame, net: Gru | None, keep: list[str], text_col: str = "
     return rows.mapInArrow(_predict(net), schema)
 
 
+def with_language(docs: DataFrame, net: Gru | None, text_col: str = "text") -> DataFrame:
+    """(text, row, lang_pred, score) of every row; ``row`` holds its other columns, so the text is sent once."""
+    others = F.struct(*[c for c in docs.columns if c != text_col]).alias("row")
+    rows = docs.select(F.col(text_col).alias("text"), others)
+    schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    told = _predict(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1 << 20):
+            for found in told(iter([batch])):
+                yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], ["text", *found.schema.names])
+
+    return rows.mapInArrow(run, schema)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit_language(docs), ["doc_id"]).select("doc_id", held_out("doc_id", PARTS, PART).alias("held_out"), "lang_pred", "score")

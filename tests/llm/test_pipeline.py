@@ -55,7 +55,31 @@ def test_empty_table_passes_all_stages(spark):
     assert docs.count() == 0
 
 
+def test_languages_of_any_number(spark):
+    """Without a language nothing with letters goes; with one or six, clean documents stay."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r for r in documents.collect() if r.text and len(r.text) > 200][:120]
+    stage = corpus_pipeline.STAGES[0][1]
+    odd = [(90_001, None, None, "s", 0), (90_002, "12 34", "en", "s", 5)]
+    for languages in (0, 1, 6):
+        own = [(r.doc_id, r.text, f"l{k % languages}" if languages else None, r.source, r.n_chars) for k, r in enumerate(rows)]
+        left = stage(spark, spark.createDataFrame(own + odd, documents.schema), SF)
+        stay = {r.doc_id for r in left.collect()}
+        assert stay <= {r.doc_id for r in rows} and left.columns == documents.columns
+        assert len(stay) == len(rows) if languages < 2 else len(stay) > 0
+    assert corpus_pipeline.least_score(4) == 0.3 and corpus_pipeline.least_score(6) < 0.3
+
+
+def test_columns_with_clashing_names(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    named = documents.withColumnsRenamed({"source": "row", "n_chars": "score"})
+    left = corpus_pipeline.STAGES[0][1](spark, named, SF)
+    assert left.columns == named.columns
+    same = {r.doc_id: tuple(r) for r in named.collect()}
+    assert all(same[r.doc_id] == tuple(r) for r in left.collect())
+
+
 def test_queries_are_registered():
     names = list(contract.queries())
-    assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 11)] and "pipeline" in names
+    assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 14)] and "pipeline" in names
     assert set(contract.oracle_sql()) <= set(names)
