@@ -309,12 +309,14 @@ def _linked(leaf: int):
 def _trees(words: DataFrame, shard: int, sample: int) -> dict[int, KdTree]:
     """The first cuts for every length that has more words than a shard should.
 
-    At most ``sample`` words, chosen by a hash, none longer than ``SAMPLED_LENGTH``,
-    reach the driver; longer words are parted by a hash alone.
+    About ``sample`` words, chosen by a hash at a rate that follows from their number,
+    none longer than ``SAMPLED_LENGTH``, reach the driver; longer words are parted by a
+    hash alone.
     """
     short = words.where(F.length("word") <= SAMPLED_LENGTH)
     sizes = {r["size"]: r["count"] for r in short.groupBy(F.length("word").alias("size")).count().collect()}
-    chosen = [r["word"] for r in short.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
+    total = max(1, sum(sizes.values()))
+    chosen = sorted(r["word"] for r in short.where(F.pmod(F.xxhash64("word"), F.lit(total)) < sample).select("word").collect())
     trees = {}
     for length, rows in _by_length(chosen):
         if sizes[length] > shard:
