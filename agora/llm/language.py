@@ -33,7 +33,9 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return train([(text.encode("utf-8", "surrogatepass"), lang) for _, text, lang in rows])
 
 
-def _predict(net: Gru | None):
+def _predict(net: Gru | None, first: int = 1):
+    """The columns from ``first`` on with the language and score of the text in the first one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1 << 20):
             texts = texts_of(batch.column(0))
@@ -44,7 +46,8 @@ def _predict(net: Gru | None):
                 best = means.argmax(axis=1)
                 for k, b, p in zip(able, best, means[np.arange(len(able)), best], strict=True):
                     langs[k], scores[k] = net.labels[b], min(1.0, float(p))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs), pa.array(scores)], [*batch.schema.names[1:], "lang_pred", "score"])
+            names = [*batch.schema.names[first:], "lang_pred", "score"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(langs), pa.array(scores)], names)
 
     return run
 
@@ -65,14 +68,7 @@ def with_language(docs: DataFrame, net: Gru | None, text_col: str = "text") -> D
     others = F.struct(*[c for c in docs.columns if c != text_col]).alias("row")
     rows = docs.select(F.col(text_col).alias("text"), others)
     schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    told = _predict(net)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 1 << 20):
-            for found in told(iter([batch])):
-                yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], ["text", *found.schema.names])
-
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(_predict(net, 0), schema)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
