@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from agora.llm.common import by_bytes, fresh_name, table, texts_of
 from agora.llm.pretokens import WordMemory, pre_tokens
 
+#: Words whose tokens a worker remembers, twice; workers keep them between tasks.
+KEPT_WORDS = 50_000
+
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -85,7 +88,7 @@ class Bpe:
         for b, i in self.id_of.items():
             self.shorter[i] = next((self.id_of[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.id_of), None)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words_seen = WordMemory(self._word)
+        self.words_seen = WordMemory(self._word, KEPT_WORDS)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def may_follow(self, a: int, b: int) -> bool:
