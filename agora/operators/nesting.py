@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.operators.pinning import pin
@@ -10,36 +10,37 @@ from agora.operators.pinning import pin
 PART_ROWS = 1000
 
 
+def ranked_in_ranges(rows: DataFrame, owner: str, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place (``name``, from 1) in the order of their owner, computed and written.
+
+    Rows are range-partitioned by owner and order and ranked within a range, and the
+    counts of the ranges before are added, so an owner of any share of the rows is
+    ranked by many tasks.  ``order`` should leave no two rows of an owner equal.
+    """
+    ranges = pin(rows.repartitionByRange(owner, *order).withColumn("__range", F.spark_partition_id())).frame
+    counts = ranges.groupBy(owner, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(owner).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(owner, "__range", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(owner, "__range").orderBy(*order)
+    placed = ranges.withColumn("__place", F.row_number().over(within)).join(before, [owner, "__range"])
+    return placed.withColumn(name, (F.col("__place") + F.col("__before")).cast("int")).drop("__place", "__before", "__range")
+
+
 def nest(
     rows: DataFrame, owner: str, fields: list[str], name: str, newest: str = "created_at", part_rows: int = PART_ROWS
 ) -> DataFrame:
     """One row (owner, part, parts, ``name``) per owner and part of its list.
 
     Part 0 holds the newest ``part_rows`` rows, newest first, part 1 the next, and
-    so on; every list has this shape.  A long list is ranked in pieces: rows are
-    range-partitioned by owner and age, ranked within a range, and the counts of
-    the ranges before are added, so no task ever holds an unbounded list.
+    so on; every list has this shape.  A long list is ranked in ranges, see
+    ``ranked_in_ranges``, so no task ever holds an unbounded list.
     """
     spread = rows.select(F.col(owner), F.col(newest).alias("__newest"), F.col("id").alias("__id"), F.struct(*fields).alias("__record"))
     order = [F.col("__newest").desc(), F.col("__id").desc()]
-    ranges = pin(spread.repartitionByRange(owner, *order).withColumn("__range", F.spark_partition_id())).frame
-    counts = ranges.groupBy(owner, "__range").agg(F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(owner).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(owner)
-    before = counts.select(
-        owner,
-        "__range",
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
-        F.ceil(F.sum("__rows").over(every) / part_rows).cast("int").alias("parts"),
-    )
-    within = Window.partitionBy(owner, "__range").orderBy(*order)
-    ranked = (
-        ranges.withColumn("__rank", F.row_number().over(within))
-        .join(before, [owner, "__range"])
-        .withColumn("__rank", F.col("__rank") + F.col("__before") - 1)
-        .withColumn("part", F.floor(F.col("__rank") / part_rows).cast("int"))
-    )
-    listed = ranked.groupBy(owner, "part", "parts").agg(
+    ranked = ranked_in_ranges(spread, owner, order, "__rank").withColumn("part", F.floor((F.col("__rank") - 1) / part_rows).cast("int"))
+    listed = ranked.groupBy(owner, "part").agg(
         F.sort_array(F.collect_list(F.struct("__rank", F.col("__record").alias("record")))).alias("__list")
     )
+    # The last part knows how many there are; there is one row per part here.
+    listed = listed.withColumn("parts", F.max(F.col("part") + 1).over(Window.partitionBy(owner)))
     return listed.select(owner, "part", "parts", F.transform("__list", lambda r: r["record"]).alias(name))

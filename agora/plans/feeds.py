@@ -19,6 +19,7 @@ from agora.operators.entries import (
 )
 from agora.operators.joins import many_to_one
 from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, messages, messages_of, rated
+from agora.operators.nesting import ranked_in_ranges
 from agora.operators.pinning import BROADCAST_ROWS, few_or_all, in_order, pin
 from agora.operators.pruning import rows_at
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
@@ -153,10 +154,13 @@ def home_feed_all(tables: Tables, top: int | None = None, viewers: DataFrame | N
     offered = many_to_one(readers, sources, ["user_id"], hot_from=tables.follows.select(
         F.col("followee_id").alias("user_id"))).withColumn("reposter_id", F.when(F.col("is_repost"), F.col("user_id")))
 
-    ranked = Window.partitionBy("viewer_id").orderBy(*newest_day_first())
-    kept = newest_per_message(offered, "viewer_id").withColumn("position", F.row_number().over(ranked))
-    if top is not None:
-        kept = kept.filter(F.col("position") <= top)
+    kept = newest_per_message(offered, "viewer_id")
+    if top is None:
+        # A viewer may read a third of all rows, so a feed is ranked by many tasks.
+        kept = ranked_in_ranges(kept, "viewer_id", newest_day_first(), "position")
+    else:
+        ranked = Window.partitionBy("viewer_id").orderBy(*newest_day_first())
+        kept = kept.withColumn("position", F.row_number().over(ranked)).filter(F.col("position") <= top)
     # Narrow, ranked and final: from here on only looks things up.
     feed = pin(
         kept.select("viewer_id", "position", *MESSAGE_KEY, "post_type", "post_date", "reposter_id", "rating")

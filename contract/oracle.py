@@ -313,6 +313,30 @@ LEFT JOIN comments_of rn ON rn.kind = 'Comment' AND rn.id = p.id
 {whose}"""
 
 
+# Messages as details show them: text, comments and author, and whether the viewer follows the author.
+PLAIN_MESSAGES = f"""plain AS MATERIALIZED (
+  SELECT m.kind, m.id, m.text, m.created_at, coalesce(c.n, 0) AS comment_count, m.author_id, u.username AS author_username,
+    u.display_name AS author_display_name, m.post_id, m.parent_id,
+    EXISTS (SELECT 1 FROM follows f WHERE f.follower_id = {VIEWER} AND f.followee_id = m.author_id) AS current_user_following
+  FROM (SELECT 'Post' AS kind, id, text, created_at, author_id, id AS post_id, NULL AS parent_id FROM posts
+    UNION ALL SELECT 'Comment', id, text, created_at, author_id, post_id, parent_id FROM comments) m
+  JOIN users u ON u.id = m.author_id
+  LEFT JOIN comments_of c ON c.kind = m.kind AND c.id = m.id
+), below AS (
+  SELECT *, row_number() OVER (PARTITION BY kind_of, owner ORDER BY created_at DESC, id DESC) - 1 AS place,
+    count(*) OVER (PARTITION BY kind_of, owner) AS total
+  FROM (SELECT *, CASE WHEN parent_id IS NULL THEN 'Post' ELSE 'Comment' END AS kind_of, coalesce(parent_id, post_id) AS owner
+    FROM plain WHERE kind = 'Comment')
+)"""
+PLACES = """CAST(coalesce(b.place // 1000, 0) AS INTEGER) AS part, CAST(coalesce((b.total + 999) // 1000, 0) AS INTEGER) AS parts,
+  CAST(b.place % 1000 AS INTEGER) AS position"""
+
+
+def _shown(alias: str, part: str, marked: bool = False) -> str:
+    fields = [*PLAIN.split(", "), *["current_user_following"] * marked]
+    return ", ".join(f"{alias}.{field} AS {part}_{field}" for field in fields)
+
+
 STATS = f"""SELECT u.id, u.username, u.display_name, u.email, u.created_at,
   (SELECT count(*) FROM posts p WHERE p.author_id = u.id) AS post_count,
   (SELECT count(*) FROM follows f WHERE f.follower_id = u.id) AS following_count,
@@ -771,6 +795,18 @@ FROM card WHERE post_id = {POST_ID} AND parent_id IS NULL""",
 FROM ({COMMENT_THREADS}) WHERE thread_id = {COMMENT_ID}""",
         VIEWER,
     ),
+    "post_detail_nested": _sql(
+        f"""SELECT {PLACES}, {_shown("o", "post", True)}, {_shown("b", "comment")}
+FROM plain o LEFT JOIN below b ON b.kind_of = 'Post' AND b.owner = o.id WHERE o.kind = 'Post'""",
+        PLAIN_MESSAGES,
+    ),
+    "comment_detail_nested": _sql(
+        f"""SELECT {PLACES}, {_shown("c", "comment", True)}, {_shown("o", "post", True)}, {_shown("p", "parent")}, {_shown("b", "reply")}
+FROM plain c JOIN plain o ON o.kind = 'Post' AND o.id = c.post_id
+LEFT JOIN plain p ON p.kind = 'Comment' AND p.id = c.parent_id
+LEFT JOIN below b ON b.kind_of = 'Comment' AND b.owner = c.id WHERE c.kind = 'Comment'""",
+        PLAIN_MESSAGES,
+    ),
     "user_comments": _sql(_user_comments(f"WHERE c.author_id = {PROFILE}")),
     "user_comments_all": _sql(_user_comments()),
     "user_stats": _sql(f"{STATS} WHERE lower(u.username) = lower('{USERNAME}')"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.operators.messages import message_counts
-from agora.plans import audit, cascade, feeds, lists, merge, people, profiles, search, threads
+from agora.plans import audit, cascade, details, feeds, lists, merge, people, profiles, search, threads
 from agora.schema import COMMENT, POST, Tables
+from agora.session import shared_dir
 from agora.sources import driverbatches as batches
-from agora.sources import driverdata
+from agora.sources import driverdata, nested
 
 VIEWER = 1
 PROFILE = 2
@@ -129,6 +131,13 @@ def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.normalise_users(batches.new_users(spark, sf_dir)).select("id", "email")
 
 
+def _stored_records(spark: SparkSession, records: DataFrame, key: str) -> DataFrame:
+    """The records as they come back from JSON lines."""
+    path = f"{shared_dir(spark).rstrip('/')}/agora-records-{uuid.uuid4().hex}"
+    nested.write_records(records, key, path, driverdata.BUCKETS)
+    return nested.read_records(spark, path, records.schema)
+
+
 QUERIES: dict[str, Query] = {
     "message_counts": _on_tables(message_counts),
     "user_counts": _on_tables(people.user_counts),
@@ -179,6 +188,12 @@ QUERIES: dict[str, Query] = {
     "author_posts": _on_tables(lambda t: lists.author_posts(t, PROFILE)),
     "post_detail": _on_tables(lambda t: threads.post_detail(t, POST_ID, VIEWER)),
     "comment_detail": _on_tables(lambda t: threads.comment_detail(t, COMMENT_ID, VIEWER)),
+    "post_detail_nested": lambda spark, sf_dir: details.flat_post_details(
+        _stored_records(spark, details.post_details_all(driverdata.load(spark, sf_dir), VIEWER), "post_id")
+    ),
+    "comment_detail_nested": lambda spark, sf_dir: details.flat_comment_details(
+        _stored_records(spark, details.comment_details_all(driverdata.load(spark, sf_dir), VIEWER), "comment_id")
+    ),
     "user_comments": _on_tables(lambda t: threads.flat_user_comments(threads.user_comments(t, PROFILE))),
     "user_comments_all": _on_tables(lambda t: threads.flat_user_comments(threads.user_comments_all(t))),
     "user_stats": _on_tables(lambda t: people.user_stats(t, USERNAME, VIEWER)),
