@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,15 +47,6 @@ def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterato
             yield batch.slice(at, step)
 
 
-def release() -> None:
-    """Give memory that nothing holds any more back to the system; workers outlive their tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[pa.Table]:
     """Tables that hold whole groups of equal ``keys``, from rows sorted by them.
 
