@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.common import by_bytes, fresh_name, table, texts_of
+from agora.llm.common import by_bytes, fresh_name, table, texts_of, worker_table
 from agora.llm.pretokens import WordMemory, pre_tokens
 
 
@@ -182,14 +182,9 @@ class Bpe:
         return self.blob[where].tobytes().decode("utf-8", "replace")
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def bpe(path: str) -> Bpe:
     """The vocabulary of a file, once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return worker_table(("bpe", path), lambda: Bpe(path))
 
 
 def _added(column: str, source: str, kind: pa.DataType, values: Callable[[pa.Array], list]):
@@ -224,9 +219,32 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     return rows.mapInArrow(add, rows.select("*", F.lit("").alias(text_col)).schema)
 
 
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` without their texts, with the token ids and the text decoded from these.
+
+    The same as ``encode`` and then ``decode``, by one Python worker instead of two
+    with a vocabulary each.  A null text has no ids and decodes to an empty text;
+    columns of the new names are an error, all others and repeated rows are kept.
+    """
+    for name in (ids_col, decoded_col):
+        if fresh_name(name, docs.columns) != name:
+            raise ValueError(f"there is a column {name} already")
+    others = [F.col(c) for c in docs.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 4 << 20):
+            vocabulary = bpe(path)
+            ids = [vocabulary.encode(t).astype(np.int32) for t in texts_of(batch.column(0))]
+            decoded = pa.array([vocabulary.decode(i) for i in ids], pa.string())
+            names = [*batch.schema.names[1:], ids_col, decoded_col]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), decoded], names)
+
+    rows = docs.select(F.col(text_col), *others)
+    return rows.mapInArrow(run, docs.select(*others, F.lit(None).cast("array<int>").alias(ids_col), F.lit("").alias(decoded_col)).schema)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    rows = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,29 @@ def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterato
             yield batch.slice(at, step)
 
 
+_tables: dict[Hashable, object] = {}
+
+
+def worker_table[T](key: Hashable, make: Callable[[], T]) -> T:
+    """The tables ``key`` of this Python worker, made once and kept for its next tasks of that kind."""
+    if key not in _tables:
+        _tables[key] = make()
+    return _tables[key]
+
+
+def release() -> None:
+    """Drop the tables this worker keeps and give its free memory back to the system.
+
+    Workers outlive their tasks, so operators that need memory do this first.
+    """
+    _tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[pa.Table]:
     """Tables that hold whole groups of equal ``keys``, from rows sorted by them.
 

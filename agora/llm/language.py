@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm.common import by_bytes, table, texts_of
+from agora.llm.common import by_bytes, release, table, texts_of
 from agora.llm.gru import Gru, pooled, train
 from agora.llm.labelled import held_out, remainder
 
@@ -37,6 +37,7 @@ def _predict(net: Gru | None, first: int = 1):
     """The columns from ``first`` on with the language and score of the text in the first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in by_bytes(batches, 1 << 20):
             texts = texts_of(batch.column(0))
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))

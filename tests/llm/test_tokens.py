@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from agora.llm.bpe import Bpe, decode, encode, vocabulary_path
+from agora.llm.bpe import Bpe, bpe, decode, encode, round_trip, vocabulary_path
+from agora.llm.common import release
 from agora.llm.pretokens import WordMemory
 from agora.llm.records import WordCache, frame, masked, read_records, unframe, write_records
 
@@ -41,6 +42,29 @@ def test_tables_are_encoded_and_decoded(docs):
         encode(docs(rows), vocabulary_path(), ids_col="FP")
 
 
+def test_round_trip_equals_encoding_and_decoding(docs, texts):
+    path = vocabulary_path()
+    rows = docs([(1, "Hello world"), (1, "Hello world"), (None, None), (3, ""), *enumerate(texts[:200], 10)])
+    two = decode(encode(rows, path).drop("text"), path)
+    one = round_trip(rows.withColumn("kept", rows["doc_id"]), path)
+    assert one.columns == [*(c for c in rows.columns if c != "text"), "kept", "ids", "decoded"]
+    one = one.drop("kept")
+    def plain(rows):
+        return sorted((str(r.doc_id), r.decoded, r.ids) for r in rows.collect())
+
+    assert plain(one) == plain(two)
+    assert round_trip(docs([]), path).count() == 0
+    with pytest.raises(ValueError):
+        round_trip(rows.withColumnRenamed("doc_id", "Decoded"), path)
+
+
+def test_released_tables_are_made_again():
+    first = bpe(vocabulary_path())
+    assert bpe(vocabulary_path()) is first
+    release()
+    assert bpe(vocabulary_path()) is not first
+
+
 def test_word_memory_forgets_only_rare_words():
     asked = []
     memory = WordMemory(lambda w: asked.append(w) or w.encode(), most=3)
