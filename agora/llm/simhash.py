@@ -3,9 +3,11 @@
 Fingerprints of equal value meet first and stand for one point.  Two points that
 differ in at most ``radius`` bits agree in at least ``equal`` of ``radius + equal``
 bit blocks, so every point goes to the shard of each choice of ``equal`` blocks and
-no pair is lost at a shard's edge.  In a shard a vantage-point tree finds the pairs:
-points are divided at the median Hamming distance from a vantage point and a
-branch is left out when the triangle inequality proves that nothing in it is near.
+no pair is lost at a shard's edge.  In every shard, however small, a vantage-point
+tree finds the pairs: each point is the vantage of one node, the others below it are
+divided at their median Hamming distance from it, and a branch is left out when the
+triangle inequality proves that nothing in it is near.  The trees of all shards of a
+batch are built and searched together, level by level, in arrays.
 
 Vantage distances alone cannot make the shards: random 64-bit fingerprints lie at
 32 +- 4 bits from any point, so a cut at the median with a border of 4 bits would
@@ -34,7 +36,8 @@ SEED = 42
 SHINGLE = 4
 RADIUS = 4
 BITS = 64
-LEAF = 64
+#: Visits of nodes that are held at a time.
+VISITS = 1 << 19
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, chunk: int = 1 << 15) -> int:
@@ -72,41 +75,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
-def vantage_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Position arrays (i, j), i < j, of all points at most ``radius`` bits apart.
+class VantageTrees:
+    """A vantage-point tree for each run of ``points`` that begins at one of ``starts``.
 
-    The tree is built and searched in one descent: at each node all points that
-    may still have a partner below it go down together.
+    Node k below the number of runs is the root of run k.  A node knows its vantage,
+    its two children (-1: none), and the least and largest distance from the vantage
+    in each child.  ``visits`` counts the nodes that searches have come to.
     """
-    everything = np.arange(len(points))
-    stack = [(everything, everything)]
-    while stack:
-        members, queries = stack.pop()
-        if not len(queries):
-            continue
-        if len(members) <= LEAF:
-            for at in range(0, len(queries), 1 << 14):
-                q = queries[at : at + (1 << 14)]
-                near = np.bitwise_count(points[q][:, None] ^ points[members][None, :]) <= radius
-                i, j = np.nonzero(near)
-                i, j = q[i], members[j]
-                ahead = i < j
-                yield i[ahead], j[ahead]
-            continue
-        vantage = points[members[0]]
-        far = np.bitwise_count(points[members] ^ vantage).astype(np.int16)
-        middle = np.median(far)
-        inside = far <= middle
-        if inside.all():
-            inside = far < middle
-        if not inside.any() or inside.all():
-            half = len(members) // 2
-            stack += [(members[:half], queries), (members[half:], queries)]
-            continue
-        away = np.bitwise_count(points[queries] ^ vantage).astype(np.int16)
-        within, beyond = far[inside], far[~inside]
-        stack.append((members[inside], queries[(away >= within.min() - radius) & (away <= within.max() + radius)]))
-        stack.append((members[~inside], queries[(away >= beyond.min() - radius) & (away <= beyond.max() + radius)]))
+
+    def __init__(self, points: np.ndarray, starts: np.ndarray) -> None:
+        n = len(points)
+        self.points, self.starts, self.visits = points, starts, 0
+        self.vantage = np.zeros(n, dtype=np.int32)
+        self.child = np.full((n, 2), -1, dtype=np.int32)
+        self.least = np.zeros((n, 2), dtype=np.int16)
+        self.most = np.zeros((n, 2), dtype=np.int16)
+        members, heads, done = np.arange(n, dtype=np.int32), starts, 0
+        while len(heads):
+            level = slice(done, done + len(heads))
+            done += len(heads)
+            others = np.diff(np.append(heads, len(members))) - 1
+            self.vantage[level] = members[heads]
+            members = np.delete(members, heads)
+            owner = np.repeat(np.arange(len(heads)), others)
+            far = np.bitwise_count(points[members] ^ points[self.vantage[level]][owner])
+            order = np.lexsort((far, owner))
+            members, far = members[order], far[order]
+            ends = np.cumsum(others)
+            middle = ends - others // 2
+            cuts, stops = np.stack((ends - others, middle), axis=1), np.stack((middle, ends), axis=1)
+            there = stops > cuts
+            self.child[level][there] = done + np.arange(there.sum())
+            self.least[level][there] = far[cuts[there]]
+            self.most[level][there] = far[stops[there] - 1]
+            heads = cuts[there]
+
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Position arrays (i, j), i < j, of all points of one run at most ``radius`` bits apart."""
+        sizes = np.diff(np.append(self.starts, len(self.points)))
+        todo = [(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.arange(len(self.points), dtype=np.int32))]
+        while todo:
+            node, query = todo.pop()
+            if len(node) > VISITS:
+                half = len(node) // 2
+                todo += [(node[half:], query[half:]), (node[:half], query[:half])]
+                continue
+            self.visits += len(node)
+            vantage = self.vantage[node]
+            away = np.bitwise_count(self.points[query] ^ self.points[vantage]).astype(np.int16)
+            near = (away <= radius) & (query < vantage)
+            yield query[near], vantage[near]
+            below = []
+            for side in (0, 1):
+                child = self.child[node, side]
+                goes = (child >= 0) & (away >= self.least[node, side] - radius) & (away <= self.most[node, side] + radius)
+                below.append((child[goes], query[goes]))
+            node, query = (np.concatenate(c) for c in zip(*below, strict=True))
+            if len(node):
+                todo.append((node, query))
+
+
+def vantage_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Position arrays (i, j), i < j, of all points at most ``radius`` bits apart."""
+    return VantageTrees(points, np.zeros(min(1, len(points)), dtype=np.int64)).pairs(radius)
 
 
 def _shards(points: DataFrame, radius: int, equal: int) -> DataFrame:
@@ -125,29 +156,14 @@ def _forests(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in in_groups(batches, ["choice", "value", "one", "two"]):
             points = rows.column("fp").to_numpy()
-            starts = group_starts(rows, ["choice", "value", "one", "two"])
-            sizes = np.diff(np.append(starts, len(points)))
-            unsigned = points.view(np.uint64)
-            left, right = [], []
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):
-                at = starts[sizes == size][:, None] + np.arange(size)[None, :]
-                i, j = np.triu_indices(size, 1)
-                for k in range(0, len(at), max(1, (1 << 21) // len(i))):
-                    part = at[k : k + max(1, (1 << 21) // len(i))]
-                    a, b = part[:, i], part[:, j]
-                    near = np.bitwise_count(unsigned[a] ^ unsigned[b]) <= radius
-                    left.append(points[a[near]])
-                    right.append(points[b[near]])
-            for start, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-                forest = Forest(size)
-                for i, j in vantage_pairs(unsigned[start : start + size], radius):
-                    forest.link(i, j)
-                root = forest.roots()
-                hung = np.flatnonzero(root != np.arange(size))
-                left.append(points[start + hung])
-                right.append(points[start + root[hung]])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+            trees = VantageTrees(points.view(np.uint64), group_starts(rows, ["choice", "value", "one", "two"]))
+            forest = Forest(len(points))
+            for i, j in trees.pairs(radius):
+                forest.link(i, j)
+            root = forest.roots()
+            hung = np.flatnonzero(root != np.arange(len(points)))
+            if len(hung):
+                yield pa.RecordBatch.from_arrays([pa.array(points[hung]), pa.array(points[root[hung]])], ["a", "b"])
 
     return run
 

@@ -2,12 +2,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from agora.llm.components import Forest, components
-from agora.llm.simhash import fingerprint, near_points, simhash_components, vantage_pairs
+from agora.llm.common import group_starts
+from agora.llm.simhash import VantageTrees, fingerprint, fingerprints, near_points, simhash_components, vantage_pairs
 
 
 def plain_fingerprint(text):
@@ -81,6 +83,42 @@ def test_vantage_tree_finds_all_pairs():
     assert list(vantage_pairs(np.full(200, 7, dtype=np.uint64), 4))
 
 
+def test_trees_of_many_shards(monkeypatch):
+    monkeypatch.setattr("agora.llm.simhash.VISITS", 100)
+    rng = np.random.default_rng(2)
+    shard = np.sort(rng.integers(0, 40, 400))
+    points = rng.integers(0, 2**12, 400, dtype=np.uint64)
+    trees = VantageTrees(points, group_starts(pa.table({"s": shard}), ["s"]))
+    assert sorted(trees.vantage.tolist()) == list(range(400))
+    got = sorted((i, j) for a, b in trees.pairs(4) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    near = (np.bitwise_count(points[:, None] ^ points[None, :]) <= 4) & (shard[:, None] == shard[None, :])
+    assert got == [(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True) if i < j]
+
+
+def test_branches_are_pruned():
+    rng = np.random.default_rng(3)
+    places = rng.integers(0, 57, 2000).astype(np.uint64)
+    points = ((np.uint64(1) << places) - np.uint64(1)) << np.uint64(7) | rng.integers(0, 128, 2000, dtype=np.uint64)
+    trees = VantageTrees(points, np.array([0]))
+    found = sum(len(i) for i, _ in trees.pairs(4))
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
+    assert found == (near.sum() - 2000) // 2 and trees.visits < 2000 * 2000 / 2
+
+
+def test_pairs_of_the_given_documents_come_from_trees(spark):
+    """Every shard of more than one point is searched as a tree, and nothing else finds its pairs."""
+    rows = fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("fp").distinct().toPandas()
+    points = rows["fp"].to_numpy()
+    points = points[np.argsort(points & 0xFFF, kind="stable")]
+    starts = group_starts(pa.table({"s": points & 0xFFF}), ["s"])
+    trees = VantageTrees(points.view(np.uint64), starts)
+    got = {(i, j) for a, b in trees.pairs(4) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    want = set()
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(points)], strict=True):
+        want |= {(i, j) for i in range(a, b) for j in range(i + 1, b) if bin(int(points[i] ^ points[j]) % 2**64).count("1") <= 4}
+    assert got == want and trees.visits > len(points)
+
+
 def test_long_chains_of_links(spark):
     chain = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
