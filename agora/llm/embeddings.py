@@ -1,16 +1,23 @@
-"""Embedding near-duplicates by random hyperplane cells that are compared whole.
+"""Embedding near-duplicates by sorted projection passes.
 
-In each pass every vector falls in the cell of its label and its signs at ``bits``
-random hyperplanes, and all vectors of a cell are compared, in double precision, in
-blocks that are dealt over tasks.  Links are united across passes into components.
+In each pass every vector gets a string of random hashes, its signs at 32 random
+hyperplanes, and the vectors of a label are put in the lexicographic order of these
+strings.  A vector is compared, in double precision, with its next ``WINDOW``
+neighbours and with all that agree with it in the first ``bits`` hashes: equal
+beginnings are neighbours in the order, so the window only grows where it must.
+Pairs that reach the similarity are united across passes into components.
 
 Two vectors at angle t agree at a hyperplane with probability 1 - t/pi, whatever the
-other vectors are.  So a pair at the least similarity shares no cell in any of
+other vectors are.  So a pair at the least similarity shares no beginning in any of
 ``passes`` passes with probability (1 - (1 - t/pi)^bits)^passes, and closer pairs with
-less.  The passes are derived from the bits so that this stays at ``MISS`` or below.
-The bits are chosen for each label by what its cells would cost, from its count and
-a pilot of the crowding of its vectors; without bits one pass compares the label
-whole, which misses nothing.
+less; fixed windows alone would have no such bound.  The passes are derived from the
+bits so that this stays at ``MISS`` or below.  The bits of a label are as many as make
+its runs of equal beginnings as long as a window, and in a large label those of the
+least cost, from its count and a pilot of the crowding of its vectors.
+
+Tasks hold regions of the order, runs of neighbouring beginnings that no range cut
+divides.  A beginning that very many vectors share is dealt in parts, every pair of
+which meets in one task.
 
 Then every component is compared whole, block against block, which gives the exact
 number of links of each vector without listing pairs.  Equal vectors of a label are
@@ -24,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
@@ -35,9 +41,14 @@ from agora.llm.components import Forest, components
 SIMILARITY = 0.93
 #: The probability that all passes miss a pair at the least similarity.
 MISS = 1e-4
-MOST_BITS = 32
-#: A cell of more points is compared in parts; a label of no more is one cell.
-CELL = 8192
+#: The hashes that order the vectors; at most so many are a beginning that must be compared whole.
+HASHES = 32
+#: The neighbours every vector is compared with; a label of no more is one window.
+WINDOW = 32
+#: A region is so many of the first hashes shorter than a beginning.
+REGION = 2
+#: A beginning of more points is compared in parts; a label of more is planned from a pilot.
+CROWD = 8192
 TILE = 1024
 #: What sending a vector costs, as a number of comparisons.
 SENDING = 4096
@@ -64,88 +75,128 @@ def passes_for(bits: int, least: float = SIMILARITY, miss: float = MISS) -> int:
     return 1 if meet >= 1 else math.ceil(math.log(miss) / math.log1p(-meet))
 
 
-def _cells(seed: int, with_vectors: bool):
-    """(pass, label, dims, code, point) of each vector in each of its passes."""
+def _hashed(seed: int, with_vectors: bool):
+    """(pass, label, dims, bits, code, point) of each vector in each of its passes; the first hash leads ``code``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, depth = batch.column("dims").to_numpy(), batch.column("bits").to_numpy()
-            for size, bits in sorted(set(zip(dims.tolist(), depth.tolist(), strict=True))):
-                rows = batch.filter(pa.array((dims == size) & (depth == bits)))
+            dims, most = batch.column("dims").to_numpy(), batch.column("passes").to_numpy()
+            for size, passes in sorted(set(zip(dims.tolist(), most.tolist(), strict=True))):
+                rows = batch.filter(pa.array((dims == size) & (most == passes)))
                 unit = _unit(_vectors(rows.column("embedding")))
-                for k in range(rows.column("passes")[0].as_py()):
-                    # A row of planes is drawn at a time, so that fewer bits are a prefix of more.
-                    planes = np.random.default_rng([seed, size, k]).standard_normal((bits, size))
-                    codes = (unit @ planes.T > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    columns = [pa.array(np.full(len(codes), k, dtype=np.int32)), rows.column("label"), rows.column("dims"), pa.array(codes.astype(np.int64)), rows.column("point")]
-                    names = ["pass", "label", "dims", "code", "point"]
-                    if with_vectors:
-                        columns.append(rows.column("embedding"))
-                        names.append("embedding")
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                names = ["label", "dims", "bits", "point", *(["embedding"] if with_vectors else [])]
+                for k in range(passes):
+                    planes = np.random.default_rng([seed, size, k]).standard_normal((HASHES, size))
+                    codes = (unit @ planes.T > 0) @ (1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64))
+                    columns = [pa.array(np.full(len(codes), k, dtype=np.int32)), pa.array(codes.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*columns, *map(rows.column, names)], ["pass", "code", *names])
 
     return run
 
 
-_CELL = ["pass", "label", "dims", "code"]
-_CODED = "pass int, label long, dims int, code long, point long"
+_CODED = "pass int, code long, label long, dims int, bits int, point long"
+_RUN = ["pass", "label", "dims", "start"]
+_REGION = ["pass", "label", "dims", "region", "one", "two"]
 
 
 def _plans(points: DataFrame, least: float, miss: float, seed: int) -> DataFrame:
     """(label, dims, n, bits, passes): how the points of each label and vector length are compared.
 
-    The crowding of cells is counted on a bounded pilot of each large label with
+    The crowding of beginnings is counted on a bounded pilot of each large label with
     hyperplanes of its own.  It decides the cost alone: any number of bits keeps
     the bound.
     """
     sizes = kept(points.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))).frame
     pilot = (
-        points.join(sizes.where(F.col("n") > CELL), ["label", "dims"])
+        points.join(sizes.where(F.col("n") > CROWD), ["label", "dims"])
         .where(F.pmod(F.xxhash64("point", F.lit(seed)), F.col("n")) < PILOT)
-        .select("label", "dims", F.lit(MOST_BITS).alias("bits"), F.lit(1).alias("passes"), "point", "embedding")
-        .mapInArrow(_cells(seed + 1, False), _CODED)
+        .select("label", "dims", F.lit(HASHES).alias("bits"), F.lit(1).alias("passes"), "point", "embedding")
+        .mapInArrow(_hashed(seed + 1, False), _CODED)
     )
     crowds = (
-        pilot.withColumn("bits", F.explode(F.sequence(F.lit(1), F.lit(MOST_BITS))))
-        .groupBy("label", "dims", "bits", F.expr("code & (shiftleft(1L, bits) - 1)").alias("prefix"))
+        pilot.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(HASHES))))
+        .groupBy("label", "dims", "bits", _start("bits").alias("start"))
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
         .groupBy("label", "dims", "bits")
         .agg(F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
     )
-    passes = F.array(*[F.lit(passes_for(k, least, miss)) for k in range(MOST_BITS + 1)])
-    cost = F.get(passes, F.col("bits")) * (1 + F.col("pairs") / F.col("m") * F.col("n") / F.col("m") + SENDING)
+    passes = F.array(*[F.lit(passes_for(k, least, miss)) for k in range(HASHES + 1)])
+    cost = F.get(passes, F.col("bits")) * (WINDOW + F.col("pairs") / F.col("m") * F.col("n") / F.col("m") + SENDING)
     best = crowds.join(sizes, ["label", "dims"]).groupBy("label", "dims").agg(F.min(F.struct(cost.alias("cost"), "bits")).alias("best"))
-    bits = F.when(F.col("best.cost") < F.col("n") + SENDING, F.col("best.bits")).otherwise(0)
-    planned = sizes.join(best, ["label", "dims"], "left").select("label", "dims", "n", bits.cast("int").alias("bits"))
+    even = F.least(F.greatest(F.ceil(F.log2(F.col("n") / WINDOW)), F.lit(0)), F.lit(HASHES))
+    planned = sizes.join(best, ["label", "dims"], "left").select("label", "dims", "n", F.coalesce("best.bits", even).cast("int").alias("bits"))
     return kept(planned.withColumn("passes", F.get(passes, F.col("bits")))).frame
 
 
-def _cell_links(least: float):
-    """A spanning forest of the links within each pair of parts (one, two) of a cell."""
+def _start(bits: str) -> F.Column:
+    """The first ``bits`` hashes of a code."""
+    return F.expr(f"shiftright(code, {HASHES} - ({bits}))")
+
+
+class _Links:
+    """Links between positions 0..n-1, united in lots."""
+
+    LOT = 1 << 18
+
+    def __init__(self, n: int) -> None:
+        self.forest, self.held, self.count = Forest(n), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.count += len(a)
+        if self.count > self.LOT:
+            self.unite()
+
+    def unite(self) -> None:
+        if self.count:
+            self.forest.link(*(np.concatenate(side) for side in zip(*self.held, strict=True)))
+        self.held, self.count = [], 0
+
+    def rows(self, points: np.ndarray) -> pa.RecordBatch:
+        """A spanning forest of the links, as rows (a, b)."""
+        self.unite()
+        root = self.forest.roots()
+        hung = np.flatnonzero(root != np.arange(len(points)))
+        return pa.RecordBatch.from_arrays([pa.array(points[hung]), pa.array(points[root[hung]])], ["a", "b"])
+
+
+def _window_links(least: float, window: int):
+    """A spanning forest of the links between neighbours, from rows in order.
+
+    Within a beginning (or a pair of parts of it) all pairs are compared; past its end
+    the next ``window`` vectors of the region, where rows are carried over from table to table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = [*_CELL, "one", "two"]
-        for rows in in_groups(batches, keys, 1 << 13):
-            starts = group_starts(rows, keys)
-            points, own, one, two = (rows.column(c).to_numpy() for c in ("point", "own", "one", "two"))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(points)], strict=True):
-                if b - a < 2:
-                    continue
-                unit = _unit(_vectors(rows.column("embedding").slice(a, b - a)))
-                first = np.flatnonzero(own[a:b] == one[a])
-                second = np.flatnonzero(own[a:b] == two[a])
-                forest = Forest(b - a)
-                for i in range(0, len(first), TILE):
-                    for j in range(i if one[a] == two[a] else 0, len(second), TILE):
-                        left, right = first[i : i + TILE], second[j : j + TILE]
-                        near = unit[left] @ unit[right].T >= least
-                        x, y = np.nonzero(near)
-                        apart = left[x] != right[y]
-                        forest.link(left[x[apart]], right[y[apart]])
-                root = forest.roots()
-                hung = np.flatnonzero(root != np.arange(b - a))
-                if len(hung):
-                    yield pa.RecordBatch.from_arrays([pa.array(points[a:b][hung]), pa.array(points[a:b][root[hung]])], ["a", "b"])
+        held = None
+        for rows in in_groups(batches, [*_REGION, "start"], 1 << 13):
+            carried = 0 if held is None else held.num_rows
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            points, own, one, two, size = (rows.column(c).to_numpy() for c in ("point", "own", "one", "two", "dims"))
+            links = _Links(len(points))
+            starts = group_starts(rows.slice(carried), [*_REGION, "start"]) + carried
+            region = np.searchsorted(group_starts(rows, _REGION), np.arange(len(points)), side="right")
+            for dims in np.unique(size):
+                at = np.flatnonzero(size == dims)
+                unit = _unit(_vectors(rows.column("embedding").take(pa.array(at))))
+                place = np.full(len(points), -1)
+                place[at] = np.arange(len(at))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(points)], strict=True):
+                    if size[a] != dims or b - a < 2:
+                        continue
+                    first = a + np.flatnonzero(own[a:b] == one[a])
+                    second = a + np.flatnonzero(own[a:b] == two[a])
+                    for i in range(0, len(first), TILE):
+                        for j in range(i if one[a] == two[a] else 0, len(second), TILE):
+                            left, right = first[i : i + TILE], second[j : j + TILE]
+                            x, y = np.nonzero(unit[place[left]] @ unit[place[right]].T >= least)
+                            apart = left[x] != right[y]
+                            links.add(left[x[apart]], right[y[apart]])
+                for k in range(1, min(window, len(at) - 1) + 1):
+                    near = (region[at[k:]] == region[at[:-k]]) & (np.einsum("ij,ij->i", unit[k:], unit[:-k]) >= least)
+                    links.add(at[k:][near], at[:-k][near])
+            yield links.rows(points)
+            held = rows.slice(max(0, len(points) - window))
 
     return run
 
@@ -157,18 +208,23 @@ def _dealt(rows: DataFrame) -> DataFrame:
     )
 
 
+def _ordered(points: DataFrame, plans: DataFrame, seed: int, road: str) -> DataFrame:
+    """The points once for each pass and pair of parts, in regions and in order within them."""
+    names = ["label", "dims", "bits", "passes", "point", "embedding"]
+    large = points.join(plans.where(F.col("n") > CROWD), ["label", "dims"]).select(*names)
+    crowded = large.mapInArrow(_hashed(seed, False), _CODED).withColumn("start", _start("bits")).groupBy(*_RUN).agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).cast("int").alias("parts"))
+    crowded = kept(crowded.where("parts > 1")).frame
+    coded = points.join(plans, ["label", "dims"]).select(*names).mapInArrow(_hashed(seed, True), f"{_CODED}, embedding array<{road}>")
+    coded = coded.withColumn("start", _start("bits")).withColumn("region", _start(f"greatest(bits - {REGION}, 0)"))
+    placed = _dealt(coded.join(crowded, _RUN, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))).drop("parts", "bits")
+    return placed.repartition(*_REGION).sortWithinPartitions(*_REGION, "code", "point")
+
+
 def _links(points: DataFrame, least: float, miss: float, seed: int, road: str) -> DataFrame:
     """Edges (a, b) between points that link, enough for the components."""
     points = points.select("label", F.size("embedding").alias("dims"), "point", F.col("embedding").cast(f"array<{road}>").alias("embedding"))
     plans = _plans(points, least, miss, seed)
-    names = ["label", "dims", "bits", "passes", "point", "embedding"]
-    large = points.join(plans.where(F.col("n") > CELL), ["label", "dims"]).select(*names)
-    crowded = large.mapInArrow(_cells(seed, False), _CODED).groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("parts"))
-    crowded = kept(crowded.where("parts > 1")).frame
-    coded = points.join(plans, ["label", "dims"]).select(*names).mapInArrow(_cells(seed, True), f"{_CODED}, embedding array<{road}>")
-    placed = _dealt(coded.join(crowded, _CELL, "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
-    keys = [*_CELL, "one", "two"]
-    return placed.drop("parts").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cell_links(least), "a long, b long")
+    return _ordered(points, plans, seed, road).mapInArrow(_window_links(least, WINDOW), "a long, b long")
 
 
 def _block_counts(least: float):

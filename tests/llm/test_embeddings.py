@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from agora.llm.embeddings import near_vectors
@@ -27,9 +28,11 @@ def plain(rows, least):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_links_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "window", "crowd"), [(1024, 32, 8192), (7, 4, 8192), (1024, 2, 5)])
+def test_links_match_brute_force(spark, monkeypatch, block, window, crowd):
     monkeypatch.setattr("agora.llm.embeddings.BLOCK", block)
+    monkeypatch.setattr("agora.llm.embeddings.WINDOW", window)
+    monkeypatch.setattr("agora.llm.embeddings.CROWD", crowd)
     rng = np.random.default_rng(4)
     rows = []
     for center in rng.standard_normal((15, 16)):
@@ -53,8 +56,8 @@ def test_empty_table_null_and_repeated_ids(spark):
 
 
 def test_isolated_pairs_in_a_crowded_direction(spark, monkeypatch):
-    monkeypatch.setattr("agora.llm.embeddings.CELL", 64, raising=False)
-    monkeypatch.setattr("agora.llm.embeddings.SENDING", 16, raising=False)
+    monkeypatch.setattr("agora.llm.embeddings.CROWD", 64)
+    monkeypatch.setattr("agora.llm.embeddings.SENDING", 16)
     rng = np.random.default_rng(11)
 
     def unit(v):
@@ -78,3 +81,45 @@ def test_passes_keep_the_bound(bits):
     meet = (1 - np.arccos(0.93) / np.pi) ** bits
     assert (1 - meet) ** passes_for(bits) <= MISS < (1 - meet) ** (passes_for(bits) - 1)
     assert passes_for(0) == 1
+
+
+def test_given_vectors_go_through_several_sorted_passes(spark):
+    from agora.llm.embeddings import SIMILARITY, WINDOW, _ordered, _plans, near_vectors
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    points = vectors.selectExpr("cast(label as long) label", "size(embedding) dims", "vec_id point", "embedding")
+    plans = _plans(points, SIMILARITY, 1e-4, 7)
+    assert all(p.bits > 0 and p.passes > 1 and p.n > WINDOW for p in plans.collect())
+    sent = _ordered(points, plans, 7, "float")
+    assert sent.count() == plans.selectExpr("sum(n * passes)").first()[0]
+    longest = sent.groupBy("pass", "label", "start").count().agg({"count": "max"}).first()[0]
+    assert longest < plans.agg({"n": "min"}).first()[0]
+    found = near_vectors(vectors).collect()
+    rows = [(r.vec_id, r.embedding, r.label, "") for r in vectors.collect()]
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == plain(rows, SIMILARITY)
+
+
+def test_neighbours_past_a_beginning_are_compared_across_batches():
+    from agora.llm.embeddings import _window_links
+
+    turn = np.linspace(0, np.pi, 9000)
+    vectors = np.stack((np.cos(turn), np.sin(turn)), axis=1)
+    n = len(turn)
+    whole = pa.RecordBatch.from_pydict(
+        {
+            "pass": np.zeros(n, np.int32),
+            "label": np.zeros(n, np.int64),
+            "dims": np.full(n, 2, np.int32),
+            "region": np.zeros(n, np.int64),
+            "one": np.zeros(n, np.int32),
+            "two": np.zeros(n, np.int32),
+            "own": np.zeros(n, np.int32),
+            "start": np.arange(n) // 10,
+            "point": np.arange(n),
+            "embedding": vectors.tolist(),
+        }
+    )
+    batches = [whole.slice(at, 500) for at in range(0, n, 500)]
+    edges = pa.Table.from_batches(_window_links(0.93, 3)(iter(batches)))
+    parent = dict(zip(edges["a"].to_pylist(), edges["b"].to_pylist(), strict=True))
+    assert len(parent) >= n - 1 - 3 and set(parent) | {0} == set(range(n))
