@@ -21,8 +21,9 @@ from agora.operators.joins import many_to_one
 from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, messages, messages_of, rated
 from agora.operators.nesting import ranked_in_ranges
 from agora.operators.pinning import BROADCAST_ROWS, few_or_all, in_order, pin
-from agora.operators.pruning import rows_at
+from agora.operators.pruning import near, rows_at
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
+from agora.sources.stored import MONTH
 
 
 def newest_day_first() -> list[Column]:
@@ -55,16 +56,32 @@ def _since(rows: DataFrame, day: date | None) -> DataFrame:
     return rows if day is None else rows.filter(F.col("created_at") >= F.lit(day).cast("timestamp_ntz"))
 
 
+def _newest_holding(posts: DataFrame, by: Column, limit: int) -> date | None:
+    """The newest date such that it and the dates after hold ``limit`` posts; one row per date is counted."""
+    counted = posts.groupBy(by.alias("at")).agg(F.count(F.lit(1)).alias("posts"))
+    so_far = F.sum("posts").over(Window.orderBy(F.desc("at")))
+    enough = counted.withColumn("so_far", so_far).filter(F.col("so_far") >= limit)
+    return enough.agg(F.max("at")).first()[0]
+
+
+def _months_since(tables: Tables, day: date | None) -> DataFrame:
+    """Posts from a day on, read from the months that hold them if posts are stored by month."""
+    layout = tables.layout
+    if day is None or layout is None or layout.months is None:
+        return _since(tables.posts, day)
+    return _since(layout.months.filter(F.col(MONTH) >= F.trunc(F.lit(day), "month")).drop(MONTH), day)
+
+
 def _first_day_needed(tables: Tables, limit: int) -> date | None:
     """The newest day such that it and the days after hold ``limit`` posts.
 
     Every post is in the feed and newer days come first, so the first ``limit``
-    rows are all from then on.  There is one row per calendar day here.
+    rows are all from then on.  Stored by month, posts are first counted by folder,
+    and days in the newest months alone.
     """
-    per_day = tables.posts.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("posts"))
-    so_far = F.sum("posts").over(Window.orderBy(F.desc("day")))
-    enough = per_day.withColumn("so_far", so_far).filter(F.col("so_far") >= limit)
-    return enough.agg(F.max("day")).first()[0]
+    layout = tables.layout
+    by_month = None if layout is None or layout.months is None else _newest_holding(layout.months, F.col(MONTH), limit)
+    return _newest_holding(_months_since(tables, by_month), F.to_date("created_at"), limit)
 
 
 def popular_feed(tables: Tables, viewer: int | None = None, limit: int | None = None) -> DataFrame:
@@ -78,9 +95,10 @@ def popular_feed(tables: Tables, viewer: int | None = None, limit: int | None =
     if limit is None:
         posts = cards(tables, POST, viewer)
     else:
-        rows, few = few_or_all(_since(messages_of(tables, POST), since))
+        rows, few = few_or_all(messages_of(tables.with_(posts=_months_since(tables, since)), POST))
+        close = tables if few is None else near(tables, few)
         order = [F.to_date("created_at").desc(), F.desc("rating"), F.desc("id")]
-        best = rated(tables, POST, rows, viewer, few).orderBy(*order).limit(limit)
+        best = rated(close, POST, rows, viewer, few).orderBy(*order).limit(limit)
         posts = (few_of_kind if limit <= BROADCAST_ROWS else all_of_kind)(tables, POST, best, viewer)
     tags = ((posts, POST), (comments, COMMENT_REPOST))
     shown = [

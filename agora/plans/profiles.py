@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.operators.engagement import MESSAGE_KEY, kind_of, viewer_id
 from agora.operators.entries import all_entry_cards, entry_cards, labelled, own_entries, repost_entries
+from agora.operators.joins import many_to_one
 from agora.operators.messages import CARD
 from agora.operators.pinning import in_order, pin
 from agora.schema import COMMENT, COMMENT_REPOST, LIKE_TYPE, POST, REPOST_TYPE, Tables
@@ -101,6 +102,33 @@ def _linked(tables: Tables, edges: DataFrame, tag: str, kind: str, user: int, wh
     return in_order(messages.join(keys.hinted(), "id"), keys.small, F.desc(when), F.desc("id"))
 
 
+def _linked_all(tables: Tables, edges: DataFrame, tag: str, kind: str, when: str) -> DataFrame:
+    """Messages everybody has an edge to, keyed by ``user_id``; a hot message is split over tasks."""
+    links = edges.filter(F.col("type") == tag).select("user_id", F.col("message_id").alias("id"), F.col("created_at").alias(when))
+    messages = tables.posts if kind == POST else tables.comments
+    return many_to_one(links, messages, ["id"], hot_from=links).select("user_id", *messages.columns, when)
+
+
+def liked_posts_all(tables: Tables) -> DataFrame:
+    """``liked_posts`` of every user; not sorted."""
+    return _linked_all(tables, tables.likes, LIKE_TYPE[POST], POST, "liked_at")
+
+
+def liked_comments_all(tables: Tables) -> DataFrame:
+    """``liked_comments`` of every user; not sorted."""
+    return _linked_all(tables, tables.likes, LIKE_TYPE[COMMENT], COMMENT, "liked_at")
+
+
+def reposted_posts_all(tables: Tables) -> DataFrame:
+    """``reposted_posts`` of every user; not sorted."""
+    return _linked_all(tables, tables.reposts, REPOST_TYPE[POST], POST, "reposted_at")
+
+
+def reposted_comments_all(tables: Tables) -> DataFrame:
+    """``reposted_comments`` of every user; not sorted."""
+    return _linked_all(tables, tables.reposts, REPOST_TYPE[COMMENT], COMMENT, "reposted_at")
+
+
 def liked_posts(tables: Tables, user: int) -> DataFrame:
     return _linked(tables, tables.likes, LIKE_TYPE[POST], POST, user, "liked_at")
 

@@ -56,18 +56,21 @@ class Layout:
     """How stored tables are cut into buckets.
 
     ``frames`` are the tables with their bucket column, ``index`` is the
-    (bucket of id, id, post_id) of the comments, which are cut by post.
+    (bucket of id, id, post_id) of the comments, which are cut by post, and ``months``
+    a copy of the posts by month.
     """
 
     frames: dict[str, DataFrame]
     index: DataFrame
     buckets: int
+    months: DataFrame | None = None
 
     def knows(self, *names: str) -> bool:
         return all(name in self.frames for name in names)
 
     def without(self, names: Iterable[str]) -> "Layout":
-        return replace(self, frames={n: f for n, f in self.frames.items() if n not in names})
+        months = None if "posts" in names else self.months
+        return replace(self, frames={n: f for n, f in self.frames.items() if n not in names}, months=months)
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from agora.operators.grams import text_index, write_index
 from agora.operators.joins import many_to_one
 from agora.schema import COMMENT, COMMENT_LIKE, COMMENT_REPOST, POST, POST_LIKE, POST_REPOST, GramIndex, Tables
 from agora.session import shared_dir
-from agora.sources.stored import BUCKET, conform, read_bucketed, read_table, write_bucketed, write_layout
+from agora.sources.stored import BUCKET, conform, read_bucketed, read_table, with_stored, write_bucketed, write_layout
 
 # Which event type stands for which edge.
 LIKE_EVENTS = {"click": POST_LIKE, "purchase": COMMENT_LIKE}
@@ -212,6 +212,14 @@ def gram_index(spark: SparkSession, sf_dir: str, kind: str) -> GramIndex:
     return _indexes[key]
 
 
+def own_copy(spark: SparkSession, sf_dir: str, name: str) -> tuple[Tables, str]:
+    """The mapped tables with one of them written anew, to be changed in place, and where it lies."""
+    tables = load(spark, sf_dir)
+    path = f"{shared_dir(spark).rstrip('/')}/agora-tables-{uuid.uuid4().hex}"
+    write_bucketed(getattr(tables, name), name, path, BUCKETS)
+    return with_stored(spark, tables, name, path), path
+
+
 _ingested: dict[tuple[str, str], Tables] = {}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,9 @@ BUCKET_KEY = {
 }
 BUCKET = "bucket"
 INDEX = "comment_index"
+# A copy of the posts for requests that need the newest days alone.
+MONTH = "month"
+MONTHS = "posts_by_month"
 LAYOUT = "layout"
 
 
@@ -66,7 +71,7 @@ def bucket_of(key: Column, buckets: int) -> Column:
 def write_bucketed(frame: DataFrame, name: str, path: str, buckets: int, files: int = 1) -> None:
     """Write one table in folders by bucket, each of ``files`` files sorted by the lookup column.
 
-    With the comments goes their index.
+    With the comments goes their index, with the posts a copy by month.
     """
 
     def write(rows: DataFrame, key: str, order: str, to: str) -> None:
@@ -80,6 +85,24 @@ def write_bucketed(frame: DataFrame, name: str, path: str, buckets: int, files:
     if name == "comments":
         stored = frame.sparkSession.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
         write(stored.select("id", "post_id"), "id", "id", INDEX)
+    if name == "posts":
+        stored = frame.sparkSession.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+        write_parts(stored.withColumn(MONTH, month_of("created_at")), MONTH, "created_at", f"{path}/{MONTHS}")
+
+
+def month_of(column: str) -> Column:
+    """The first day of the month of a timestamp."""
+    return F.trunc(column, "month")
+
+
+def write_parts(rows: DataFrame, part: str, order: str, path: str, mode: str = "errorifexists") -> None:
+    """Write rows in folders by the column ``part``, in order of the column ``order`` across files.
+
+    A folder with very many rows is written by several tasks.  With the mode
+    "overwrite" the folders that ``rows`` has are replaced, and no others.
+    """
+    dealt = rows.repartitionByRange(part, order).sortWithinPartitions(part, order)
+    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
 def write_layout(spark: SparkSession, path: str, buckets: int) -> None:
@@ -87,13 +110,34 @@ def write_layout(spark: SparkSession, path: str, buckets: int) -> None:
     spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/{LAYOUT}")
 
 
-def read_bucketed(spark: SparkSession, path: str) -> Tables:
-    """Tables written by ``write_bucketed``, which know their layout."""
+def _read_parts(spark: SparkSession, path: str, fields: list[T.StructField], part: str, kind: T.DataType) -> DataFrame:
+    return spark.read.schema(T.StructType([*fields, T.StructField(part, kind)])).parquet(path)
 
-    def read(fields: list[T.StructField], name: str) -> DataFrame:
-        return spark.read.schema(T.StructType([*fields, T.StructField(BUCKET, T.IntegerType())])).parquet(f"{path}/{name}")
 
+def _read_one(spark: SparkSession, path: str, name: str) -> dict[str, DataFrame]:
+    """What is stored of one table: itself by bucket, and its index or copy."""
+    fields = SCHEMAS[name].fields
+    found = {"table": _read_parts(spark, f"{path}/{name}", fields, BUCKET, T.IntegerType())}
+    if name == "comments":
+        named = [f for f in fields if f.name in ("id", "post_id")]
+        found["index"] = _read_parts(spark, f"{path}/{INDEX}", named, BUCKET, T.IntegerType())
+    if name == "posts":
+        found["months"] = _read_parts(spark, f"{path}/{MONTHS}", fields, MONTH, T.DateType())
+    return found
+
+
+def read_bucketed(spark: SparkSession, path: str) -> Tables:
+    """Tables written by ``write_bucketed``, which know their layout."""
     buckets = spark.read.schema("buckets int").parquet(f"{path}/{LAYOUT}").first()["buckets"]
-    frames = {name: read(SCHEMAS[name].fields, name) for name in SCHEMAS}
-    index = read([f for f in SCHEMAS["comments"].fields if f.name in ("id", "post_id")], INDEX)
-    return Tables(**{name: frame.drop(BUCKET) for name, frame in frames.items()}, layout=Layout(frames, index, buckets))
+    found = {name: _read_one(spark, path, name) for name in SCHEMAS}
+    frames = {name: one["table"] for name, one in found.items()}
+    layout = Layout(frames, found["comments"]["index"], buckets, found["posts"]["months"])
+    return Tables(**{name: frame.drop(BUCKET) for name, frame in frames.items()}, layout=layout)
+
+
+def with_stored(spark: SparkSession, tables: Tables, name: str, path: str) -> Tables:
+    """``tables`` with one of them as it is now stored below ``path``, in as many buckets as the others."""
+    one = _read_one(spark, path, name)
+    frame = one.pop("table")
+    layout = replace(tables.layout, frames={**tables.layout.frames, name: frame}, **one)
+    return replace(tables, layout=layout, **{name: frame.drop(BUCKET)})

@@ -357,12 +357,13 @@ def _named_follow_list(mine: str, other: str) -> str:
 WHERE user_id = (SELECT id FROM users WHERE lower(username) = lower('{USERNAME}'))"""
 
 
-def _linked(edges: str, kind: str, when: str) -> str:
+def _linked(edges: str, kind: str, when: str, everybody: bool = False) -> str:
     tag = kind + ("Like" if edges == "likes" else "Repost")
     table = "posts" if kind == "Post" else "comments"
     return _sql(
-        f"""SELECT m.*, e.created_at AS {when} FROM {edges} e JOIN {table} m ON m.id = e.message_id
-WHERE e.type = '{tag}' AND e.user_id = {PROFILE}"""
+        f"""SELECT {"e.user_id, " if everybody else ""}m.*, e.created_at AS {when}
+FROM {edges} e JOIN {table} m ON m.id = e.message_id
+WHERE e.type = '{tag}'{"" if everybody else f" AND e.user_id = {PROFILE}"}"""
     )
 
 
@@ -819,6 +820,10 @@ LEFT JOIN below b ON b.kind_of = 'Comment' AND b.owner = c.id WHERE c.kind = 'Co
     "liked_comments": _linked("likes", "Comment", "liked_at"),
     "reposted_posts": _linked("reposts", "Post", "reposted_at"),
     "reposted_comments": _linked("reposts", "Comment", "reposted_at"),
+    "liked_posts_all": _linked("likes", "Post", "liked_at", everybody=True),
+    "liked_comments_all": _linked("likes", "Comment", "liked_at", everybody=True),
+    "reposted_posts_all": _linked("reposts", "Post", "reposted_at", everybody=True),
+    "reposted_comments_all": _linked("reposts", "Comment", "reposted_at", everybody=True),
     "top_level_comments": _sql("SELECT * FROM comments WHERE parent_id IS NULL"),
     "reply_comments": _sql("SELECT * FROM comments WHERE parent_id IS NOT NULL"),
     "confirmed_users": _sql("SELECT * FROM users WHERE confirmed_at IS NOT NULL"),
@@ -937,3 +942,14 @@ FROM asked a LEFT JOIN posts p ON p.id = a.id""",
     "delete_comments": _remaining(NOBODY, NOBODY, "SELECT id FROM comments WHERE text LIKE '%R?'"),
     "delete_users": _remaining("SELECT id FROM users WHERE confirmed_at IS NULL", NOBODY, NOBODY),
 }
+# The same tables, whether a batch rewrites them whole or in place.
+IN_PLACE = {
+    "follows_in_place": "apply_follows",
+    "likes_in_place": "apply_likes",
+    "reposts_in_place": "apply_reposts",
+    "new_posts_in_place": "create_posts",
+    "new_comments_in_place": "create_comments",
+    "post_edits_in_place": "edit_posts",
+    "comment_edits_in_place": "edit_comments",
+}
+ORACLE |= {name: ORACLE[whole] for name, whole in IN_PLACE.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.operators.messages import message_counts
-from agora.plans import audit, cascade, details, feeds, lists, merge, people, profiles, search, threads
+from agora.plans import audit, cascade, details, feeds, lists, merge, people, profiles, search, threads, writeback
 from agora.schema import COMMENT, POST, Tables
 from agora.session import shared_dir
 from agora.sources import driverbatches as batches
@@ -89,6 +89,20 @@ def _edges(name: str, part: str) -> Callable[[Tables, DataFrame], DataFrame]:
     return lambda tables, batch: getattr(merge.apply_edges(tables, name, batch), part)
 
 
+def _edge_job(name: str) -> writeback.Job:
+    return lambda tables, batch: merge.apply_edges(tables, name, batch)
+
+
+def _in_place(name: str, batch: Query, job: writeback.Job) -> Query:
+    """The stored table after a batch that replaced only the buckets it names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables, path = driverdata.own_copy(spark, sf_dir, name)
+        return getattr(writeback.apply_in_place(tables, name, path, batch(spark, sf_dir), job).tables, name)
+
+    return run
+
+
 def _misplaced(tables: Tables) -> DataFrame:
     return audit.summary(audit.misplaced_replies(tables), (audit.REPLY_ON_OTHER_POST,))
 
@@ -206,6 +220,10 @@ QUERIES: dict[str, Query] = {
     "liked_comments": _on_tables(lambda t: profiles.liked_comments(t, PROFILE)),
     "reposted_posts": _on_tables(lambda t: profiles.reposted_posts(t, PROFILE)),
     "reposted_comments": _on_tables(lambda t: profiles.reposted_comments(t, PROFILE)),
+    "liked_posts_all": _on_tables(profiles.liked_posts_all),
+    "liked_comments_all": _on_tables(profiles.liked_comments_all),
+    "reposted_posts_all": _on_tables(profiles.reposted_posts_all),
+    "reposted_comments_all": _on_tables(profiles.reposted_comments_all),
     "top_level_comments": _on_tables(lists.top_level_comments),
     "reply_comments": _on_tables(lists.reply_comments),
     "confirmed_users": _on_tables(lists.confirmed_users),
@@ -237,6 +255,13 @@ QUERIES: dict[str, Query] = {
     "edit_comments_outcomes": _with_batch(
         lambda t, b: merge.edit_messages(t, COMMENT, b).outcomes, batches.comment_edits
     ),
+    "follows_in_place": _in_place("follows", batches.follow_requests, _edge_job("follows")),
+    "likes_in_place": _in_place("likes", batches.like_requests, _edge_job("likes")),
+    "reposts_in_place": _in_place("reposts", batches.repost_requests, _edge_job("reposts")),
+    "new_posts_in_place": _in_place("posts", batches.new_posts, merge.create_posts),
+    "new_comments_in_place": _in_place("comments", batches.new_comments, merge.create_comments),
+    "post_edits_in_place": _in_place("posts", batches.post_edits, lambda t, b: merge.edit_messages(t, POST, b)),
+    "comment_edits_in_place": _in_place("comments", batches.comment_edits, lambda t, b: merge.edit_messages(t, COMMENT, b)),
     "create_users": _with_batch(lambda t, b: merge.create_users(t, b).table, batches.new_users),
     "create_users_outcomes": _with_batch(lambda t, b: merge.create_users(t, b).outcomes, batches.new_users),
     "edit_users": _with_batch(lambda t, b: merge.edit_users(t, b).table, batches.user_edits),
