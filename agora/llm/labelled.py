@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from agora.llm.common import kept
+
+#: The most bytes of text that a sample brings to the driver.
+SAMPLE_BYTES = 64 << 20
+
 
 def remainder(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
@@ -16,14 +21,35 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.coalesce(remainder(id_col, parts) == part, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most ``most`` labelled rows outside fold ``part``, in a fixed order.
+def bounded(rows: DataFrame, most_bytes: int = SAMPLE_BYTES) -> list[Row]:
+    """One (id, text, label) for each id of ``rows``, ``most_bytes`` of text at most, by id.
 
-    Which rows is settled by a hash of their id.  The bound is what reaches the
-    driver; the size of the corpus does not matter.
+    An id that many rows have counts with its smallest text and label, found before
+    anything is shuffled.  Beyond the bound a text is passed over if it no longer fits, in
+    the order of a hash of the ids.  ``rows`` must have a bounded number of ids.
+    """
+    one = kept(rows.groupBy("id").agg(F.min(F.struct("text", "label")).alias("one")).select("id", "one.text", "one.label")).frame
+    sizes = one.select("id", F.octet_length("text").alias("size"), F.xxhash64("id").alias("place")).collect()
+    left, fits = most_bytes, []
+    for row in sorted(sizes, key=lambda r: (r["place"], r["id"])):
+        if row["size"] <= left:
+            fits.append((row["id"],))
+            left -= row["size"]
+    if len(fits) < len(sizes):
+        wanted = one.sparkSession.createDataFrame(fits, one.select("id").schema)
+        one = one.join(F.broadcast(wanted), "id", "left_semi")
+    return sorted(one.collect(), key=lambda r: r["id"])
+
+
+def sample(
+    docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, most: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES
+) -> list[tuple[str, int]]:
+    """(text, label) of at most ``most`` labelled ids outside fold ``part``, in a fixed order.
+
+    Which ids is settled by a hash of them; ``bounded`` says which of their texts.  Both
+    bounds are what reaches the driver; the size of the corpus does not matter.
     """
     allowed = labels.where(F.col(label).isin(0, 1) & (remainder(id_col, parts) != part)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
-    chosen = allowed.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most)
+    chosen = allowed.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "id").collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"]))][:most]
+    return [(r["text"], r["label"]) for r in bounded(texts.join(F.broadcast(chosen), "id"), most_bytes)]

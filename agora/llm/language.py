@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from agora.llm.common import by_bytes, release, table, texts_of
 from agora.llm.gru import Gru, pooled, train
-from agora.llm.labelled import held_out, remainder
+from agora.llm.labelled import SAMPLE_BYTES, bounded, held_out, remainder
 
 TRAIN_ROWS = 2_000
 PARTS, PART = 3, 1
@@ -20,17 +20,19 @@ UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]").search
 
 
-def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> Gru | None:
+def fit_language(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS, most_bytes: int = SAMPLE_BYTES
+) -> Gru | None:
     """Train on at most ``most`` documents outside the held-out fold, chosen by a hash of their id.
 
-    Only the bounded sample reaches the driver.  Documents without a language or a
-    text teach nothing; without any others there is no network.
+    Only that sample reaches the driver, one text for each id and ``most_bytes`` at
+    most.  Documents without a language or a text teach nothing; without any others there
+    is no network.
     """
     able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(id_col, PARTS) != PART))
     ids = able.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = able.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id").collect()
-    rows = sorted(((r["id"], r["text"], r["lang"]) for r in rows), key=lambda r: (r[0], r[1], r[2]))[:most]
-    return train([(text.encode("utf-8", "surrogatepass"), lang) for _, text, lang in rows])
+    rows = able.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).join(F.broadcast(ids), "id")
+    return train([(r["text"].encode("utf-8", "surrogatepass"), r["label"]) for r in bounded(rows, most_bytes)])
 
 
 def _predict(net: Gru | None, first: int = 1):

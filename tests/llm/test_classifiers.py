@@ -104,3 +104,20 @@ def test_lexicon_learns_terms_and_exceptions():
     assert matcher.score("what a BL0B") > matcher.score("the blob fish swims") and matcher.hits(toxicity.fold("a blob fish")) == []
     assert toxicity.Lexicon({}).matcher().score("anything") < 0.1
     assert toxicity.fit_lexicon([]).weights == {}
+
+
+def test_a_repeated_id_and_long_texts_stay_within_the_bounds_of_a_sample(spark):
+    from agora.llm.labelled import bounded
+
+    many = spark.range(100_000, numPartitions=4).selectExpr("7L AS id", "concat('text ', id) AS text", "cast(id % 2 AS int) AS label")
+    few = spark.createDataFrame([(1, "x" * 900, 0), (2, "y" * 500, 1), (3, "z" * 100, 0), (4, "", 1)], "id long, text string, label int")
+    found = bounded(many.unionByName(few))
+    assert [r.id for r in found] == [1, 2, 3, 4, 7] and found[-1].text == "text 0" and found[-1].label == 0
+    assert bounded(few.unionByName(few)) == found[:4]
+    tight = bounded(few, 600)
+    assert sum(len(r.text) for r in tight) <= 600 and {3, 4} <= {r.id for r in tight}
+    assert bounded(few.limit(0)) == []
+    docs = many.select(F.col("id").alias("doc_id"), "text")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, None)], "doc_id long, toxic int")
+    other = next(k for k in range(3) if zlib.crc32(b"7") % 3 != k)
+    assert sample(docs, labels, "toxic", 3, other, 100) == [("text 0", 0)]
