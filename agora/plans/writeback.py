@@ -96,10 +96,11 @@ def apply_in_place(tables: Tables, name: str, path: str, batch: DataFrame, job:
     ``job`` must change only rows that the batch names by the bucket key of the table,
     or comments by id.  Users are not for this: a name must be unique among them all.
 
-    The new rows are computed into the shared folder before anything is replaced, and
-    buckets are replaced when all their files are written, so a job that fails changes
-    nothing.  Readers from before must read again.  A batch without requests changes
-    nothing.
+    The new rows are computed into the shared folder before anything is replaced, and the
+    buckets of one folder are replaced when all their files are written.  The index or
+    copy, the table, and the deletion of emptied buckets are three steps: a driver that
+    dies between them leaves them apart, and the table must be written again.  Readers
+    from before must read again.  A batch without requests changes nothing.
     """
     if name == "users":
         raise ValueError("names of users are unique across buckets")
