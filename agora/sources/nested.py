@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agora.sources.stored import BUCKET, bucket_of
@@ -12,10 +13,14 @@ _FORMAT = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def write_records(rows: DataFrame, key: str, path: str, buckets: int) -> None:
-    """One line per row, in folders by bucket of ``key``; fields that are null are written as null."""
+    """One line per row, in folders by bucket of ``key``; fields that are null are written as null.
+
+    Lines repeat field names and, in threads, texts, so files are compressed.  One cannot
+    be split, so a large bucket is dealt over several.
+    """
     keyed = rows.withColumn(BUCKET, bucket_of(rows[key], buckets))
-    dealt = keyed.repartition(BUCKET).sortWithinPartitions(BUCKET, key)
-    dealt.write.options(**_FORMAT, ignoreNullFields="false").partitionBy(BUCKET).json(path)
+    dealt = keyed.hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, key)
+    dealt.write.options(**_FORMAT, ignoreNullFields="false", compression="gzip").partitionBy(BUCKET).json(path)
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
