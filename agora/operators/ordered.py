@@ -10,15 +10,18 @@ BLOCK = 1_000_000
 
 
 def with_previous(
-    rows: DataFrame, key: list[str], order: str, value: str, name: str, block: int = BLOCK
+    rows: DataFrame, key: list[str], order: str, value: str, name: str, block: int = BLOCK, few: bool = False
 ) -> DataFrame:
     """Add ``name``: the ``value`` of the row before in ``order`` with the same key.
 
     A key may own any share of the rows.  They are cut into blocks of sequence
     numbers: inside a block a window finds the row before, and the first row of
     a block takes the last value of the key's block before, which a small
-    aggregate of one row per key and block provides.
+    aggregate of one row per key and block provides.  ``few`` says that no key has more
+    rows than a block, so that one window will do.
     """
+    if few:
+        return rows.withColumn(name, F.lag(value).over(Window.partitionBy(*key).orderBy(order)))
     cut = rows.withColumn("__block", F.floor(F.col(order) / block))
     in_block = Window.partitionBy(*key, "__block").orderBy(order)
     by_block = Window.partitionBy(*key).orderBy("__block")
@@ -42,7 +45,7 @@ def with_last(
     """Add ``name``: the last ``value`` that is not null in the rows before with the same key.
 
     As ``with_previous``, but rows without a value are looked past.  ``few`` says that
-    all rows together are no more than a block, so that one window will do.
+    no key has more rows than a block, so that one window will do.
     """
     if few:
         before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -103,3 +103,36 @@ def test_a_large_bucket_is_split_over_tasks(spark):
         spark.conf.set(key, before)
     written = [f for _, _, files in os.walk(f"{path}/posts") for f in files if f.startswith("part-")]
     assert len(written) > 1 and stored.read_table(spark, "posts", path).count() == 40_000
+
+
+def test_few_named_rows_are_moved_alone(spark, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    facts = spark.range(900).selectExpr("IF(id % 10 = 0, NULL, id % 7) AS key", "id")
+    dim = spark.range(3000).selectExpr("id AS key", "id * 2 AS value").filter("key != 3")
+    for how in ("inner", "left"):
+        few = joins.many_to_one(facts, dim, ["key"], how, few_from=facts)
+        assert "SortMergeJoin" not in plan(few)
+        assert sorted(few.collect(), key=str) == sorted(joins.many_to_one(facts, dim, ["key"], how).collect(), key=str)
+
+
+def test_without_hot_keys_a_side_is_not_shuffled_again(spark, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    facts, dim = spark.range(50).selectExpr("id % 9 AS key", "id"), spark.range(20).selectExpr("id AS key")
+    joined = joins.many_to_one(facts, dim.repartition("key"), ["key"])
+    assert plan(joined).count("Exchange hashpartitioning") == 2 and "__salt" not in plan(joined)
+    assert joined.count() == 50
+
+
+def test_one_window_where_no_key_has_a_block_of_rows(spark):
+    rows = spark.range(40).selectExpr("IF(id % 4 = 0, NULL, id % 4) AS key", "id")
+    assert joins.any_hot(rows, ["key"], 10) and not joins.any_hot(rows, ["key"], 41)
+    assert not joins.any_hot(rows.limit(0), ["key"], 1)
+
+
+def test_dealt_rows_are_written_as_they_lie(spark):
+    path = f"{shared_dir(spark)}/dealt-{uuid.uuid4().hex}"
+    rows = driverdata.comments(spark, SF)
+    stored.write_bucketed(rows, "comments", path, driverdata.BUCKETS, dealt=True)
+    got = spark.read.parquet(f"{path}/comments")
+    assert got.filter(got.bucket != stored.bucket_of(got.post_id, driverdata.BUCKETS)).count() == 0
+    assert got.count() == rows.count()
