@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.joins import many_to_one
+from agora.operators.joins import keep_found, many_to_one
 from agora.operators.pinning import pin
 
 
@@ -19,15 +21,23 @@ def follow(links: DataFrame) -> tuple[DataFrame, int]:
     Rows jump over the row they point to and compose what hangs on it, so a chain of n
     rows takes log2(n) rounds.
     """
-    state, rounds = pin(links.select("seq", "up", "yes", "no", "value")).frame, 0
-    while state.filter(F.col("up").isNotNull()).limit(1).count():
+    state, rounds = pin(links.select("seq", "up", "yes", "no", "value")), 0
+    waits = F.col("up").isNotNull()
+    open_ = state.frame.filter(waits)
+    settled = [state.frame.filter(~waits)]
+    # Rows to point to: of those settled before the first round only the ends of chains.
+    ends = settled[0]
+    if not state.small:
+        asked = pin(open_.select(F.col("up").alias("seq")).distinct())
+        ends = pin(keep_found(ends, asked, ["seq"])).frame
+    below = [ends]
+    while open_.limit(1).count():
         rounds += 1
-        above = state.select(
+        above = reduce(DataFrame.unionByName, [*below, open_]).select(
             F.col("seq").alias("up"), F.col("up").alias("up_2"), F.col("yes").alias("yes_2"), F.col("no").alias("no_2"),
             F.col("value").alias("value_2"),
         )
-        open_ = state.filter(F.col("up").isNotNull())
-        met = many_to_one(open_, above, ["up"], "left")
+        met = many_to_one(open_, above, ["up"], "left", few_from=open_)
 
         def through(value: str):
             return F.when(F.col(value), F.col("yes")).when(~F.col(value), F.col("no"))
@@ -40,8 +50,15 @@ def follow(links: DataFrame) -> tuple[DataFrame, int]:
             through("value_2").alias("value"),
         )
         same = F.col("up").isNotNull() & (F.col("yes") == F.col("no"))
-        settled = jumped.select(
+        moved = jumped.select(
             "seq", F.when(~same, F.col("up")).alias("up"), "yes", "no", F.when(same, F.col("yes")).otherwise(F.col("value")).alias("value")
         )
-        state = pin(state.filter(F.col("up").isNull()).unionByName(settled)).frame
-    return state.select("seq", "value"), rounds
+        if state.small:
+            # One small file is read faster than one a round.
+            moved, settled, below = settled[0].unionByName(moved), [], []
+        # Of many rows only those that were open are written again.
+        moved = pin(moved).frame
+        settled.append(moved.filter(~waits))
+        below.append(settled[-1])
+        open_ = moved.filter(waits)
+    return reduce(DataFrame.unionByName, settled).select("seq", "value"), rounds

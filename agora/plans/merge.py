@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from agora.functions.text import text_problems, user_problems
 from agora.operators import ordered
 from agora.operators.engagement import kind_of
-from agora.operators.joins import drop_found, keep_found, many_to_one
+from agora.operators.joins import any_hot, drop_found, keep_found, many_to_one
 from agora.operators.messages import messages
 from agora.operators.ordered import with_previous
 from agora.operators.pinning import Pinned, pin
@@ -63,15 +63,20 @@ def _reasons(*checks: tuple[Column, Column | str]) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, "; "))
 
 
-def _exists(rows: DataFrame, keys: DataFrame, on: dict[str, str], name: str) -> DataFrame:
-    """Add whether the key columns of ``rows`` name a row of ``keys``."""
+def _exists(
+    rows: DataFrame, keys: DataFrame, on: dict[str, str], name: str, hot_from: DataFrame | None = None
+) -> DataFrame:
+    """Add whether the key columns of ``rows`` name a row of ``keys``.
+
+    ``hot_from``: the batch that ``rows`` come from, when they are joined already.
+    """
     marked = keys.select(*[F.col(theirs).alias(ours) for ours, theirs in on.items()], F.lit(True).alias(name))
-    return many_to_one(rows, marked, list(on), "left", hot_from=rows).fillna(False, [name])
+    return many_to_one(rows, marked, list(on), "left", hot_from=rows if hot_from is None else hot_from).fillna(False, [name])
 
 
 def _judged_follows(tables: Tables, batch: DataFrame) -> DataFrame:
     known = _exists(batch, tables.users, {"follower_id": "id"}, "follower_known")
-    known = _exists(known, tables.users, {"followee_id": "id"}, "followee_known")
+    known = _exists(known, tables.users, {"followee_id": "id"}, "followee_known", hot_from=batch)
     refused = _reasons(
         (~F.col("follower_known"), "Follower must exist"),
         (~F.col("followee_known"), "Followee must exist"),
@@ -85,9 +90,9 @@ def _judged_marks(tables: Tables, batch: DataFrame) -> DataFrame:
     authors = messages(tables).select("kind", F.col("id").alias("message_id"), "author_id")
     keyed = batch.withColumn("kind", kind_of())
     known = many_to_one(
-        keyed, authors, ["kind", "message_id"], "left", hot_from=keyed, sized_by=messages(tables)
+        keyed, authors, ["kind", "message_id"], "left", hot_from=keyed, sized_by=messages(tables), few_from=keyed
     )
-    known = _exists(known, tables.users, {"user_id": "id"}, "user_known")
+    known = _exists(known, tables.users, {"user_id": "id"}, "user_known", hot_from=batch)
     own_repost = F.col("type").isin(POST_REPOST, COMMENT_REPOST) & (F.col("author_id") == F.col("user_id"))
     refused = _reasons(
         (~F.col("user_known"), "User must exist"),
@@ -115,7 +120,8 @@ def apply_edges(tables: Tables, name: str, batch: DataFrame) -> Merged:
     # A refused insert leaves its key as it was; any other request decides it.
     deciding = judged.filter(F.col("refused").isNull())
     started = _exists(deciding, table, {k: k for k in key}, "stored")
-    turns = with_previous(started, key, "seq", "action", "before")
+    few = not any_hot(deciding, key, ordered.BLOCK)
+    turns = with_previous(started, key, "seq", "action", "before", few=few)
     present = F.when(F.col("before").isNull(), F.col("stored")).otherwise(F.col("before") == INSERT)
     reason = F.when((F.col("action") == INSERT) & present, F.lit(REPEATED[name])).when(
         (F.col("action") == DELETE) & ~present, F.lit(NO_EDGE[name])
@@ -154,7 +160,7 @@ def create_comments(tables: Tables, batch: DataFrame) -> Merged:
     """
     parents = tables.comments.select(F.col("id").alias("parent_id"), F.col("post_id").alias("parent_post_id"))
     known = _exists(batch, tables.users, {"author_id": "id"}, "author_known")
-    known = _exists(known, tables.posts, {"post_id": "id"}, "post_known")
+    known = _exists(known, tables.posts, {"post_id": "id"}, "post_known", hot_from=batch)
     known = pin(many_to_one(known, parents, ["parent_id"], "left", hot_from=batch)).frame
     created = batch.select(
         F.col("id").alias("parent_id"), F.col("seq").alias("parent_seq"), F.col("post_id").alias("new_post_id")
@@ -242,7 +248,7 @@ def create_users(tables: Tables, batch: DataFrame) -> Merged:
         .withColumn("problems", problems)
     )
     judged = _exists(keyed, stored, {"name_key": "name_key"}, "name_taken")
-    judged = pin(_exists(judged, stored, {"email_key": "email_key"}, "email_taken")).frame
+    judged = pin(_exists(judged, stored, {"email_key": "email_key"}, "email_taken", hot_from=keyed)).frame
     sound = judged.filter((F.size("problems") == 0) & ~F.col("name_taken") & ~F.col("email_taken"))
     winners = pin(_contest(sound.select("seq", *NAME_KEYS)))
 
@@ -397,18 +403,24 @@ def _free_emails(tables: Tables, asks: DataFrame) -> DataFrame:
     owners = claims.join(holders.withColumnRenamed("id", "holder"), "email_key", "left").select(
         "email_key", F.coalesce("holder", "first").alias("owner")
     )
+    owners = pin(owners).frame
     wishes = able.groupBy(F.col("id").alias("owner")).agg(F.min("email_key").alias("one"), F.max("email_key").alias("other"))
     stays = (F.col("one") == F.col("email_key")) & (F.col("other") == F.col("email_key"))
     keepers = many_to_one(owners, wishes, ["owner"], "left").filter(F.coalesce(stays, F.lit(True))).select("email_key", "owner")
     guess = many_to_one(asks.frame, keepers, ["email_key"], "left", hot_from=asks.frame)
     guess = pin(guess.withColumn("free", F.coalesce(F.col("owner") == F.col("id"), F.lit(True))).drop("owner")).frame
-    few = 2 * asks.rows <= ordered.BLOCK
+    # An email is asked for, left by whom it was given to or who came with it, and held once.
+    taken_or_left = [asks.frame.select("email_key")] * 2 + [asks.frame.select(F.col("own_key").alias("email_key"))]
+    few = 2 * asks.rows <= ordered.BLOCK or not (
+        any_hot(asks.frame, ["id"], ordered.BLOCK)
+        or any_hot(reduce(DataFrame.unionByName, taken_or_left), ["email_key"], ordered.BLOCK)
+    )
     while asks.rows:
         through = guess.filter(F.col("able") & F.col("free"))
         moved = ordered.with_last(through, ["id"], "seq", "email_key", "before", few)
         moved = moved.withColumn("left_key", F.coalesce("before", "own_key")).filter(F.col("left_key") != F.col("email_key"))
         left = moved.select("seq", "id", F.col("left_key").alias("email_key"))
-        left = keep_found(left, emails, ["email_key"], hot_from=left)
+        left = keep_found(left, emails, ["email_key"], hot_from=asks.frame)
 
         taken = F.struct(F.col("seq").alias("by"), F.col("id").alias("holder"))
         event = F.when(F.col("able") & F.col("free"), taken)
