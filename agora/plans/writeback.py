@@ -117,7 +117,8 @@ def apply_in_place(tables: Tables, name: str, path: str, batch: DataFrame, job:
 
     if name in ("posts", "comments"):
         ids = pin(batch.select("id").dropna().distinct())
-        changed = pin(keep_found(rows.frame, ids, ["id"]).drop(BUCKET)).frame
+        copied = rows.frame.drop(BUCKET) if name == "posts" else rows.frame.select("id", "post_id")
+        changed = pin(keep_found(copied, ids, ["id"])).frame
         if name == "posts":
             _refresh(layout.months, changed.withColumn(MONTH, month_of("created_at")), MONTH, "created_at", f"{path}/{MONTHS}")
         else:
