@@ -117,6 +117,7 @@ def test_few_named_rows_are_moved_alone(spark, monkeypatch):
 
 def test_without_hot_keys_a_side_is_not_shuffled_again(spark, monkeypatch):
     monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
     facts, dim = spark.range(50).selectExpr("id % 9 AS key", "id"), spark.range(20).selectExpr("id AS key")
     joined = joins.many_to_one(facts, dim.repartition("key"), ["key"])
     assert plan(joined).count("Exchange hashpartitioning") == 2 and "__salt" not in plan(joined)
