@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.ratings import reposter_label
 from agora.operators.engagement import MESSAGE_KEY, engagement, kind_of, viewer_id, with_engagement
-from agora.operators.joins import many_to_one
+from agora.operators.joins import INFLATED, fits_broadcast, many_to_one
 from agora.operators.messages import cards, cards_of, few_with_people, messages, names
 from agora.operators.pinning import Pinned, pin
 from agora.operators.pruning import near
@@ -43,7 +45,13 @@ def with_reposter(tables: Tables, rows: DataFrame, hot_from: DataFrame) -> DataF
         F.col("username").alias("reposted_by_username"),
         F.col("display_name").alias("reposter_display_name"),
     )
-    return many_to_one(rows, people, ["reposter_id"], "left", hot_from=hot_from)
+    if fits_broadcast(people, INFLATED):
+        return many_to_one(rows, people, ["reposter_id"], "left", hot_from=hot_from)
+    # Rows without a reposter stay where they are.
+    by_somebody, found = F.col("reposter_id").isNotNull(), people.schema
+    named = many_to_one(rows.filter(by_somebody), people, ["reposter_id"], "left", hot_from=hot_from.filter(by_somebody))
+    nobody = {c: F.lit(None).cast(found[c].dataType) for c in ("reposted_by_username", "reposter_display_name")}
+    return named.unionByName(rows.filter(~by_somebody).withColumns(nobody))
 
 
 def labelled(rows: DataFrame, viewer: Column) -> DataFrame:
@@ -73,24 +81,35 @@ def entry_cards(tables: Tables, entries: Pinned, viewer: int | None) -> DataFram
 def all_entry_cards(
     tables: Tables, entries: DataFrame, viewer: int | None, hot_from: DataFrame, whole: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Any number of entries: the cards of their messages, and one join to them.
+    """Any number of entries: the cards of their messages, and one join to them for each kind.
 
     ``whole`` names the kinds of which every message is an entry; of the others
-    only the messages with an entry are looked at.
+    only the messages with an entry are looked at.  Reposters are named before the join,
+    which makes the rows wide.
     """
-    parts = []
+    shown = {}
     for kind in (POST, COMMENT):
         if kind in whole:
-            parts.append(cards(tables, kind, viewer))
+            shown[kind] = cards(tables, kind, viewer)
             continue
         ids = pin(entries.filter(F.col("kind") == kind).select(*MESSAGE_KEY).distinct())
         if ids.rows:
-            parts.append(cards_of(tables, kind, ids, viewer))
-    shown = parts[0].unionByName(parts[1]) if len(parts) == 2 else (parts or [cards(tables, POST, viewer)])[0]
-    joined = many_to_one(
-        entries, shown.drop("post_id", "parent_id"), MESSAGE_KEY, hot_from=hot_from, sized_by=messages(tables)
-    )
-    return with_reposter(tables, joined, hot_from=entries) if "reposter_id" in entries.columns else joined
+            shown[kind] = cards_of(tables, kind, ids, viewer)
+    if "reposter_id" in entries.columns:
+        entries = with_reposter(tables, entries, hot_from=entries)
+    on = ["id", "author_id"] if "author_id" in entries.columns else ["id"]
+    sized_by = messages(tables)
+    joined = [
+        many_to_one(
+            entries.filter(F.col("kind") == kind),
+            found.drop("kind", "post_id", "parent_id"),
+            on,
+            hot_from=(hot_from if on == ["id"] else entries).filter(F.col("kind") == kind),
+            sized_by=sized_by,
+        )
+        for kind, found in (shown or {POST: cards(tables, POST, viewer)}).items()
+    ]
+    return reduce(DataFrame.unionByName, joined)
 
 
 def newest_per_message(entries: DataFrame, *who: str) -> DataFrame:
