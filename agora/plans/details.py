@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.operators.joins import many_to_one
-from agora.operators.messages import author_record, comments_as_messages, posts_as_messages, with_followed
+from agora.operators.messages import author_record, comments_as_messages, posts_as_messages, steps, with_followed
 from agora.operators.nesting import nest
-from agora.operators.plain import plain_messages
+from agora.operators.plain import plain_messages, with_parents
 from agora.schema import Tables
 
 _FIELDS = ("id", "text", "created_at", "comment_count")
@@ -54,22 +54,22 @@ def comment_details_all(tables: Tables, viewer: int | None = None) -> DataFrame:
     ``comment`` and ``post`` say whether the viewer follows their authors; ``parent`` is
     null for a top-level comment; replies come newest first, in parts.
     """
-    comments = with_followed(tables, plain_messages(tables, comments_as_messages(tables.comments)), viewer)
-    comments = comments.withColumnRenamed("user_followed", "current_user_following")
+    step = steps(tables)
     posts = with_followed(tables, plain_messages(tables, posts_as_messages(tables.posts)), viewer)
     posts = posts.withColumnRenamed("user_followed", "current_user_following")
-    above = tables.comments.select(F.col("id").alias("comment_id"), "post_id", "parent_id")
-
     of_post = posts.select(F.col("id").alias("post_id"), _record("current_user_following").alias("post"))
-    as_parent = comments.select(F.col("id").alias("parent_id"), _record().alias("parent"))
-    own = comments.select(F.col("id").alias("comment_id"), _record("current_user_following").alias("comment"))
-    owners = many_to_one(above, of_post, ["post_id"], sized_by=tables.posts)
-    owners = many_to_one(owners, as_parent, ["parent_id"], "left", hot_from=above, sized_by=tables.comments)
-    owners = owners.join(own, "comment_id").select("comment_id", "comment", "post", "parent")
-
-    replies = comments.filter(F.col("parent_id").isNotNull())
-    lists = _lists(replies, "parent_id", "replies").withColumnRenamed("parent_id", "comment_id")
-    rows = _with_lists(owners, lists, "comment_id", "replies")
+
+    def with_own() -> DataFrame:
+        comments = step(lambda: plain_messages(tables, comments_as_messages(tables.comments)), "id")
+        replies = comments.filter(F.col("parent_id").isNotNull())
+        lists = _lists(replies, "parent_id", "replies").withColumnRenamed("parent_id", "comment_id")
+        as_parent = comments.select(F.col("id").alias("parent_id"), _record().alias("parent"))
+        above = step(lambda: with_parents(tables, as_parent))
+        marked = with_followed(tables, comments, viewer).withColumnRenamed("user_followed", "current_user_following")
+        own = marked.select(F.col("id").alias("comment_id"), _record("current_user_following").alias("comment"))
+        return _with_lists(above.join(own, "comment_id"), lists, "comment_id", "replies")
+
+    rows = many_to_one(step(with_own), of_post, ["post_id"], hot_from=tables.comments, sized_by=tables.posts)
     return rows.select("comment_id", "part", "parts", "comment", "post", "parent", "replies")
 
 
