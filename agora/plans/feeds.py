@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +19,9 @@ from agora.operators.entries import (
     repost_entries,
 )
 from agora.operators.joins import many_to_one
-from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, messages, messages_of, rated
+from agora.operators.messages import CARD, all_of_kind, cards, cards_of, few_of_kind, light, messages, messages_of, rated, steps
 from agora.operators.nesting import ranked_in_ranges
-from agora.operators.pinning import BROADCAST_ROWS, few_or_all, in_order, pin
+from agora.operators.pinning import BROADCAST_ROWS, distilled, few_or_all, in_order, pin
 from agora.operators.pruning import near, rows_at
 from agora.schema import COMMENT, COMMENT_REPOST, POST, Tables
 from agora.sources.stored import MONTH
@@ -109,6 +110,7 @@ def popular_feed(tables: Tables, viewer: int | None = None, limit: int | None =
     return feed if limit is None else feed.limit(limit)
 
 
+VIEWER_MARKS = ("user_liked", "user_reposted", "user_followed")
 HOME = (*CARD, "post_type", "post_date", "reposted_by", "reposted_by_username", "rating")
 
 
@@ -172,24 +174,26 @@ def home_feed_all(tables: Tables, top: int | None = None, viewers: DataFrame | N
     offered = many_to_one(readers, sources, ["user_id"], hot_from=tables.follows.select(
         F.col("followee_id").alias("user_id"))).withColumn("reposter_id", F.when(F.col("is_repost"), F.col("user_id")))
 
-    kept = newest_per_message(offered, "viewer_id")
-    if top is None:
-        # A viewer may read a third of all rows, so a feed is ranked by many tasks.
-        kept = ranked_in_ranges(kept, "viewer_id", newest_day_first(), "position")
-    else:
-        ranked = Window.partitionBy("viewer_id").orderBy(*newest_day_first())
-        kept = kept.withColumn("position", F.row_number().over(ranked)).filter(F.col("position") <= top)
-    # Narrow, ranked and final: from here on only looks things up.
-    feed = pin(
-        kept.select("viewer_id", "position", *MESSAGE_KEY, "post_type", "post_date", "reposter_id", "rating")
-    ).frame
-    return _decorated(tables, feed)
+    def ranked() -> DataFrame:
+        """Narrow, ranked and final rows: from here on only looks things up."""
+        kept = newest_per_message(offered, "viewer_id")
+        if top is None:
+            # A viewer may read a third of all rows, so a feed is ranked by many tasks.
+            kept = ranked_in_ranges(steps(tables)(lambda: kept), "viewer_id", newest_day_first(), "position")
+        else:
+            place = Window.partitionBy("viewer_id").orderBy(*newest_day_first())
+            kept = kept.withColumn("position", F.row_number().over(place)).filter(F.col("position") <= top)
+        return kept.select("viewer_id", "position", *MESSAGE_KEY, "post_type", "post_date", "reposter_id")
+
+    return _decorated(tables, ranked)
 
 
-def _decorated(tables: Tables, feed: DataFrame) -> DataFrame:
-    """Cards, marks and labels for ranked (viewer_id, kind, id, ...) rows."""
-    shown = all_entry_cards(tables, feed.drop("rating"), None, hot_from=feed)
-    shown = shown.drop("user_liked", "user_reposted", "user_followed")
+def _decorated(tables: Tables, ranked: Callable[[], DataFrame]) -> DataFrame:
+    """Cards, marks and labels for ranked (viewer_id, kind, id, ...) rows.
+
+    When no side is small, marks are found before texts and names make the rows wide.
+    """
+    spark = tables.posts.sparkSession
 
     def marks(edges: DataFrame, like: bool) -> DataFrame:
         return edges.select(
@@ -212,9 +216,23 @@ def _decorated(tables: Tables, feed: DataFrame) -> DataFrame:
         F.col("followee_id").alias("author_id"),
         F.lit(True).alias("user_followed"),
     ).distinct()
-    shown = (
-        shown.join(viewer_marks, key, "left")
-        .join(followed, ["viewer_id", "author_id"], "left")
-        .fillna(False, ["user_liked", "user_reposted", "user_followed"])
-    )
+
+    def marked(rows: DataFrame) -> DataFrame:
+        found = rows.join(viewer_marks, key, "left").join(followed, ["viewer_id", "author_id"], "left")
+        return found.fillna(False, [*VIEWER_MARKS])
+
+    def with_marks() -> DataFrame:
+        feed = distilled(spark, ranked).frame
+        authors = messages(tables).groupBy(*MESSAGE_KEY).agg(F.collect_set("author_id").alias("author_ids"))
+        written = many_to_one(feed, authors, MESSAGE_KEY, hot_from=feed, sized_by=messages(tables))
+        rows = written.withColumn("author_id", F.explode("author_ids")).drop("author_ids")
+        return marked(rows).withColumnsRenamed({mark: f"viewer_{mark}" for mark in VIEWER_MARKS})
+
+    if light(tables, POST, COMMENT):
+        feed = distilled(spark, ranked).frame
+        shown = marked(all_entry_cards(tables, feed, None, hot_from=feed).drop(*VIEWER_MARKS))
+    else:
+        feed = distilled(spark, with_marks).frame
+        shown = all_entry_cards(tables, feed, None, hot_from=feed).drop(*VIEWER_MARKS)
+        shown = shown.withColumnsRenamed({f"viewer_{mark}": mark for mark in VIEWER_MARKS})
     return labelled(shown, F.col("viewer_id")).select("viewer_id", "position", *HOME)
